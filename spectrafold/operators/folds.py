@@ -11,13 +11,14 @@ total minus fold.
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import class_layer
-from .ordering import permuted, rank_within
+from .ordering import permutations, permuted, rank_within
 
 PARTITIONS = ("kfold", "stratified_kfold", "venetian_blinds", "loocv")
 
@@ -101,7 +102,8 @@ def assign(df: DataFrame, cv: CV, n: int | None = None, ix: str = "ix") -> DataF
     if s in ("kfold", "stratified_kfold", "venetian_blinds", "repeated_kfold") and not 2 <= k <= n:
         raise ValueError(f"{s} needs 2 <= k <= {n}")
     if s == "kfold":
-        fold = block_fold(permuted(at, n, cv.seed) if cv.shuffle else at, n, k)
+        # dealing a permutation out gives the same fold sizes as cutting it
+        fold = (permuted(at, n, cv.seed) % k).cast("int") if cv.shuffle else block_fold(at, n, k)
     elif s == "venetian_blinds":
         fold = (at % k).cast("int")
     elif s == "loocv":
@@ -138,18 +140,18 @@ def _overlapping(df: DataFrame, cv: CV, n: int, at) -> DataFrame:
         return df.withColumn("test_folds", _within(plan, 2, at)).withColumn("train_folds", _within(plan, 0, at))
     if s == "repeated_kfold":
         # fold number = repeat * k + fold inside the repeat
-        own = F.array(*[F.lit(r * k) + block_fold(permuted(at, n, cv.seed + r), n, k)
-                        for r in range(cv.repeats)])
+        places = permutations(at, n, [cv.seed + r for r in range(cv.repeats)])
         every = F.sequence(F.lit(0), F.lit(k * cv.repeats - 1))
+        df = df.withColumn("_at", places)
+        own = F.transform("_at", lambda p, r: (r * k + p % k).cast("int"))
         return (df.withColumn("test_folds", own)
-                .withColumn("train_folds", F.array_except(every, F.col("test_folds"))))
+                .withColumn("train_folds", F.array_except(every, F.col("test_folds"))).drop("_at"))
     if s == "shuffle_split":
-        held = -(-n * cv.test_size // 1)
-        marks = F.array_compact(F.array(*[F.when(permuted(at, n, cv.seed + f) < int(held), F.lit(f))
-                                          for f in range(k)]))
+        held = math.ceil(n * cv.test_size)
         every = F.sequence(F.lit(0), F.lit(k - 1))
-        return (df.withColumn("test_folds", marks)
-                .withColumn("train_folds", F.array_except(every, F.col("test_folds"))))
+        df = df.withColumn("_at", permutations(at, n, [cv.seed + f for f in range(k)]))
+        return (df.withColumn("test_folds", F.filter(every, lambda f: F.get("_at", f) < held))
+                .withColumn("train_folds", F.filter(every, lambda f: F.get("_at", f) >= held)).drop("_at"))
     if s == "bootstrap":
         return _bootstrap(df, cv, n, at)
     raise ValueError(f"unknown strategy {s}")

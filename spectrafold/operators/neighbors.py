@@ -280,6 +280,20 @@ def range_sums(queries: DataFrame, train: DataFrame, kind: str, m: Metric, width
             .select("q_ix", "sw", F.array(*[F.col(f"_s{i}") for i in range(responses)]).alias("swy")))
 
 
+def _home_ring(to_pivot, rings):
+    """The ring of the nearest pivot whose bounds are closest to the query's own distance."""
+    cell, lo, hi = rings
+    nearest = to_pivot.argmin(1)
+    own = to_pivot.min(1)[:, None]
+    gap = np.maximum(np.maximum(lo[None, :] - own, own - hi[None, :]), 0.0)
+    gap = np.where(cell[None, :] == nearest[:, None], gap, np.inf)
+    none = ~np.isfinite(gap).any(1)
+    gap[none] = 0.0
+    mask = np.zeros(gap.shape, dtype=bool)
+    mask[np.arange(len(gap)), gap.argmin(1)] = True
+    return mask
+
+
 class Rings:
     """Training rows cut into rings of at most ``RING_ROWS`` rows around pivots.
 
@@ -340,27 +354,12 @@ class Rings:
 
         return queries.mapInArrow(run, schema)
 
-    @staticmethod
-    def _home(to_pivot, odd, rings):
-        """The ring of the nearest pivot whose bounds are closest to the query's own distance."""
-        cell, lo, hi = rings
-        nearest = to_pivot.argmin(1)
-        own = to_pivot.min(1)[:, None]
-        gap = np.maximum(np.maximum(lo[None, :] - own, own - hi[None, :]), 0.0)
-        gap = np.where(cell[None, :] == nearest[:, None], gap, np.inf)
-        none = ~np.isfinite(gap).any(1)
-        gap[none] = 0.0
-        mask = np.zeros(gap.shape, dtype=bool)
-        mask[np.arange(len(gap)), gap.argmin(1)] = True
-        return mask
-
     def home(self, queries: DataFrame) -> DataFrame:
-        return self._rows_for(queries, lambda d, odd, batch, rings: self._home(d, odd, rings))
+        return self._rows_for(queries, lambda d, odd, batch, rings: _home_ring(d, rings))
 
     def visits(self, queries: DataFrame, skip_home: bool = False) -> DataFrame:
         """Rings that may hold a row within ``theta`` (NULL: unbounded) of the query."""
         bounded = self.m.bounded
-        home = self._home
 
         def choose(to_pivot, odd, batch, rings):
             cell, lo, hi = rings
@@ -375,7 +374,7 @@ class Rings:
                 least = np.maximum(least, (to - to_pivot.min(1)[:, None]) / 2)
                 least = np.where(cell[None, :] < 0, 0.0, least)
                 mask = least <= theta + 1e-9 * (1 + to)
-            return mask & ~home(to_pivot, odd, rings) if skip_home else mask
+            return mask & ~_home_ring(to_pivot, rings) if skip_home else mask
 
         return self._rows_for(queries, choose)
 
@@ -500,7 +499,7 @@ def knn_classify(queries: DataFrame, train: DataFrame, label: str, k: int = 5, d
 def _salted_join(many: DataFrame, one: DataFrame, left: str, right: str, salts: int = 16) -> DataFrame:
     """Join rows that point at a few popular keys: the pointing side is salted, the other copied."""
     many = many.withColumn("_salt", F.pmod(F.xxhash64("q_ix"), F.lit(salts)))
-    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return many.join(one, (F.col(left) == F.col(right)) & (many["_salt"] == one["_salt"])) \
         .drop(many["_salt"]).drop(one["_salt"])
 

@@ -7,6 +7,8 @@ equally sized position blocks that borrow their neighbours' edge rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,22 +86,47 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("_home").drop("_block", "_home")
 
 
-def permuted(ix, n: int, seed: int, rounds: int = 24) -> Column:
-    """A seeded permutation of 0..n-1 as a row-local expression (swap-or-not shuffle).
+def shuffled_positions(ix: np.ndarray, n: int, seed: int, rounds: int = 24) -> np.ndarray:
+    """Swap-or-not shuffle of positions (Hoang, Morris and Rogaway 2012), vectorised.
 
-    Each round pairs position i with (k - i) mod n and swaps the pair on a hash bit, so the
-    result is a bijection for every n: exact fold sizes without a sort, the same after any
-    recomputation.
+    A round pairs i with (k - i) mod n and swaps the pair on a hash bit of the larger one: a
+    bijection of 0..n-1 for every n.
     """
-    ix = F.col(ix) if isinstance(ix, str) else ix
-    keys = [(seed * 1_000_003 + r * 7_919_317 + 104_729) % max(n, 1) for r in range(rounds)]
-    steps = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(r).alias("r"))
-                      for r, k in enumerate(keys)])
-    mixed = [F.xxhash64(F.lit(seed), F.lit(n))]
-
-    def swap(at, step):
-        partner = F.pmod(step["k"] + F.pmod(mixed[0] + step["r"] * 2_654_435_761, F.lit(n)) - at, F.lit(n))
-        coin = F.xxhash64(F.greatest(at, partner), step["r"], F.lit(seed)).bitwiseAND(F.lit(1)) == 1
-        return F.when(coin, partner).otherwise(at)
-
-    return F.aggregate(steps, ix.cast("long"), swap)
+    at = ix.astype(np.uint64)
+    size = np.uint64(max(n, 1))
+    with np.errstate(over="ignore"):
+        for r in range(rounds):
+            salt = _mix(np.array([(seed * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % (1 << 64)], dtype=np.uint64))
+            partner = (salt % size + size - at) % size
+            coin = _mix(np.maximum(at, partner) + salt) & np.uint64(1)
+            at = np.where(coin == 1, partner, at)
+    return at.astype(np.int64)
+
+
+def _mix(v: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return v ^ (v >> np.uint64(31))
+
+
+def permuted(ix, n: int, seed: int) -> Column:
+    """A seeded permutation of 0..n-1 of the position, row-locally.
+
+    Exact fold and split sizes need no sort, and a recomputed row gets the same place.
+    """
+    @F.pandas_udf("long")
+    def place(s: pd.Series) -> pd.Series:
+        return pd.Series(shuffled_positions(s.to_numpy(), n, seed))
+
+    return place(F.col(ix) if isinstance(ix, str) else ix)
+
+
+def permutations(ix, n: int, seeds: list[int]) -> Column:
+    """Several permutations at once, as an array."""
+    @F.pandas_udf("array<long>")
+    def places(s: pd.Series) -> pd.Series:
+        at = s.to_numpy()
+        return pd.Series(list(np.stack([shuffled_positions(at, n, seed) for seed in seeds], axis=1)))
+
+    return places(F.col(ix) if isinstance(ix, str) else ix)
