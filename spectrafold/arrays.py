@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -77,3 +78,61 @@ def map_blocks(df: DataFrame, fn: Callable[[dict], dict], fields: list[tuple[str
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return source.mapInArrow(run, schema)
+
+
+SALTS = 64  # partial vectors per sum that reach the driver
+
+
+def few_tasks(df: DataFrame) -> bool:
+    """Whether a (persisted) frame has so few partitions that its partials need no merge."""
+    return df.rdd.getNumPartitions() <= SALTS
+
+
+def sum_blocks(df: DataFrame, inputs: list[str], fn: Callable[[dict], np.ndarray],
+               few: bool = False, lowest: bool = False) -> np.ndarray | None:
+    """Σ (or the minimum) over all rows of ``fn(block)``, a vector of fixed length.
+
+    One partial vector per task, a salted merge that streams, and at most 64 vectors to the
+    driver: the cost there does not grow with the rows. ``few`` skips the merge when the caller
+    knows that there are no more tasks than that.
+    """
+    source = df.select(*inputs)
+    is_array = {f.name: isinstance(f.dataType, T.ArrayType) for f in source.schema.fields}
+    merge = np.minimum if lowest else np.add
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            given = {c: (block(batch.column(c)) if is_array[c] else vector(batch.column(c))) for c in inputs}
+            part = fn(given)
+            held = part if held is None else merge(held, part)
+        if held is not None:
+            context = TaskContext.get()
+            salt = (context.partitionId() if context else 0) % SALTS
+            yield pa.RecordBatch.from_arrays([pa.array([salt], pa.int32()), lists(held[None, :])], names=["salt", "v"])
+
+    parts = source.mapInArrow(run, "salt int, v array<double>")
+    if not few:
+        parts = parts.groupBy("salt").applyInArrow(
+            _least_vectors if lowest else _add_vectors, "v array<double>")
+    table = parts.select("v").toArrow()
+    return merge.reduce(block(table["v"]), axis=0) if table.num_rows else None
+
+
+def _add_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _fold_vectors(batches, np.add)
+
+
+def _least_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _fold_vectors(batches, np.minimum)
+
+
+def _fold_vectors(batches, merge):
+    held = None
+    for batch in batches:
+        part = merge.reduce(block(batch.column("v")), axis=0)
+        held = part if held is None else merge(held, part)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([lists(held[None, :])], names=["v"])

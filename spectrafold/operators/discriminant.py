@@ -237,17 +237,31 @@ def result_table(pred: DataFrame, label: str, classes: tuple[str, ...], sample:
                        (F.col("pred") != F.col(label).cast("string")).alias("error"))
 
 
-def nearest_centroid(df: DataFrame, label: str, width: int) -> DataFrame:
-    """Class of the nearest class mean (Euclidean; ties to the first class)."""
-    parts = class_moments(df, label, width)
-    names = np.array(sorted(parts))
-    means = np.stack([parts[k].x_mean for k in names])
+@dataclass(frozen=True)
+class CentroidRule:
+    """Nearest class mean (Euclidean; ties to the first class), probabilities from softmax(-d)."""
 
-    def run(c):
-        d = np.sqrt(np.maximum(((c["x"][:, None, :] - means[None]) ** 2).sum(2), 0))
-        return {"pred": pa.array(names[d.argmin(1)].tolist()), "distance": d.min(1)}
+    classes: tuple[str, ...]
+    means: np.ndarray
 
-    return map_blocks(df, run, [("pred", "string"), ("distance", "double")], ["x"],
-                      [c for c in df.columns if c != "x"])
+    def predict(self, df: DataFrame) -> DataFrame:
+        names = np.array(self.classes)
 
+        def run(c):
+            d = np.sqrt(((c["x"][:, None, :] - self.means[None]) ** 2).sum(2))
+            p = np.exp(d.min(axis=1, keepdims=True) - d)
+            return {"pred": pa.array(names[d.argmin(1)].tolist()), "distance": d.min(1),
+                    "proba": p / p.sum(axis=1, keepdims=True)}
+
+        return map_blocks(df, run, [("pred", "string"), ("distance", "double"), ("proba", "array<double>")], ["x"],
+                          [c for c in df.columns if c not in ("x", "pred", "distance", "proba")])
 
+
+def centroid_rule(df: DataFrame, label: str, width: int) -> CentroidRule:
+    parts = class_moments(df, label, width)
+    names = tuple(sorted(parts))
+    return CentroidRule(names, np.stack([parts[k].x_mean for k in names]))
+
+
+def nearest_centroid(df: DataFrame, label: str, width: int) -> DataFrame:
+    return centroid_rule(df, label, width).predict(df)

@@ -22,6 +22,7 @@ from ..arrays import block, lists, vector
 
 MAX_WIDTH = 3000          # p² doubles per partial: 72 MB
 _SCALAR_WIDTH = 8         # up to here the cross products are plain SQL aggregates
+_COLLECT_WIDTH = 256
 _HELD_BYTES = 256 << 20   # partials a task holds before it hands them on
 _SCHEMA = "key string, salt int, n double, mean array<double>, m2 array<double>"
 
@@ -191,7 +192,9 @@ def moments(df: DataFrame, x="x", y=None, key=None, weight=None, width: int | No
         width = first["p"] if first else 0
     partials = partial_moments(df, x, y, key, weight)
     out: dict[str, Moments] = {}
-    for r in merge_moments(partials).toLocalIterator():
+    merged = merge_moments(partials)
+    # wide matrices come one by one, narrow ones at once
+    for r in merged.collect() if width <= _COLLECT_WIDTH else merged.toLocalIterator():
         mean = np.asarray(r["mean"])
         part = Moments(r["n"], mean, np.asarray(r["m2"]).reshape(len(mean), -1), width)
         out[r["key"]] = out[r["key"]] + part if r["key"] in out else part

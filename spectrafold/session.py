@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,17 @@ def durable(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Spool:
+    """A result table in the checkpoint folder that a driver loop appends to batch by batch."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema = spark, schema
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/spool-{uuid.uuid4().hex}"
+
+    def add(self, rows: list) -> None:
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.path)
+
+    def frame(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
