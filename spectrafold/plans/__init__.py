@@ -1,4 +1,4 @@
 """Registered queries; importing the package fills the catalogue."""
 
-from . import models, preprocessing, validation  # noqa: F401
+from . import io, models, preprocessing, validation  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
