@@ -63,8 +63,6 @@ class Fitted:
             df = self.scale.transform(df)
         if self.feature is not None:
             df = kernels.map_features(df, self.feature)
-        if isinstance(self.model, LocalModel):
-            return self.model.predict(df)
         return self.model.predict(df)
 
 
@@ -75,9 +73,8 @@ class LocalModel:
     responses: int
     hp: dict = field(default_factory=dict)
 
-    def predict(self, df: DataFrame, leave_one_out: bool = False) -> DataFrame:
-        found = neighbors.local_predict(df, self.train, width=self.width, responses=self.responses,
-                                        leave_one_out=leave_one_out, **self.hp)
+    def predict(self, df: DataFrame) -> DataFrame:
+        found = neighbors.local_predict(df, self.train, width=self.width, responses=self.responses, **self.hp)
         return df.drop("x").join(found, "ix")
 
 
@@ -181,6 +178,8 @@ class Calibration:
             keep = ("ix", "split") if ds.has("split") else ("ix",)
             whole = long_predictions(whole, values, responses, keep)
             models = dict(zip(values, fits))
+        elif self.kind == "local" and cv.partitions:
+            held, whole, models = self._local_search(ds, cal, n, values, cv, responses)
         else:
             held, whole, models = self._search(ds, cal, n, values, cv, responses)
         curve_cv = curve(held)
@@ -190,10 +189,22 @@ class Calibration:
         chosen = models.get(best) or self._fit_other(ds.cal, best, ds.width, responses)
         return Tuned(best, curve_cv, held, own, val, Fitted(self.kind, best, chosen, scale, feature))
 
+    def _local_search(self, ds, cal, n, values, cv, responses):
+        """One neighbour join that leaves each row's own fold out, for all folds at once."""
+        hp = {k: v for k, v in self.hp.items() if k != "method"}
+        method = self.hp.get("method", "knn")
+        folds = assign(cal, cv, n).select("ix", "x", "y", "fold")
+        held = neighbors.local_path(folds, folds, method, values, ds.width, responses, "fold", **hp)
+        held = long_predictions(folds.drop("x").join(held, "ix"), values, responses)
+        own = neighbors.local_path(ds.df, ds.cal, method, values, ds.width, responses, **hp)
+        keep = ("ix", "split") if ds.has("split") else ("ix",)
+        whole = long_predictions(ds.df.drop("x").join(own, "ix"), values, responses, keep)
+        return held, whole, {}
+
     def _search(self, ds, cal, n, values, cv, responses):
         """Candidate by candidate and fold by fold, for models that must be refitted."""
         assigned = assign(cal, cv, n)
-        if cv.strategy == "loocv" and self.kind != "local":
+        if cv.strategy == "loocv":
             raise ValueError("leave-one-out refits per row: choose folds for this model")
         held = whole = None
         models = {}
@@ -203,18 +214,13 @@ class Calibration:
             models[v] = model
             keep = ("ix", "split") if ds.has("split") else ("ix",)
             own = model.predict(ds.df)
-            if cv.strategy == "loocv":
-                parts = [model.predict(assigned.select("ix", "x", "y", "fold"), leave_one_out=True)]
-            else:
-                parts = []
-                train, test = training_rows(assigned), test_rows(assigned)
-                for f in range(cv.k * (cv.repeats if cv.strategy == "repeated_kfold" else 1)):
-                    rows = train.filter(F.col("fold") == f)
-                    if "train_weights" in assigned.columns:  # a row drawn w times counts w times
-                        rows = rows.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("_t")
-                    fold_model = self._fit_other(rows.select("ix", "x", "y"), v, ds.width, responses)
-                    parts.append(fold_model.predict(test.filter(F.col("fold") == f).select("ix", "x", "y", "fold")))
-            for part in parts:
+            train, test = training_rows(assigned), test_rows(assigned)
+            for f in range(cv.k * (cv.repeats if cv.strategy == "repeated_kfold" else 1)):
+                rows = train.filter(F.col("fold") == f)
+                if "train_weights" in assigned.columns:  # a row drawn w times counts w times
+                    rows = rows.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("_t")
+                fold_model = self._fit_other(rows.select("ix", "x", "y"), v, ds.width, responses)
+                part = fold_model.predict(test.filter(F.col("fold") == f).select("ix", "x", "y", "fold"))
                 part = flat(part, v, ("ix", "fold"))
                 held = part if held is None else held.unionByName(part)
             own = flat(own, v, keep)

@@ -67,12 +67,13 @@ class Classifier:
         if "classes" not in df.columns:
             df = df.withColumn("classes", F.array(F.col(label).cast("string")))
         assigned = assign(df.select("ix", "x", label, "classes"), cv, n)
-        if cv.strategy == "loocv":
-            if self.method != "knn":
-                raise ValueError("leave-one-out refits per row: choose folds for this method")
+        if self.method == "knn" and cv.partitions:
+            # one join that leaves each row's own fold out serves all folds
             names = sorted(r[0] for r in df.select(F.col(label).cast("string")).distinct().collect())
-            model = NeighborClassifier(df, label, ds.width, tuple(names), {**self.hp, "exclude_self": True})
-            return model.predict(assigned.select("ix", "x", label, "fold"))
+            rows = assigned.select("ix", "x", label, "fold")
+            return NeighborClassifier(rows, label, ds.width, tuple(names), {**self.hp, "exclude": "fold"}).predict(rows)
+        if cv.strategy == "loocv":
+            raise ValueError("leave-one-out refits per row: choose folds for this method")
         train, test = training_rows(assigned), test_rows(assigned)
         out = None
         for f in range(cv.k * (cv.repeats if cv.strategy == "repeated_kfold" else 1)):

@@ -104,7 +104,7 @@ def minimise(value_and_gradient, start: np.ndarray, max_iter: int = 100, tol: fl
         s, y = reach * direction, trial_grad - grad
         if s @ y > 1e-12 * (y @ y):
             steps, turns = (steps + [s])[-10:], (turns + [y])[-10:]
-        done = value - trial <= 1e-9 * max(abs(value), 1e-12)
+        done = value - trial <= 1e-7 * max(abs(value), 1e-12)
         w, value, grad = w + s, trial, trial_grad
         if done:
             break

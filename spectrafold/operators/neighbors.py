@@ -108,22 +108,22 @@ def metric(train: DataFrame, name: str = "euclidean", p: float = 3.0, width: int
 
 # --- block kernels ------------------------------------------------------------------------
 
-def _nearest(m: Metric, q, q_ix, t, t_ix, k: int, exclude: bool):
+def _nearest(m: Metric, q, q_not, t, t_ix, t_not, k: int):
     """Per query the k nearest (distance, then training position) of a block.
 
-    Euclidean blocks are ranked by one matrix product; every pair within its rounding error of
+    A pair with equal ``q_not`` and ``t_not`` (None: no exclusion) does not count. Euclidean blocks are ranked by one matrix product; every pair within its rounding error of
     the k-th is then measured again by differences, so the result is that of plain distances.
     """
     rows_q, rows_t, dist = [], [], []
     step = max(1, _WORK_BYTES // (8 * max(1, len(t))))
     tt = (t * t).sum(1)
     for a in range(0, len(q), step):
-        part, ids = q[a:a + step], q_ix[a:a + step]
+        part = q[a:a + step]
+        same = None if q_not is None else q_not[a:a + step, None] == t_not[None, :]
         if m.euclidean:
             qq = (part * part).sum(1)
             rough = qq[:, None] + tt[None, :] - 2 * part @ t.T
-            same = (ids[:, None] == t_ix[None, :]) if exclude else None
-            if exclude:
+            if same is not None:
                 rough = np.where(same, np.inf, rough)
             kk = min(k, rough.shape[1])
             edge = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
@@ -136,8 +136,8 @@ def _nearest(m: Metric, q, q_ix, t, t_ix, k: int, exclude: bool):
                 d[b:b + size] = np.sqrt((diff * diff).sum(1))
         else:
             full = m.direct(part, t)
-            if exclude:
-                full = np.where(ids[:, None] == t_ix[None, :], np.inf, full)
+            if same is not None:
+                full = np.where(same, np.inf, full)
             kk = min(k, full.shape[1])
             edge = np.partition(full, kk - 1, axis=1)[:, kk - 1]
             near_q, near_t = np.nonzero((full <= edge[:, None]) & np.isfinite(full))
@@ -154,7 +154,7 @@ def _nearest(m: Metric, q, q_ix, t, t_ix, k: int, exclude: bool):
     return np.concatenate(rows_q), np.concatenate(rows_t), np.concatenate(dist)
 
 
-def _weighted(m: Metric, kind: str, q, q_ix, q_par, t, t_ix, t_y, h: float, exclude: bool):
+def _weighted(m: Metric, kind: str, q, q_not, q_par, t, t_not, t_y, h: float):
     """Per query Σw and Σw·y of a block under a range or kernel weight."""
     sw = np.zeros(len(q))
     swy = np.zeros((len(q), t_y.shape[1]))
@@ -167,8 +167,8 @@ def _weighted(m: Metric, kind: str, q, q_ix, q_par, t, t_ix, t_y, h: float, excl
             w = (1.0 / (1.0 + d) > q_par[a:a + step, None]).astype(float)
         else:
             w = np.exp(-0.5 * np.square(np.maximum(d, 1e-12) / h))
-        if exclude:
-            w = np.where(q_ix[a:a + step, None] == t_ix[None, :], 0.0, w)
+        if q_not is not None:
+            w = np.where(q_not[a:a + step, None] == t_not[None, :], 0.0, w)
         sw[a:a + step] = w.sum(1)
         swy[a:a + step] = w @ t_y
     return sw, swy
@@ -189,31 +189,42 @@ def _fits(train: DataFrame, width: int) -> tuple[bool, int]:
     return n * (width + 4) * 8 <= BROADCAST_BYTES, n
 
 
-def knn_join(queries: DataFrame, train: DataFrame, k: int, m: Metric, width: int,
-             carry: list[str] = (), exclude_self: bool = False, strategy: str | None = None) -> DataFrame:
+def _excluding(df: DataFrame, exclude: str | None, columns: list[str]) -> DataFrame:
+    """The needed columns, with the exclusion key as ``_not``."""
+    key = F.col(exclude).cast("long") if exclude else F.lit(None).cast("long")
+    return df.select(*columns, key.alias("_not"))
+
+
+def _keys(table, exclude: str | None):
+    return vector(table["_not"]) if exclude else None
+
+
+def knn_join(queries: DataFrame, train: DataFrame, k: int, m: Metric, width: int, carry: list[str] = (),
+             exclude: str | None = None, strategy: str | None = None) -> DataFrame:
     """(q_ix, t_ix, d, rank, carried training columns): the k nearest of each query, exactly.
 
-    Ties in distance go to the lower training position.
+    Ties in distance go to the lower training position. ``exclude`` names a column of both
+    sides: pairs that agree in it do not count ('ix' leaves the row itself out, 'fold' its fold).
     """
     carry = list(carry)
-    train = train.select("ix", "x", *carry)
-    queries = queries.select("ix", "x")
+    train = _excluding(train, exclude, ["ix", "x", *carry])
+    queries = _excluding(queries, exclude, ["ix", "x"])
     small, n = _fits(train, width)
     if strategy == "broadcast" or (strategy is None and small):
         schema = _schema(train, carry, _PAIR + [("rank", T.IntegerType())])
         target = to_arrow_schema(schema)
         table = train.toArrow()
         held = train.sparkSession.sparkContext.broadcast(
-            (m.prepare(block(table["x"])) if n else None, vector(table["ix"]),
+            (m.prepare(block(table["x"])) if n else None, vector(table["ix"]), _keys(table, exclude),
              [table[c].combine_chunks() for c in carry]))
 
         def search(batches):
-            t, t_ix, cols = held.value
+            t, t_ix, t_not, cols = held.value
             for batch in batches:
                 if batch.num_rows == 0 or t is None:
                     continue
                 q_ix = vector(batch.column("ix"))
-                a, b, d = _nearest(m, m.prepare(block(batch.column("x"))), q_ix, t, t_ix, k, exclude_self)
+                a, b, d = _nearest(m, m.prepare(block(batch.column("x"))), _keys(batch, exclude), t, t_ix, t_not, k)
                 rank = np.arange(len(a)) - np.searchsorted(a, a, side="left") + 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q_ix[a]), pa.array(t_ix[b]), pa.array(d), pa.array(rank.astype(np.int32)),
@@ -221,42 +232,41 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, m: Metric, width: int
 
         return queries.mapInArrow(search, schema)
     rings = Rings(train, m, width, n, carry)
-    first = rings.search(rings.home(queries), k, exclude_self)
+    first = rings.search(rings.home(queries), k, exclude)
     # the k-th distance met at home bounds the search everywhere else
     bound = first.groupBy("q_ix").agg(F.when(F.count("*") >= k, F.max("d")).alias("theta"))
     rest = rings.visits(queries.join(bound, queries["ix"] == bound["q_ix"], "left").drop("q_ix"), skip_home=True)
-    found = first.unionByName(rings.search(rest, k, exclude_self))
+    found = first.unionByName(rings.search(rest, k, exclude))
     w = W.partitionBy("q_ix").orderBy("d", "t_ix")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def range_sums(queries: DataFrame, train: DataFrame, kind: str, m: Metric, width: int, responses: int,
-               h: float = 1.0, exclude_self: bool = False, strategy: str | None = None) -> DataFrame:
+               h: float = 1.0, exclude: str | None = None, strategy: str | None = None) -> DataFrame:
     """(q_ix, sw, swy): sums of weights and weighted responses over the training rows in range.
 
     ``kind`` radius and similarity use the queries' ``par`` column; kernel uses bandwidth ``h``.
     Blocks add up sums, so no pair leaves a task.
     """
-    train = train.select("ix", "x", "y")
+    train = _excluding(train, exclude, ["ix", "x", "y"])
     if "par" not in queries.columns:
         queries = queries.withColumn("par", F.lit(float("inf")))
-    queries = queries.select("ix", "x", "par")
+    queries = _excluding(queries, exclude, ["ix", "x", "par"])
     small, n = _fits(train, width + responses)
     schema = "q_ix long, sw double, swy array<double>"
     if strategy == "broadcast" or (strategy is None and small):
         table = train.toArrow()
         held = train.sparkSession.sparkContext.broadcast(
-            (m.prepare(block(table["x"])), vector(table["ix"]), block(table["y"])))
+            (m.prepare(block(table["x"])), _keys(table, exclude), block(table["y"])))
 
         def add(batches):
-            t, t_ix, t_y = held.value
+            t, t_not, t_y = held.value
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                q_ix = vector(batch.column("ix"))
-                sw, swy = _weighted(m, kind, m.prepare(block(batch.column("x"))), q_ix,
-                                    vector(batch.column("par")), t, t_ix, t_y, h, exclude_self)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ix), column_of(sw), column_of(swy)],
+                sw, swy = _weighted(m, kind, m.prepare(block(batch.column("x"))), _keys(batch, exclude),
+                                    vector(batch.column("par")), t, t_not, t_y, h)
+                yield pa.RecordBatch.from_arrays([batch.column("ix"), column_of(sw), column_of(swy)],
                                                  names=["q_ix", "sw", "swy"])
 
         return queries.mapInArrow(add, schema)
@@ -269,10 +279,9 @@ def range_sums(queries: DataFrame, train: DataFrame, kind: str, m: Metric, width
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table({"q_ix": pa.array([], pa.int64()), "sw": pa.array([], pa.float64()),
                              "swy": pa.array([], pa.list_(pa.float64()))})
-        q_ix = vector(left["ix"])
-        sw, swy = _weighted(m, kind, m.prepare(block(left["x"])), q_ix, vector(left["par"]),
-                            m.prepare(block(right["x"])), vector(right["ix"]), block(right["y"]), h, exclude_self)
-        return pa.table({"q_ix": pa.array(q_ix), "sw": column_of(sw), "swy": column_of(swy)})
+        sw, swy = _weighted(m, kind, m.prepare(block(left["x"])), _keys(left, exclude), vector(left["par"]),
+                            m.prepare(block(right["x"])), _keys(right, exclude), block(right["y"]), h)
+        return pa.table({"q_ix": left["ix"], "sw": column_of(sw), "swy": column_of(swy)})
 
     parts = rings.pairs(visits, add, schema)
     sums = [F.sum(F.get("swy", F.lit(i))).alias(f"_s{i}") for i in range(responses)]
@@ -394,7 +403,7 @@ class Rings:
         return (left.groupBy("ring", "_chunk").cogroup(right.groupBy("ring", "_chunk"))
                 .applyInArrow(run, schema))
 
-    def search(self, visits: DataFrame, k: int, exclude: bool) -> DataFrame:
+    def search(self, visits: DataFrame, k: int, exclude: str | None) -> DataFrame:
         m, carry = self.m, self.carry
         schema = _schema(self.rows, carry, _PAIR)
         target = to_arrow_schema(schema)
@@ -403,7 +412,8 @@ class Rings:
             if left.num_rows == 0 or right.num_rows == 0:
                 return target.empty_table()
             q_ix, t_ix = vector(left["ix"]), vector(right["ix"])
-            a, b, d = _nearest(m, m.prepare(block(left["x"])), q_ix, m.prepare(block(right["x"])), t_ix, k, exclude)
+            a, b, d = _nearest(m, m.prepare(block(left["x"])), _keys(left, exclude), m.prepare(block(right["x"])), t_ix,
+                               _keys(right, exclude), k)
             return pa.Table.from_arrays([pa.array(q_ix[a]), pa.array(t_ix[b]), pa.array(d),
                                          *[right[c].combine_chunks().take(pa.array(b)) for c in carry]],
                                         schema=target)
@@ -416,13 +426,16 @@ class Rings:
 def local_predict(queries: DataFrame, train: DataFrame, method: str = "knn", k: int = 5, power: float = 1.0,
                   alpha: float = 1.0, radius: float = 1.0, bandwidth: float = 1.0, distance: str = "euclidean",
                   p: float = 3.0, width: int | None = None, responses: int | None = None,
-                  leave_one_out: bool = False, strategy: str | None = None) -> DataFrame:
-    """(ix, yhat) by knn, idw, adaptive, radius or kernel averaging of the training responses."""
+                  exclude: str | None = None, strategy: str | None = None) -> DataFrame:
+    """(ix, yhat) by knn, idw, adaptive, radius or kernel averaging of the training responses.
+
+    ``exclude='ix'`` predicts each training row without itself, ``'fold'`` without its fold.
+    """
     if width is None or responses is None:
         first = train.select(F.size("x").alias("p"), F.size("y").alias("q")).first()
         width, responses = first["p"], first["q"]
     m = metric(train, distance, p, width)
-    near = lambda kk: knn_join(queries, train, kk, m, width, ["y"], leave_one_out, strategy)
+    near = lambda kk: knn_join(queries, train, kk, m, width, ["y"], exclude, strategy)
     pick = lambda i: F.get("y", F.lit(i))
     power, alpha = max(power, 1e-12), max(alpha, 1e-12)
     radius, bandwidth = max(radius, 1e-12), max(bandwidth, 1e-12)
@@ -434,9 +447,9 @@ def local_predict(queries: DataFrame, train: DataFrame, method: str = "knn", k:
             *[F.avg(pick(i)).alias(f"_a{i}") for i in range(responses)])
         return agg.select("ix", F.array(*[F.when(F.col("_sw") > 0, F.col(f"_s{i}") / F.col("_sw"))
                                           .otherwise(F.col(f"_a{i}")) for i in range(responses)]).alias("yhat"))
-    asked = queries.select("ix", "x")
+    asked = queries.select("ix", "x", *([exclude] if exclude and exclude != "ix" else []))
     if method == "kernel":
-        sums = range_sums(asked, train, "kernel", m, width, responses, bandwidth, leave_one_out, strategy)
+        sums = range_sums(asked, train, "kernel", m, width, responses, bandwidth, exclude, strategy)
     else:
         # the nearest row decides the adaptive threshold and is the radius fallback
         nearest = near(1).select(F.col("q_ix").alias("ix"), F.col("d").alias("_d1"), F.col("y").alias("_y1"))
@@ -450,18 +463,20 @@ def local_predict(queries: DataFrame, train: DataFrame, method: str = "knn", k:
             kind, asked = "radius", asked.withColumn("par", F.lit(float(radius)))
         else:
             raise ValueError(f"unknown local method {method}")
-        sums = range_sums(asked, train, kind, m, width, responses, 1.0, leave_one_out, strategy)
+        sums = range_sums(asked, train, kind, m, width, responses, 1.0, exclude, strategy)
     joined = asked.join(sums, asked["ix"] == sums["q_ix"], "left")
     if method == "kernel":
-        # every weight underflowed: the mean of all training rows
-        whole = train.agg(*[F.avg(pick(i)).alias(f"m{i}") for i in range(responses)],
-                          *[F.sum(pick(i)).alias(f"s{i}") for i in range(responses)], F.count("*").alias("n")).first()
-        if leave_one_out:
-            own = train.select(F.col("ix").alias("_o"), F.col("y").alias("_oy"))
-            joined = joined.join(own, asked["ix"] == F.col("_o"), "left")
-            spare = [(F.lit(whole[f"s{i}"]) - F.get("_oy", F.lit(i))) / max(whole["n"] - 1, 1) for i in range(responses)]
+        # every weight underflowed: the mean of all training rows that count
+        totals = [F.sum(pick(i)).alias(f"s{i}") for i in range(responses)] + [F.count("*").alias("n")]
+        whole = train.agg(*totals).first()
+        if exclude:
+            own = train.groupBy(F.col(exclude).alias("_o")).agg(F.count("*").alias("_on"), *[
+                F.sum(pick(i)).alias(f"_o{i}") for i in range(responses)])
+            joined = joined.join(own, asked[exclude] == F.col("_o"), "left")
+            left = F.greatest(F.lit(whole["n"]) - F.coalesce("_on", F.lit(0)), F.lit(1))
+            spare = [(F.lit(whole[f"s{i}"]) - F.coalesce(f"_o{i}", F.lit(0.0))) / left for i in range(responses)]
         else:
-            spare = [F.lit(whole[f"m{i}"]) for i in range(responses)]
+            spare = [F.lit(whole[f"s{i}"] / max(whole["n"], 1)) for i in range(responses)]
     else:
         spare = [F.get("_y1", F.lit(i)) for i in range(responses)]
     return joined.select(asked["ix"].alias("ix"), F.array(*[
@@ -469,17 +484,43 @@ def local_predict(queries: DataFrame, train: DataFrame, method: str = "knn", k:
         for i in range(responses)]).alias("yhat"))
 
 
+def local_path(queries: DataFrame, train: DataFrame, method: str, values: list, width: int, responses: int,
+               exclude: str | None = None, **hp) -> DataFrame:
+    """Predictions of all candidates as one array (candidate-major).
+
+    knn and idw candidates share one neighbour join; the other methods join once per candidate.
+    """
+    name = {"knn": "k", "idw": "power", "adaptive": "alpha", "radius": "radius", "kernel": "bandwidth"}[method]
+    if method in ("knn", "idw"):
+        m = metric(train, hp.get("distance", "euclidean"), hp.get("p", 3.0), width)
+        top = int(max(values)) if method == "knn" else int(hp.get("k", 5))
+        pairs = knn_join(queries, train, max(1, top), m, width, ["y"], exclude, hp.get("strategy"))
+        out = []
+        for v in values:
+            w = (F.col("rank") <= int(v)).cast("double") if method == "knn" else \
+                1 / F.pow(F.greatest("d", F.lit(1e-12)), F.lit(float(v)))
+            out += [(F.sum(w * F.get("y", F.lit(i))) / F.sum(w)) for i in range(responses)]
+        agg = pairs.groupBy(F.col("q_ix").alias("ix")).agg(*[e.alias(f"_c{i}") for i, e in enumerate(out)])
+        return agg.select("ix", F.array(*[F.col(f"_c{i}") for i in range(len(out))]).alias("yhat"))
+    out = None
+    for i, v in enumerate(values):
+        part = local_predict(queries, train, method, width=width, responses=responses, exclude=exclude, **{**hp, name: v})
+        part = part.select("ix", F.col("yhat").alias(f"_c{i}"))
+        out = part if out is None else out.join(part, "ix")
+    return out.select("ix", F.concat(*[F.col(f"_c{i}") for i in range(len(values))]).alias("yhat"))
+
+
 # --- classification and outliers ----------------------------------------------------------
 
 def knn_classify(queries: DataFrame, train: DataFrame, label: str, k: int = 5, distance: str = "euclidean",
                  weights: str = "uniform", p: float = 3.0, width: int | None = None,
-                 exclude_self: bool = False, strategy: str | None = None) -> DataFrame:
+                 exclude: str | None = None, strategy: str | None = None) -> DataFrame:
     """(ix, pred, proba map): weighted vote of the k nearest; ties go to the first label."""
     if width is None:
         width = train.select(F.size("x").alias("p")).first()["p"]
     m = metric(train, distance, p, width, raw_zero=True)
     named = train.withColumn("_label", F.col(label).cast("string"))
-    pairs = knn_join(queries, named, k, m, width, ["_label"], exclude_self, strategy)
+    pairs = knn_join(queries, named, k, m, width, ["_label"], exclude, strategy)
     if weights == "distance":
         # an exact hit takes the whole vote
         hit = F.max((F.col("d") == 0).cast("int")).over(W.partitionBy("q_ix"))
@@ -510,7 +551,7 @@ def lof_fit(train: DataFrame, k: int = 20, distance: str = "euclidean", width: i
     if width is None:
         width = train.select(F.size("x").alias("p")).first()["p"]
     m = metric(train, distance, width=width)
-    pairs = knn_join(train, train, k, m, width, exclude_self=True, strategy=strategy).persist()
+    pairs = knn_join(train, train, k, m, width, exclude="ix", strategy=strategy).persist()
     kdist = pairs.groupBy(F.col("q_ix").alias("_k_ix")).agg(F.max("d").alias("kdist"))
     reach = _salted_join(pairs, kdist, "t_ix", "_k_ix")
     lrd = reach.groupBy("q_ix").agg((1 / (F.avg(F.greatest("d", "kdist")) + 1e-10)).alias("lrd"))
@@ -541,7 +582,7 @@ def lof_offset(fitted: DataFrame, contamination: float) -> float:
 
 def local_regression(ds: Dataset, **hp) -> DataFrame:
     """Predictions of all rows from the calibration rows, out of sample for the latter."""
-    cal = local_predict(ds.cal, ds.cal, leave_one_out=True, width=ds.width, **hp)
+    cal = local_predict(ds.cal, ds.cal, exclude="ix", width=ds.width, **hp)
     if not ds.has("split"):
         return cal
     return cal.unionByName(local_predict(ds.val, ds.cal, width=ds.width, **hp))

@@ -392,6 +392,7 @@ def elliptic_envelope(df: DataFrame, n: int, width: int, contamination: float =
     _require(n)
     contamination = min(0.5, max(1e-4, contamination))
     h = int(np.ceil(support * n)) if support else (n + width + 1) // 2
+    df = df.persist()   # every C-step scans it twice
     head = df.select("x").orderBy(F.xxhash64("ix", F.lit(seed))).limit(1000).collect()
     center, cov = _sample_start(np.array([r["x"] for r in head]), centered, seed)
     last = np.inf
@@ -415,7 +416,9 @@ def elliptic_envelope(df: DataFrame, n: int, width: int, contamination: float =
     center, cov = _location(m, centered)
     model = Envelope(center, np.linalg.pinv(cov, hermitian=True), 0.0)
     scored = map_blocks(df, lambda c: {"value": -model.distance(c["x"])}, [("value", "double")], ["x"], [])
-    return Envelope(center, model.precision, _quantile(scored, "value", contamination))
+    offset = _quantile(scored, "value", contamination)
+    df.unpersist()
+    return Envelope(center, model.precision, offset)
 
 
 def _location(m: Moments, centered: bool):

@@ -555,7 +555,7 @@ def _regression_members(spark, folder):
     ds = regression_spectra(spark, folder)
     out = []
     for hp in (dict(method="knn", k=3), dict(method="knn", k=9), dict(method="idw", k=5)):
-        done = neighbors.local_predict(ds.df, ds.df, leave_one_out=True, width=ds.width, responses=1, **hp)
+        done = neighbors.local_predict(ds.df, ds.df, exclude="ix", width=ds.width, responses=1, **hp)
         out.append(done.select("ix", F.lit(0).alias("response"), _first().alias("yhat")))
     return out
 
@@ -621,7 +621,7 @@ def sweep_neighbours(spark, folder):
     ds = regression_spectra(spark, folder)
 
     def run(k):
-        done = neighbors.local_predict(ds.df, ds.df, "knn", k=k, leave_one_out=True, width=ds.width, responses=1)
+        done = neighbors.local_predict(ds.df, ds.df, "knn", k=k, exclude="ix", width=ds.width, responses=1)
         return done.join(ds.df.select("ix", "y"), "ix").select("ix", _first("y").alias("y"), _first().alias("yhat"))
 
     score = lambda df: metrics.regression_metrics(df).first()["rmse"]

@@ -384,7 +384,7 @@ near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, t) AS r FR
 def _local(**hp):
     def run(spark, folder):
         ds = regression_spectra(spark, folder)
-        done = neighbors.local_predict(ds.df, ds.df, leave_one_out=True, width=ds.width, responses=1, **hp)
+        done = neighbors.local_predict(ds.df, ds.df, exclude="ix", width=ds.width, responses=1, **hp)
         return done.select(F.col("ix").alias("vec_id"), r6(F.get("yhat", F.lit(0))).alias("yhat"))
 
     return run
@@ -425,7 +425,7 @@ QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1"""
 def _vote(distance, weights):
     def run(spark, folder):
         ds = spectra(spark, folder)
-        done = neighbors.knn_classify(ds.df, ds.df, "label", 7, distance, weights, 3.0, WIDTH, exclude_self=True)
+        done = neighbors.knn_classify(ds.df, ds.df, "label", 7, distance, weights, 3.0, WIDTH, exclude="ix")
         return done.select(F.col("ix").alias("vec_id"), "pred", r6(F.get("proba", F.lit(0))["p"]).alias("p"))
 
     return run

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,9 +15,6 @@ def build_session(app: str = "spectrafold", cores: int | str = "*", shuffle_part
     On a cluster the session comes from the launcher; nothing in the library depends on
     these values.
     """
-    # one BLAS thread per task: Spark already runs one task per core
-    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
-        os.environ.setdefault(name, "1")
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
