@@ -33,7 +33,7 @@ def save_model(spark: SparkSession, model, path: str, method: dict | None = None
 
 def load_model(spark: SparkSession, path: str):
     text = _read_json(spark, f"{path}/model")
-    arrays = {r["id"]: _array(r) for r in spark.read.schema(_ARRAYS).parquet(f"{path}/arrays").collect()}
+    arrays = {r["id"]: _array(r) for r in spark.read.schema(_ARRAYS).parquet(f"{path}/arrays").filter("id >= 0").collect()}
     return _unpack(text["model"], arrays, path)
 
 
