@@ -26,6 +26,7 @@ from .stats import exact_quantiles
 
 BROADCAST_BYTES = 64 << 20   # largest training block a task may hold whole
 RING_ROWS = 2048             # training rows per ring
+MAX_RINGS = 1_000_000        # beyond, rings grow instead of their table
 QUERY_ROWS = 4096            # queries per (ring, chunk) group
 _PIVOTS = 256
 _WORK_BYTES = 32 << 20       # temporary distance cells per step
@@ -331,12 +332,12 @@ class Rings:
 
         celled = map_blocks(train, assign, [("cell", "long"), ("dp", "double")], ["x"], train.columns)
         ranked = rank_within(celled, "cell", [F.col("dp"), F.col("ix")], "_r")
-        ringed = ranked.withColumn("_no", F.floor(F.col("_r") / RING_ROWS))
+        ringed = ranked.withColumn("_no", F.floor(F.col("_r") / max(RING_ROWS, -(-n // MAX_RINGS))))
         table = (ringed.groupBy("cell", "_no").agg(F.min("dp").alias("lo"), F.max("dp").alias("hi"),
                                                    F.count("*").alias("n")).orderBy("cell", "_no").collect())
         ids = {(r["cell"], r["_no"]): i for i, r in enumerate(table)}
         lookup = spark.createDataFrame([(c, b, i) for (c, b), i in ids.items()], "cell long, _no long, ring long")
-        self.rows = ringed.join(F.broadcast(lookup), ["cell", "_no"]).select("ring", *train.columns)
+        self.rows = ringed.join(lookup, ["cell", "_no"]).select("ring", *train.columns)
         cell = np.array([r["cell"] for r in table])
         self.rings = spark.sparkContext.broadcast((
             cell, np.where(cell < 0, 0.0, [r["lo"] for r in table]),
@@ -354,12 +355,15 @@ class Rings:
                     continue
                 z = m.prepare(block(batch.column("x")))
                 to_pivot = m.direct(z, held.value) if len(held.value) else np.zeros((len(z), 1))
-                mask = choose(to_pivot, m.odd(z), batch, rings.value)
-                q, r = np.nonzero(mask)
-                for a in range(0, len(q), 50_000):
-                    taken = batch.take(pa.array(q[a:a + 50_000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(r[a:a + 50_000]), *taken.columns],
-                                                     names=["ring", *base.names])
+                odd = m.odd(z)
+                step = max(1, _WORK_BYTES // (32 * len(rings.value[0])))
+                for at in range(0, len(z), step):
+                    part = batch.slice(at, step)
+                    q, r = np.nonzero(choose(to_pivot[at:at + step], odd[at:at + step], part, rings.value))
+                    for a in range(0, len(q), 10_000):
+                        taken = part.take(pa.array(q[a:a + 10_000]))
+                        yield pa.RecordBatch.from_arrays([pa.array(r[a:a + 10_000]), *taken.columns],
+                                                         names=["ring", *base.names])
 
         return queries.mapInArrow(run, schema)
 

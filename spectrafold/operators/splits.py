@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..arrays import block, lists, vector
 from ..dataset import Dataset, class_layer
-from ..session import durable
+from ..session import Spool, durable
 from .ordering import permuted, rank_within
 
 _POOL = 512    # candidates per pass that reach the driver
@@ -84,22 +84,21 @@ def kennard_stone(df: DataFrame, select: int | dict, group: str | None = None, x
     wanted = {str(k): v for k, v in wanted.items()}
     means = _group_means(work)
     state = durable(_with_distance(work, means))
-    picks: dict[str, list] = {g: [] for g in wanted}
-    while any(len(picks[g]) < wanted[g] for g in wanted):
-        open_groups = [g for g in wanted if len(picks[g]) < wanted[g]]
-        fresh: dict[str, list] = {g: [] for g in open_groups}
-        pool = _top_rows(state.filter(F.col("g").isin(open_groups)), _POOL)
-        for g in open_groups:
-            rows = pool.get(g, [])
-            fresh[g] = _certain_picks(rows, wanted[g] - len(picks[g]), first=not picks[g])
-            picks[g].extend(ix for ix, _ in fresh[g])
-        if any(len(picks[g]) < wanted[g] for g in wanted):
-            state = durable(_shrink(state, {g: np.array([v for _, v in rows])
-                                            for g, rows in fresh.items() if rows},
-                                    {g: len(picks[g]) == len(fresh[g]) for g in fresh},
+    taken = {g: 0 for g in wanted}
+    spool = Spool(df.sparkSession, "grp string, round int, ix long")
+    while any(taken[g] < wanted[g] for g in wanted):
+        fresh: dict[str, list] = {}
+        pool = _top_rows(state.filter(F.col("g").isin([g for g in wanted if taken[g] < wanted[g]])), _POOL)
+        first = {g: not taken[g] for g in wanted}
+        for g, rows in pool.items():
+            fresh[g] = _certain_picks(rows, wanted[g] - taken[g], first[g])
+        spool.add([(g, taken[g] + i, int(ix)) for g, rows in fresh.items() for i, (ix, _) in enumerate(rows)])
+        for g, rows in fresh.items():
+            taken[g] += len(rows)
+        if any(taken[g] < wanted[g] for g in wanted):
+            state = durable(_shrink(state, {g: np.array([v for _, v in rows]) for g, rows in fresh.items()}, first,
                                     {g: {ix for ix, _ in rows} for g, rows in fresh.items()}))
-    rows = [(g, i, int(ix)) for g, chosen in picks.items() for i, ix in enumerate(chosen)]
-    return df.sparkSession.createDataFrame(rows, "grp string, round int, ix long")
+    return spool.frame()
 
 
 def _group_means(work: DataFrame) -> dict[str, np.ndarray]:

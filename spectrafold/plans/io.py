@@ -47,21 +47,19 @@ def read_matrix_tabs_classes(spark, folder):
     return long_x(df, "vec_id", "class").select("vec_id", "class", "pos", "value")
 
 
-@query("read_vector_files", """
-SELECT user_id, sum(CAST(value AS DOUBLE)) AS total, count(*) AS n FROM events GROUP BY user_id""".replace(
-    "sum(CAST(value AS DOUBLE))", "round(sum(value), 4)"))
+@query("read_vector_files", f"WITH {LONG} SELECT vec_id, round(sum(v), 5) + 0.0 AS total, count(*) AS n FROM long GROUP BY vec_id")
 def read_vector_files(spark, folder):
-    """One file per user with a value per line, read back whole: one sample per file."""
+    """One file per sample with a value per line, read back whole."""
     path = _folder(spark, "vectors")
-    events = table(spark, folder, "events").select("user_id", "ts", "event_id", F.col("value").cast("string").alias("value"))
-    (events.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "value")
-     .write.mode("overwrite").partitionBy("user_id").text(path))
-    files = text.scan_files(spark, path)
+    lines = spectra(spark, folder).df.select(
+        F.col("ix").alias("vec_id"), F.concat_ws("\n", F.transform("x", lambda v: v.cast("string"))).alias("value"))
+    lines.repartitionByRange(8, "vec_id").write.mode("overwrite").partitionBy("vec_id").text(path)
     rows = F.filter(F.split("value", "\n"), lambda s: F.trim(s) != "")
     sample = F.transform(rows, lambda s: text.number(s))
-    user = F.regexp_extract("file_path", "user_id=([0-9]+)", 1).cast("long")
-    return files.select(user.alias("user_id"), r6(F.aggregate(sample, F.lit(0.0), lambda a, v: a + v), 4).alias("total"),
-                        F.size(sample).cast("long").alias("n"))
+    vec = F.regexp_extract("file_path", "vec_id=([0-9]+)", 1).cast("long")
+    return text.scan_files(spark, path).select(
+        vec.alias("vec_id"), r6(F.aggregate(sample, F.lit(0.0), lambda a, v: a + v), 5).alias("total"),
+        F.size(sample).cast("long").alias("n"))
 
 
 @query("stream_scores", f"""

@@ -98,8 +98,8 @@ def scan_lines(spark: SparkSession, paths) -> DataFrame:
         offsets.append((path, start, before - first))
         last, before = path, before + n
     table = spark.createDataFrame(offsets, "file_path string, _start long, _shift long")
-    # one row per input split
-    numbered = raw.join(F.broadcast(table), ["file_path", "_start"]).withColumn("line_no", F.col("_id") + F.col("_shift"))
+    # one row per input split; the planner decides how to join it
+    numbered = raw.join(table, ["file_path", "_start"]).withColumn("line_no", F.col("_id") + F.col("_shift"))
     return _numbered_files(numbered.drop("_id", "_shift", "_start"), paths)
 
 
