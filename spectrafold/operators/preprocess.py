@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..arrays import map_blocks
+from ..arrays import map_blocks, sum_blocks
 from ..dataset import Axis, Dataset
 from ..functions import vectors as V
 from .stats import array_quantiles, column_extremes
@@ -228,8 +228,7 @@ def fit_scale(df: DataFrame, method: str) -> ScaleModel:
 
 
 def _centred_squares(df: DataFrame, mean: np.ndarray) -> np.ndarray:
-    centred = map_blocks(df, lambda c: {"x": c["x"] - mean}, [("x", "array<double>")], ["x"], [])
-    return column_extremes(centred)["ss"]
+    return sum_blocks(df, ["x"], lambda c: np.square(c["x"] - mean).sum(axis=0))
 
 
 def scale(ds: Dataset, method: str = "center") -> tuple[Dataset, ScaleModel]:
