@@ -17,7 +17,8 @@ from ..arrays import few_tasks, map_blocks, sum_blocks
 from .moments import moments
 from .stats import exact_quantiles
 
-_SMOOTH = 0.05  # width of the rounded corner of the hinge and ε-insensitive losses
+_SMOOTH = 0.05       # width of the rounded corner of the hinge
+_TUBE_SMOOTH = 0.25  # and of the ε-insensitive loss, relative to ε
 
 
 @dataclass(frozen=True)
@@ -147,7 +148,7 @@ def svr(df: DataFrame, feature: Features, c: float = 1.0, epsilon: float = 0.1,
     try:
         first = data.select(F.size("x").alias("p"), F.size("y").alias("q")).first()
         p, q = first["p"], first["q"]
-        width = max(epsilon, 1e-3) * _SMOOTH
+        width = max(epsilon, 1e-3) * _TUBE_SMOOTH
         few = few_tasks(data)
 
         def objective(flat):

@@ -404,7 +404,7 @@ def elliptic_envelope(df: DataFrame, n: int, width: int, contamination: float =
         m = moments(dist.filter(F.col("value") <= cut), "x", width=width)[""]
         center, cov = _location(m, centered)
         size = np.linalg.slogdet(cov + 1e-12 * np.trace(cov) / width * np.eye(width))[1]
-        if size >= last - 1e-10:
+        if size >= last - 1e-7:
             break
         last = size
     dist = within(center, np.linalg.pinv(cov, hermitian=True))
