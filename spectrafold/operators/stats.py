@@ -18,7 +18,8 @@ _BINS = 128
 
 def to_long(df: DataFrame, x: str = "x", keep: tuple[str, ...] = ("ix",)) -> DataFrame:
     """One row per (sample, 0-based variable position)."""
-    return df.select(*keep, F.posexplode(x).alias("pos", "value"))
+    # the outer form: the plain one adds a filter that computes ``x`` a second time
+    return df.select(*keep, F.posexplode_outer(x).alias("pos", "value")).filter("pos is not null")
 
 
 def to_wide(df: DataFrame, key: str = "ix") -> DataFrame:

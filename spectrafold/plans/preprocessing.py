@@ -65,7 +65,7 @@ SELECT vec_id, pos, round(CASE WHEN abs(b) >= 1e-12 THEN (v - a) / b ELSE v END,
 FROM long JOIN fit USING (vec_id)""")
 def msc_rows(spark, folder):
     done = preprocess.msc(spectra(spark, folder)).df.withColumnRenamed("ix", "vec_id")
-    return (done.select("vec_id", F.posexplode("x").alias("pos", "_v"))
+    return (done.select("vec_id", F.posexplode_outer("x").alias("pos", "_v"))
             .select("vec_id", F.col("pos").cast("long").alias("pos"), r6("_v", 4).alias("value")))
 
 

@@ -68,5 +68,6 @@ def r6(c, digits: int = 6) -> Column:
 
 
 def long_x(df: DataFrame, *keep: str, value: str = "value") -> DataFrame:
-    return (df.select(*keep, F.posexplode("x").alias("pos", "_v"))
+    # the outer form: the plain one adds a filter that computes ``x`` a second time
+    return (df.select(*keep, F.posexplode_outer("x").alias("pos", "_v")).filter("pos is not null")
             .select(*keep, F.col("pos").cast("long").alias("pos"), r6("_v").alias(value)))
