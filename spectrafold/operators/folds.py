@@ -197,3 +197,25 @@ def fold_table(assigned: DataFrame, ix: str = "ix") -> DataFrame:
     train = training_rows(assigned).select("fold", ix, F.lit("train").alias("role"), "weight")
     test = test_rows(assigned).select("fold", ix, F.lit("test").alias("role"), F.lit(1.0).alias("weight"))
     return train.unionByName(test)
+
+
+def cross_validate(df: DataFrame, cv: CV, fit, predict, n: int | None = None, ix: str = "ix") -> DataFrame:
+    """User hook: ``fit(training rows) -> model`` and ``predict(model, test rows) -> DataFrame`` per fold.
+
+    Returns the union of the predictions with ``fold``. Training rows carry ``weight`` (above 1
+    for rows the bootstrap drew more than once). Folds without rows on either side are left out.
+    """
+    if cv.strategy == "loocv":
+        raise ValueError("one fit per row: choose folds for a user model")
+    assigned = assign(df, cv, n, ix)
+    train, test = training_rows(assigned), test_rows(assigned)
+    sizes = {r["fold"]: r for r in fold_table(assigned, ix).groupBy("fold").agg(
+        F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "test").alias("test")).collect()}
+    out = None
+    for f in sorted(sizes):
+        if not sizes[f]["train"] or not sizes[f]["test"]:
+            continue
+        model = fit(train.filter(F.col("fold") == f).drop("fold"))
+        part = predict(model, test.filter(F.col("fold") == f).drop("fold")).withColumn("fold", F.lit(f))
+        out = part if out is None else out.unionByName(part)
+    return out

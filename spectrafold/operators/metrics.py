@@ -112,3 +112,9 @@ def best_candidate(df: DataFrame, score: str, candidate: str, order: str, mode:
 
 def inlier_rate(df: DataFrame, flag: str = "inlier") -> Column:
     return df.agg(F.avg((F.col(flag) == 1).cast("int")).alias("inlier_rate"))
+
+
+def figure_ranges(runs: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Least and greatest value of each figure of merit over the models of ``runs``."""
+    ends = [fn(c).alias(f"{c}_{name}") for c in columns for name, fn in (("min", F.min), ("max", F.max))]
+    return runs.groupBy(*(by or [])).agg(*ends)
