@@ -1,4 +1,4 @@
 """Importing this fills the registry with every query of the subpackage."""
 
-from . import exact_dedup, packing, secret_scan, source_mix  # noqa: F401
+from . import embedding_dedup, exact_dedup, packing, quality, secret_scan, source_mix  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
