@@ -1,4 +1,13 @@
 """Importing this fills the registry with every query of the subpackage."""
 
-from . import embedding_dedup, exact_dedup, packing, quality, secret_scan, source_mix  # noqa: F401
+from . import (  # noqa: F401
+    embedding_dedup,
+    exact_dedup,
+    ngram_join,
+    packing,
+    quality,
+    secret_scan,
+    source_mix,
+    toxicity,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -18,6 +18,7 @@ an empty table gives an empty result; other columns are not read, and the filter
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,12 +36,13 @@ WORDS = 2  # a window
 LEARNT_WORDS = 4  # a window to learn from
 GRAM = 5  # bytes whose frequency is compared
 PER_CLASS = 2500
-DOC_WINDOWS = 96
+DOC_WINDOWS = 200
 SIGNIFICANT, TIMES = 4.5, 5  # standard deviations and times above ordinary windows
 MIN_MATCH = 6
 CALIBRATE = 4  # one sampled document in so many calibrates
 THRESHOLD = 0.3
-ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 7000, 3000, 1500
+# the ordinary dictionary stays small: one that knows every ordinary syllable also compresses toxic words made of them
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 300, 3000, 1500
 HARD_ROUNDS = 3
 TEXT_BYTES = 1 << 20  # of a very long text that are split into words at once
 # LEAD opens every window and closes every dictionary, or else short windows would be stored and not compressed;
@@ -79,6 +81,16 @@ def _content(samples: list[bytes], size: int) -> bytes:
         return b"\n".join(dict.fromkeys(samples))[:size]
 
 
+def _completed(content: bytes, samples: list[bytes], size: int) -> bytes:
+    """The content with the commonest samples that it lacks in front, as far as they fit."""
+    for sample, _ in Counter(samples).most_common():
+        if len(content) + len(sample) > size:
+            break
+        if sample not in content:
+            content = sample + content
+    return content
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters(
         window_log=15, hash_log=14, chain_log=14, search_log=5, min_match=MIN_MATCH, strategy=zstandard.STRATEGY_LAZY2,
@@ -159,7 +171,7 @@ def fit_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes,
     content = _content(ordinary[:60_000], ORDINARY_BYTES)
     spans = telling_spans(toxic, ordinary)
     rng.shuffle(spans)
-    telling = _content(spans, TOXIC_BYTES) if spans else b""
+    telling = _completed(_content(spans, TOXIC_BYTES), spans, TOXIC_BYTES) if spans else b""
     # ordinary windows that gain nevertheless are learnt by both
     probe = [p for w in ordinary[:30_000] for p in windows(w, WORDS)]
     for _ in range(HARD_ROUNDS if telling else 0):
