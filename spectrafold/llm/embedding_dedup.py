@@ -3,8 +3,8 @@
 Normalised vectors are projected on Gaussian directions, shifted and cut into intervals of width
 ``WIDTH``; ``DIRECTIONS`` interval numbers form the bucket of a table, and there are ``TABLES`` of
 them. Vectors that share a bucket (and the label) are compared exactly. For unit vectors of cosine
-0.93 (distance 0.374) an interval number agrees with probability 0.67, so a pair at the very
-threshold is found with probability 1 - (1 - 0.67^5)^20 = 0.95, closer ones more surely.
+0.93 (distance 0.374) an interval number agrees with probability 0.75, so a pair at the very
+threshold is found with probability 1 - (1 - 0.75^8)^24 = 0.92, closer ones more surely.
 
 Equal vectors of a label are one class with a number of copies, compared once. A pair counts in
 the first table where it meets, so that links can be added up; tasks hand on numbers of links
@@ -34,7 +34,7 @@ from .registry import query, table
 from .textblocks import mix64
 
 LEAST = 0.93
-TABLES, DIRECTIONS, WIDTH = 20, 5, 0.9
+TABLES, DIRECTIONS, WIDTH = 24, 8, 1.2
 BLOCK = 1000
 SEED = 20240229
 
@@ -112,19 +112,23 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def block_cells(rows: DataFrame, key: str, block: int, spread: str) -> DataFrame:
-    """``rows`` with _i, _j, _side: keys beyond ``block`` rows are cut, and each pair of cuts is a cell.
+def with_size(rows: DataFrame, key: str, size: str = "met") -> DataFrame:
+    """``rows`` (light ones) with the number of rows that share the key."""
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias(size))
+    return rows.join(counts, F.col(key) == F.col("_key")).drop("_key")
 
-    In the cell (i, j) the rows of cut i meet those of cut j; _side says which a row is.
+
+def block_cells(rows: DataFrame, size: str, block: int, spread: str) -> DataFrame:
+    """``rows`` with _i, _j, _side: keys of more than ``block`` rows are cut, and each pair of cuts is a cell.
+
+    In the cell (i, j) the rows of cut i meet those of cut j; _side says which a row is. ``size`` names the
+    column with the number of rows of a key, ``spread`` the one that decides the cut of a row.
     """
-    sizes = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
-             .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / block).alias("_cuts")))
-    # the few large keys only
-    cut = rows.join(sizes, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("_cuts", F.coalesce("_cuts", F.lit(1)))
-    cut = cut.withColumn("_own", F.pmod(F.xxhash64(spread), F.col("_cuts")).cast("int"))
-    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("_cuts") - 1).cast("int"))))
+    cuts = F.ceil(F.col(size) / block).cast("int")
+    cut = rows.withColumn("_own", F.pmod(F.xxhash64(spread), cuts).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     return (cut.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-            .withColumn("_side", (F.col("_own") > F.col("_other")).cast("int")).drop("_cuts", "_own", "_other"))
+            .withColumn("_side", (F.col("_own") > F.col("_other")).cast("int")).drop("_own", "_other"))
 
 
 def _compare(least: float, tables: int, directions: int, width: float) -> Callable:
@@ -176,7 +180,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, tables: int = TABLES,
                  block: int = BLOCK) -> DataFrame:
     """One row per vector: its id, n_links, component_id and kept."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"),
-                          F.col(vector_col).cast("array<double>").alias("v"))
+                          F.col(vector_col).alias("v"))
     usable = (F.col("label").isNotNull() & F.col("v").isNotNull()
               & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)).cast("int")).withColumn("usable", F.coalesce(usable, F.lit(False)))
@@ -184,25 +188,26 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, tables: int = TABLES,
     classes = parts.groupBy("label", "v").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()))
 
+    # labels are compared through a number of their own
+    names = durable(classes.select("label").distinct().withColumn("number", F.monotonically_increasing_id()))
+    coded = classes.join(names, "label").select("node", "copies", F.col("number").alias("label"), "v")
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
         for batch in batches:
             for found, x in matrices(batch.column("v")):
                 own = buckets(unit_rows(x), tables, directions, width)
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[:, t]), pa.array(np.full(len(found), t, np.int32))]
-                        + [batch.column(c).take(pa.array(found)) for c in ("node", "copies", "label", "v")],
-                        names=["bucket", "t", "node", "copies", "label", "v"])
-
-    # labels are compared through a number of their own
-    names = durable(classes.select("label").distinct().withColumn("number", F.monotonically_increasing_id()))
-    coded = classes.join(names, "label").select("node", "copies", F.col("number").alias("label"), "v")
-    placed = coded.mapInArrow(place, "bucket long, t int, node long, copies long, label long, v array<double>")
-    placed = placed.withColumn("bucket", F.xxhash64("bucket", "label"))
-    cells = block_cells(placed, "bucket", block, "node")
-    sorted_cells = cells.repartition("bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j", "node")
-    met = durable(sorted_cells.mapInArrow(_compare(least, tables, directions, width), "a long, links long, b long"))
+                at = pa.array(np.repeat(found, tables))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own.reshape(-1)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(found))),
+                     batch.column("node").take(at), batch.column("label").take(at)], names=["bucket", "t", "node", "label"])
+
+    placed = coded.select("node", "label", "v").mapInArrow(place, "bucket long, t int, node long, label long")
+    placed = durable(placed.select(F.xxhash64("bucket", "label").alias("bucket"), "t", "node"))
+    # only buckets with company get the vectors themselves
+    cells = block_cells(with_size(placed, "bucket").filter("met > 1"), "met", block, "node").drop("met").join(coded, "node")
+    cells = cells.repartition("bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j", "node")
+    met = durable(cells.mapInArrow(_compare(least, tables, directions, width), "a long, links long, b long"))
 
     links = met.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(met.filter("b is not null").select("a", "b"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..blas import single_threaded
 from ..session import durable
 from .components import components
-from .embedding_dedup import Forest, block_cells, by_group
+from .embedding_dedup import Forest, block_cells, by_group, with_size
 from .registry import query, table
 from .textblocks import LOWER, blocks, binary_column, mix64, shingle_hashes, span_hashes, word_bounds
 
@@ -170,10 +170,10 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
                     ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                     made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
                     at = pa.array(keep)
-                    yield pa.RecordBatch.from_arrays([batch.column("e").take(at), batch.column("cluster").take(at), made],
-                                                     names=["e", "cluster", "s"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("e", "cluster", "met")), made],
+                                                     names=["e", "cluster", "met", "s"])
 
-    return texts.select("e", "cluster", "text").mapInArrow(run, "e binary, cluster binary, s array<long>").dropDuplicates(["e"])
+    return texts.select("e", "cluster", "met", "text").mapInArrow(run, "e binary, cluster binary, met long, s array<long>")
 
 
 def intersections(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
@@ -207,7 +207,7 @@ def _verify(percent: int):
             size = np.asarray(lists.value_lengths())
             common = intersections(np.asarray(lists.flatten()), np.repeat(np.arange(m), size), m)
             union = size[:, None] + size[None, :] - common
-            a, b = np.nonzero(np.triu(100 * common >= percent * union, 1))
+            a, b = np.nonzero(np.triu(100 * common >= percent * union, 1))  # a set that comes twice links with itself
             if group["_i"][0].as_py() != group["_j"][0].as_py():
                 side = np.asarray(group["_side"])
                 a, b = (v[side[a] != side[b]] for v in (a, b))
@@ -249,9 +249,9 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
     lowest = own.filter("n > 0").groupBy("e").agg(F.min(order).alias("low"))
     wanted = clusters.select(F.col("node").alias("e"), F.col("root").alias("cluster")).join(lowest, "e")
-    wanted = wanted.select("e", "cluster", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark"))
+    wanted = with_size(wanted.select("e", "cluster", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark")), "cluster")
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    cells = block_cells(durable(_sets(texts, n)), "cluster", block, "e")
+    cells = block_cells(_sets(texts, n), "met", block, "e")
     cells = cells.repartition("cluster", "_i", "_j").sortWithinPartitions("cluster", "_i", "_j", "e")
     links = durable(cells.mapInArrow(_verify(percent), "a binary, b binary"))
     roots = components(links).select(F.col("node").alias("e"), "root")
