@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     embedding_dedup,
     exact_dedup,
+    line_dedup,
     ngram_join,
     packing,
     quality,
