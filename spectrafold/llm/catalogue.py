@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     embedding_dedup,
     exact_dedup,
+    license_scan,
     line_dedup,
     ngram_join,
     packing,
