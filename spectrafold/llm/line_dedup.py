@@ -1,16 +1,18 @@
 """Removal of passages that repeat over the corpus, by content-defined chunks of lines.
 
-A rolling hash over the hashes of ``WINDOW`` lines decides where a chunk begins, so boundaries
-depend on the lines that follow and not on their place in a text; ``SEEDS`` rolling hashes cut
-every text in differing ways. Chunks of at least two lines are counted by digest over all
-documents. Where a digest repeats, the chunk that comes first (smallest id, then first line)
-stays; the text of each other one is compared with it byte by byte, the match is grown by up to
-``CONTEXT`` equal lines at either end, and its lines are removed. Every removed line so has an
-equal one earlier in the corpus.
-
-Counts are combined per (digest, salt) and then per digest, and verdicts go back the same way, so
-that a chunk that a third of all documents share is spread over ``SALTS`` tasks at each step. Only
-chunks whose digest repeats are shuffled with their text.
+A rolling hash over the hashes of ``WINDOW`` lines decides where chunks begin and where they end.
+Either decision looks only at lines inside the chunk, so a passage is cut the same way wherever it
+stands; ``SEEDS`` rolling hashes cut every text in differing ways. Chunks of at least two lines
+are counted by digest over all documents. Where a digest repeats, the chunk that comes first
+(smallest id, then first line) leads. The others are grown by up to four lines at either end whose
+short hashes equal those around the leading chunk; then every line is compared with its counterpart
+byte by byte, and runs of two and more equal lines are removed. Every removed line so has an equal
+one earlier in the corpus.
+
+Counts are combined before the shuffle; the join that brings leads back to their occurrences may be
+split where a digest is hot, and lines of a lead with more than ``WIDE`` occurrences are compared in
+``SALTS`` parts. Only lines of repeated chunks are shuffled one by one; the texts themselves are
+shuffled once, for the comparison and for the cut.
 
 Results for odd input: a null text stays null and an empty one empty; a text whose lines all go
 becomes empty and its row stays; rows that repeat id and text are one document and get the same
@@ -31,15 +33,14 @@ from ..session import durable
 from .registry import query, table
 from .textblocks import binary_column, blocks, mix64, plain, span_hashes
 
-WINDOW = 2  # lines of the rolling hash
-SEEDS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118, 0x52E1F4A3C7B60D95)
-EVERY = 2  # lines between boundaries on average
-LEAST_LINES = 2
+WINDOW = 2  # lines of the rolling hash, and the least of a chunk
+SEEDS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118)
+EVERY = 2  # lines from one beginning (and from one end) to the next, on average
 LEAST_BYTES = 64  # shorter chunks repeat by chance
-CONTEXT = 4
-SALTS = 32
+WIDE, SALTS = 64, 32
 
 _ODD = 0x9E3779B97F4A7C15
+_AROUND = 4  # lines whose short hashes fit a number
 
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,124 +56,173 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return begin, end, row
 
 
-def line_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first line, line after the last, and digest (two numbers) of the chunks of each text."""
+def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """Row, first line (a), line after the last (b), digest, and short hashes around, of the chunks of each text."""
     begin, end, row = line_bounds(data, offsets)
     n = len(begin)
     value = span_hashes(data, begin, end)
-    number = np.arange(n) - np.searchsorted(row, row)
-    opens = number == 0
+    first = np.searchsorted(row, row)
+    last = np.searchsorted(row, row, "right") - 1
+    at = np.arange(n)
     found = []
     with np.errstate(over="ignore"):
         rolled = value.copy()
         for k in range(1, WINDOW):
-            after = np.zeros(n, np.uint64)
-            same = row[k:] == row[:n - k]
-            after[:n - k][same] = value[k:][same]
-            rolled = rolled * np.uint64(_ODD) + after
+            rolled[:n - k] = rolled[:n - k] * np.uint64(_ODD) + value[k:]
         for seed in SEEDS:
-            at = np.flatnonzero(opens | (mix64(rolled ^ np.uint64(seed)) % np.uint64(EVERY) == 0))
-            found.append(np.column_stack([at, np.append(at[1:], n)]))
+            mark = mix64(rolled ^ np.uint64(seed))
+            starts = np.flatnonzero((at == first) | (mark % np.uint64(EVERY) == 0))
+            closes = (mark >> np.uint64(32)) % np.uint64(EVERY) == 0  # the window that begins here ends a chunk
+            ends = at == last
+            ends[WINDOW - 1:] |= closes[:n - WINDOW + 1] & (first[WINDOW - 1:] == first[:n - WINDOW + 1])
+            ends = np.flatnonzero(ends)
+            to = np.searchsorted(ends, starts + WINDOW - 1)
+            starts = starts[to < len(ends)]
+            stops = ends[to[to < len(ends)]]
+            inside = first[stops] == first[starts]
+            found.append(np.column_stack([starts[inside], stops[inside] + 1]))
     both = np.concatenate(found)
-    both = both[both[:, 1] - both[:, 0] >= LEAST_LINES]
     both = both[end[both[:, 1] - 1] - begin[both[:, 0]] >= LEAST_BYTES]
     a, b = np.unique(both, axis=0).T if len(both) else (np.empty(0, np.int64),) * 2
+    short = np.concatenate([value >> np.uint64(48), np.zeros(1, np.uint64)])
+    before, after = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
+    for k in range(_AROUND):  # the nearest line in the lowest bits
+        before |= np.where(a - 1 - k >= first[a], short[np.maximum(a - 1 - k, 0)], 0).astype(np.uint64) << np.uint64(16 * k)
+        after |= np.where(b + k <= last[a], short[np.minimum(b + k, n)], 0).astype(np.uint64) << np.uint64(16 * k)
     digest = np.column_stack([span_hashes(data, begin[a], end[b - 1]), span_hashes(value, a, b)]) if len(a) else np.empty((0, 2), np.uint64)
-    return row[a], number[a], number[a] + b - a, digest
+    return {"row": row[a], "a": a - first[a], "b": b - first[a], "digest": digest, "before": before.view(np.int64), "after": after.view(np.int64)}
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    """A name for a document that repeated rows share."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))))
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Columns c0, c1 ... as in ``docs``, and key, a name that rows with equal id and text share."""
+    name = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.unhex(name).alias("key"))
+    return named.filter(F.col("key").isNotNull())
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    source = docs.select(F.col(id_col).alias("doc_id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    named = _named(docs, id_col, text_col)
+    source = named.select(F.col(f"c{docs.columns.index(id_col)}").alias("doc_id"), "key", F.col(f"c{docs.columns.index(text_col)}").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offsets in blocks(batch.column("text")):
-                row, a, b, digest = line_chunks(data, offsets)
-                at = pa.array(row + first)
+                made = line_chunks(data, offsets)
+                at = pa.array(made["row"] + first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                     binary_column(digest, 16)], names=["doc_id", "key", "a", "b", "digest"])
+                    [batch.column("doc_id").take(at), batch.column("key").take(at), binary_column(made["digest"], 16),
+                     *(pa.array(made[c].astype(np.int64)) for c in ("a", "b", "before", "after"))],
+                    names=["doc_id", "key", "digest", "a", "b", "before", "after"])
 
-    found = source.mapInArrow(run, f"doc_id {kind}, key binary, a long, b long, digest binary")
-    return found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return source.mapInArrow(run, f"doc_id {kind}, key binary, digest binary, a long, b long, before long, after long")
 
 
-SPANS = "array<struct<a:bigint,b:bigint,digest:binary,salts:array<int>,leads:boolean>>"
+def _equal_fields(x: Column, y: Column) -> Column:
+    """How many of the short hashes agree, from the nearest line on."""
+    differ = x.bitwiseXOR(y)
+    made = F.when(differ == 0, _AROUND)
+    for k in range(1, _AROUND):
+        made = made.when(differ.bitwiseAND(F.lit((1 << 16 * k) - 1)) != 0, k - 1)
+    return made.otherwise(_AROUND - 1)
 
 
-def _contents(texts: DataFrame) -> DataFrame:
-    """The repeated chunks themselves, with the lines around them; a leading one for each salt that has others."""
-    schema = pa.schema([("digest", pa.binary()), ("salt", pa.int32()), ("leads", pa.bool_()), ("key", pa.binary()), ("a", pa.int64()),
-                        ("b", pa.int64()), ("before", pa.list_(pa.string())), ("content", pa.string()), ("after", pa.list_(pa.string()))])
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of lines with one counterpart for each line, from the overlapping spans of a document."""
+    schema = pa.schema([("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("lead", pa.binary()), ("shift", pa.int64()),
+                        ("wide", pa.bool_())])
+    for batch in batches:
+        made = []
+        for key, spans in zip(batch.column("key").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            done = 0
+            for s in sorted(spans, key=lambda s: (s["start"], -s["stop"], s["lead"], s["shift"])):
+                start = max(done, s["start"])
+                if start < s["stop"]:
+                    made.append(s | {"key": key, "start": start})
+                    done = s["stop"]
+        yield pa.RecordBatch.from_pylist(made, schema)
+
+
+def _lines(text_at: str):
+    """The wanted lines of each text: its own to be compared, and those that it lends as a lead."""
+    schema = pa.schema([("lead", pa.binary()), ("place", pa.int64()), ("salt", pa.int32()), ("leads", pa.bool_()), ("key", pa.binary()),
+                        ("line", pa.int64()), ("content", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts_, keys, spans = plain(batch.column("text")), batch.column("key"), batch.column("spans")
-            for i in range(batch.num_rows):
-                lines = texts_[i].as_py().split("\n")
-                made = []
-                for s in spans[i].as_py():
-                    a, b = s["a"], s["b"]
-                    one = {"digest": s["digest"], "leads": s["leads"], "key": keys[i].as_py(), "a": a, "b": b, "before": lines[max(0, a - CONTEXT):a],
-                           "content": "\n".join(lines[a:b]), "after": lines[b:b + CONTEXT]}
-                    made += [one | {"salt": salt} for salt in s["salts"]]
-                yield pa.RecordBatch.from_pylist(made, schema)
-
-    return texts.mapInArrow(run, "digest binary, salt int, leads boolean, key binary, a long, b long, before array<string>, "
-                                 "content string, after array<string>")
+            texts, keys, wanted = plain(batch.column(text_at)), batch.column("key").to_pylist(), batch.column("wanted")
+            made = []
+            for i, key in enumerate(keys):
+                lines = texts[i].as_py().split("\n")
+                lent: dict[int, bool] = {}
+                for w in wanted[i].as_py():
+                    stop = min(w["stop"], len(lines))
+                    for line in range(max(0, w["start"]), stop):
+                        if w["lead"] is None:
+                            lent[line] = lent.get(line, False) or w["wide"]
+                        else:
+                            salt = key[0] % SALTS if w["wide"] else 0
+                            made.append((w["lead"], line + w["shift"], salt, False, key, line, lines[line]))
+                for line, wide in lent.items():
+                    made += [(key, line, salt, True, key, line, lines[line]) for salt in range(SALTS if wide else 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], schema.types[c]) for c in range(7)], schema=schema)
+
+    return run
 
 
 def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line ranges to remove, from rows sorted so that the leading chunk of a (digest, salt) comes first."""
-    group, lead = None, None
+    """Lines that equal their counterpart, from rows sorted so that the counterpart comes first."""
+    group, content = None, None
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("lead", "place", "salt", "leads", "key", "line", "content")]
+        keys, lines = [], []
+        for lead, place, salt, leads, key, line, own in zip(*columns, strict=True):
+            if leads:
+                group, content = (lead, place, salt), own
+            elif (lead, place, salt) == group and own == content:
+                keys.append(key)
+                lines.append(line)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.int64())], names=["key", "line"])
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of at least ``WINDOW`` lines among the equal lines of each document."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
-        keys, starts, stops = [], [], []
-        for one in batch.to_pylist():
-            if (one["digest"], one["salt"]) != group:
-                group, lead = (one["digest"], one["salt"]), one
-                continue
-            if one["leads"] or one["content"] != lead["content"]:
-                continue
-            left = right = 0
-            for x, y in zip(reversed(one["before"]), reversed(lead["before"])):
-                if x != y:
-                    break
-                left += 1
-            for x, y in zip(one["after"], lead["after"]):
-                if x != y:
-                    break
-                right += 1
-            keys.append(one["key"])
-            starts.append(one["a"] - left)
-            stops.append(one["b"] + right)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
-                                         names=["key", "start", "stop"])
+        keys, cuts = [], []
+        for key, lines in zip(batch.column("key").to_pylist(), batch.column("lines"), strict=True):
+            at = np.unique(np.asarray(lines.values))
+            edge = np.flatnonzero(np.diff(at) != 1)
+            starts, stops = at[np.append(0, edge + 1)], at[np.append(edge, len(at) - 1)] + 1
+            made = [{"start": a, "stop": b} for a, b in zip(starts.tolist(), stops.tolist()) if b - a >= WINDOW]
+            if made:
+                keys.append(key)
+                cuts.append(made)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(cuts, kind)], names=["key", "cuts"])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key and cuts (ranges of lines to remove) of the documents that lose lines."""
-    found = durable(_occurrences(docs, id_col, text_col))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("a").alias("a"))
-    parts = found.groupBy("digest", "salt").agg(F.min(place).alias("lead"), F.max(place).alias("last"))
-    whole = (parts.groupBy("digest").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.collect_list("salt").alias("salts"))
-             .filter("lead <> last"))  # places differ, so the chunk occurs twice
-    back = parts.select("digest", "salt").join(whole.select("digest", "lead", "salts"), "digest")
-    hits = found.join(back, ["digest", "salt"])
-    leads = place == F.col("lead")
-    span = F.struct("a", "b", "digest", F.when(leads, F.col("salts")).otherwise(F.array("salt")).alias("salts"), leads.alias("leads"))
-    # repeated rows give one span
+    found = _occurrences(docs, id_col, text_col)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "a", "before", "after")
+    whole = (found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+             .filter("first <> last"))  # places differ, so the chunk occurs twice
+    hits = (found.join(whole.select("digest", "first", (F.col("n") > WIDE).alias("wide")), "digest")
+            .filter((F.col("key") != F.col("first.key")) | (F.col("a") != F.col("first.a"))))
+    span = F.struct((F.col("a") - _equal_fields(F.col("before"), F.col("first.before"))).alias("start"),
+                    (F.col("b") + _equal_fields(F.col("after"), F.col("first.after"))).alias("stop"),
+                    F.col("first.key").alias("lead"), (F.col("first.a") - F.col("a")).alias("shift"), "wide")
     spans = hits.groupBy("key").agg(F.collect_set(span).alias("spans"))
-    texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(spans, "key").select("key", "text", "spans")
-    held = _contents(texts).repartition("digest", "salt")
-    held = held.sortWithinPartitions("digest", "salt", F.col("leads").desc())
-    cuts = held.mapInArrow(_same, "key binary, start long, stop long")
-    return durable(cuts.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("cuts")))
+    own = durable(spans.mapInArrow(_runs, "key binary, start long, stop long, lead binary, shift long, wide boolean"))
+    lent = own.select(F.col("lead").alias("key"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"),
+                      F.lit(None).cast("binary").alias("lead"), F.lit(0).cast("long").alias("shift"), "wide").distinct()
+    wanted = own.unionByName(lent).groupBy("key").agg(F.collect_list(F.struct("start", "stop", "lead", "shift", "wide")).alias("wanted"))
+    texts = _named(docs, id_col, text_col).join(wanted, "key")
+    lines = texts.mapInArrow(_lines(f"c{docs.columns.index(text_col)}"),
+                             "lead binary, place long, salt int, leads boolean, key binary, line long, content string")
+    lines = lines.repartition("lead", "place", "salt").sortWithinPartitions("lead", "place", "salt", F.col("leads").desc())
+    same = lines.mapInArrow(_same, "key binary, line long").groupBy("key").agg(F.collect_list("line").alias("lines"))
+    return same.mapInArrow(_cuts, "key binary, cuts array<struct<start:bigint,stop:bigint>>")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
@@ -181,26 +231,24 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``counted`` adds n_lines and n_removed.
     """
-    cuts = repeated_lines(docs, id_col, text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id_col, text_col).alias("key"))
-    rows = rows.join(cuts, "key", "left")
-    lines = F.split(F.col(f"row.`{text_col}`"), "\n", -1)
-    stay = F.filter(lines, lambda line, i: ~F.exists("cuts", lambda c: (c["start"] <= i) & (i < c["stop"])))
+    # the comparison reads the same columns, so that one shuffle of the texts serves both
+    rows = _named(docs, id_col, text_col).join(repeated_lines(docs, id_col, text_col), "key", "left")
+    whole = F.col(f"c{docs.columns.index(text_col)}")
+    lines = F.split(whole, "\n", -1)
     cut = F.col("cuts").isNotNull()
-    rows = rows.withColumn("left", F.when(cut, stay))
-    text = F.when(cut, F.array_join("left", "\n")).otherwise(F.col(f"row.`{text_col}`"))
+    stay = F.when(cut, F.filter(lines, lambda line, i: ~F.exists("cuts", lambda c: (c["start"] <= i) & (i < c["stop"]))))
     out = []
-    for c in docs.columns:
-        value = F.col(f"row.`{c}`")
+    for i, c in enumerate(docs.columns):
+        value = F.col(f"c{i}")
         if c == text_col:
-            value = text
+            value = F.when(cut, F.array_join("stay", "\n")).otherwise(value)
         elif c == chars_col:
-            value = F.when(cut, F.length(text).cast(docs.schema[c].dataType)).otherwise(value)
+            value = F.when(cut, F.length(F.array_join("stay", "\n")).cast(docs.schema[c].dataType)).otherwise(value)
         out.append(value.alias(c))
     if counted:
         total = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-        out += [total.alias("n_lines"), F.when(cut, total - F.size("left")).otherwise(0).cast("long").alias("n_removed")]
-    return rows.select(*out)
+        out += [total.alias("n_lines"), F.when(cut, total - F.size("stay")).otherwise(0).cast("long").alias("n_removed")]
+    return rows.withColumn("stay", stay).select(*out)
 
 
 @query("op7_line_dedup")
