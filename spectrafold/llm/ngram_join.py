@@ -4,12 +4,13 @@ Under any total order of the shingles, two sets with Jaccard similarity t share
 first n - ceil(t n) + 1 of each. Orders put shingles of common hash classes last and break ties by
 different hashes, so every order is a filter of its own, and a pair is only verified if it passes all.
 
-Equal sets are one class from the start. Classes that meet in a short posting list of the first order
-are paired, and the pairs are looked up in the second order. A list beyond ``PAIRED`` classes makes
-no pairs: its members are tied to one of them. Everything tied together is a candidate cluster;
-the sets of its members are brought together once and compared exactly, clusters beyond ``BLOCK``
-members as pairs of blocks. Tasks hand on a spanning forest of the links they find, never all
-pairs; components of these are the components of all links.
+Equal sets are one class from the start. The first order gives posting lists, spread over all tasks:
+classes that meet in a list of at most ``PAIRED`` are paired if their sizes allow a link, the members
+of a longer list are tied to one of them. Everything connected that way is a candidate cluster. Its
+texts are brought together once, clusters beyond ``BLOCK`` members as pairs of blocks; there the
+candidates must also share a prefix token under every further order before their sets are compared
+exactly. Tasks hand on a spanning forest of the links they find, never all pairs; components of
+these are the components of all links.
 
 Results for odd input: a null text, an empty one or one of white space has no shingle and links with
 nothing; a text of fewer than ``n`` words has one shingle, all its words; of rows that repeat id and
@@ -104,19 +105,21 @@ def class_ranks(source: DataFrame, n: int) -> np.ndarray:
     return np.clip(np.round(32 * np.log2(np.maximum(total, 1) / max(usual, 1.0))), 0, 255).astype(np.uint64)
 
 
-def prefixes(own: np.ndarray, ranks: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The first shingles of a set under each order, as order keys."""
-    size = len(own) - -(-percent * len(own) // 100) + 1
+def order_keys(own: np.ndarray, ranks: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers that sort the shingles by one of the orders."""
     rank = ranks[(own >> np.uint64(64 - CLASS_BITS)).astype(np.int64)] << np.uint64(56)
-    made = []
-    for seed in ORDERS:
-        key = rank | (mix64(own ^ np.uint64(seed)) >> np.uint64(8))
-        made.append(np.partition(key, size - 1)[:size] if size < len(key) else key)
-    return made
+    return rank | (mix64(own ^ np.uint64(seed)) >> np.uint64(8))
+
+
+def prefix(own: np.ndarray, ranks: np.ndarray, seed: int, percent: int) -> np.ndarray:
+    """The first shingles of a set under an order, as order keys."""
+    size = len(own) - -(-percent * len(own) // 100) + 1
+    keys = order_keys(own, ranks, seed)
+    return np.partition(keys, size - 1)[:size] if size < len(keys) else keys
 
 
 def _postings(source: DataFrame, ranks: np.ndarray, n: int, percent: int) -> DataFrame:
-    """A row per document (tag -1), and per order (tag) a row for each prefix shingle of each class of sets."""
+    """A row per document (met -1), and a row for each prefix shingle of each class of sets under the first order (met 0)."""
     kind = source.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +127,7 @@ def _postings(source: DataFrame, ranks: np.ndarray, n: int, percent: int) -> Dat
         for batch in batches:
             ids, mark = batch.column("doc_id"), batch.column("mark")
             for first, last, data, offsets in blocks(batch.column("text")):
-                token, tag, size, name = [], [], [], []
+                token, size, name = [], [], []
                 place, doc_size, doc_name = [], [], []
                 for i, own in enumerate(shingle_sets(data, offsets, n)):
                     digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
@@ -133,47 +136,24 @@ def _postings(source: DataFrame, ranks: np.ndarray, n: int, percent: int) -> Dat
                     place.append(zlib.crc32(repr((ids[first + i].as_py(), mark[first + i].as_py())).encode()))
                     if len(own) and digest not in known:
                         known.add(digest)
-                        for t, keys in enumerate(prefixes(own, ranks, percent)):
-                            token.append(keys)
-                            tag.append((t, len(keys)))
-                            size.append(len(own))
-                            name.append(digest)
+                        token.append(prefix(own, ranks, ORDERS[0], percent))
+                        size.append(len(own))
+                        name.append(digest)
                 m = last - first
+                names = ["token", "met", "n", "e", "doc_id", "mark"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(place, np.int64)), pa.array(np.full(m, -1, np.int32)), pa.array(np.array(doc_size, np.int32)),
-                     pa.array(doc_name, pa.binary()), ids.slice(first, m), mark.slice(first, m)],
-                    names=["token", "tag", "n", "e", "doc_id", "mark"])
+                    [pa.array(np.array(place, np.int64)), pa.array(np.full(m, -1, np.int64)), pa.array(np.array(doc_size, np.int32)),
+                     pa.array(doc_name, pa.binary()), ids.slice(first, m), mark.slice(first, m)], names=names)
                 if token:
-                    repeat = np.array([k for _, k in tag])
+                    repeat = np.array([len(k) for k in token])
                     keys = np.concatenate(token).view(np.int64)
-                    blob = np.frombuffer(b"".join(name), "S16").repeat(repeat)
                     m = len(keys)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(np.repeat(np.array([t for t, _ in tag], np.int32), repeat)),
-                         pa.array(np.repeat(np.array(size, np.int32), repeat)), binary_column(blob, 16),
-                         pa.nulls(m, ids.type), pa.nulls(m, mark.type)], names=["token", "tag", "n", "e", "doc_id", "mark"])
-
-    return source.mapInArrow(run, f"token long, tag int, n int, e binary, doc_id {kind.simpleString()}, mark long")
-
+                        [pa.array(keys), pa.array(np.zeros(m, np.int64)), pa.array(np.repeat(np.array(size, np.int32), repeat)),
+                         binary_column(np.frombuffer(b"".join(name), "S16").repeat(repeat), 16),
+                         pa.nulls(m, ids.type), pa.nulls(m, mark.type)], names=names)
 
-def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """e and its shingle hashes, from rows of e (expected) and text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in blocks(batch.column("text")):
-                keep, sets = [], []
-                for i, own in enumerate(shingle_sets(data, offsets, n)):
-                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == batch.column("e")[first + i].as_py():
-                        keep.append(first + i)
-                        sets.append(own.view(np.int64))
-                if keep:
-                    ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                    made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                    at = pa.array(keep)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("e", "cluster", "met")), made],
-                                                     names=["e", "cluster", "met", "s"])
-
-    return texts.select("e", "cluster", "met", "text").mapInArrow(run, "e binary, cluster binary, met long, s array<long>")
+    return source.mapInArrow(run, f"token long, met long, n int, e binary, doc_id {kind.simpleString()}, mark long")
 
 
 def intersections(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
@@ -195,28 +175,51 @@ def intersections(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
     return total
 
 
-def _verify(percent: int):
+def _links(sets: list[np.ndarray], ranks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that are similar enough, among those that share prefix tokens under all orders."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets])
+    open_ = np.triu(100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]), 1)
+    for seed in ORDERS:
+        parts = [prefix(s, ranks, seed, percent) for s in sets]
+        open_ &= intersections(np.concatenate(parts), np.repeat(np.arange(m), [len(p) for p in parts]), m) > 0
+        if not open_.any():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+    wanted = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
+    common = intersections(np.concatenate([sets[i] for i in wanted]), np.repeat(np.arange(len(wanted)), size[wanted]), len(wanted))
+    union = size[wanted][:, None] + size[wanted][None, :] - common
+    a, b = np.nonzero(open_[np.ix_(wanted, wanted)] & (100 * common >= percent * union))
+    return wanted[a], wanted[b]
+
+
+def _verify(ranks: np.ndarray, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
         for group in by_group(batches, ["cluster", "_i", "_j"]):
-            m = group.num_rows
-            if m < 2:
+            if group.num_rows < 2:
+                continue
+            sets, expected, known = [], group["e"].to_pylist(), []
+            at = 0
+            for _, _, data, offsets in blocks(group["text"]):
+                for own in shingle_sets(data, offsets, n):
+                    # two texts with equal marks under one id: only one is the class's
+                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == expected[at]:
+                        sets.append(own)
+                        known.append(at)
+                    at += 1
+            if len(sets) < 2:
                 continue
-            lists = group["s"].combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            size = np.asarray(lists.value_lengths())
-            common = intersections(np.asarray(lists.flatten()), np.repeat(np.arange(m), size), m)
-            union = size[:, None] + size[None, :] - common
-            a, b = np.nonzero(np.triu(100 * common >= percent * union, 1))  # a set that comes twice links with itself
+            known = np.array(known)
+            a, b = _links(sets, ranks, percent)  # a set that comes twice links with itself
+            a, b = known[a], known[b]
             if group["_i"][0].as_py() != group["_j"][0].as_py():
                 side = np.asarray(group["_side"])
                 a, b = (v[side[a] != side[b]] for v in (a, b))
-            forest = Forest(m)
+            forest = Forest(group.num_rows)
             tree = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if forest.join(i, j)]
             if tree:
-                names = group["e"].combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array([names[i].as_py() for i, _ in tree], pa.binary()),
-                                                  pa.array([names[j].as_py() for _, j in tree], pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([expected[i] for i, _ in tree], pa.binary()),
+                                                  pa.array([expected[j] for _, j in tree], pa.binary())], names=["a", "b"])
 
     return run
 
@@ -227,21 +230,18 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     source = _source(docs, id_col, text_col)
     ranks = class_ranks(source, n)
     rows = _postings(source, ranks, n, percent).repartition("token")
-    rows = rows.groupBy("token", "tag", "e", "doc_id", "mark").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    rows = rows.withColumn("met", F.count(F.lit(1)).over(W.partitionBy("token", "tag")))
-    kept = durable(rows.filter("tag < 0 OR met > 1"))
-    own = kept.filter("tag < 0").select("doc_id", "mark", "e", "n", "copies")
-    first, second = (kept.filter(F.col("tag") == t).select("token", "e", "n", "met") for t in (0, 1))
+    rows = rows.groupBy("token", "met", "e", "doc_id", "mark").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumn("met", F.when(F.col("met") < 0, -1).otherwise(F.count(F.lit(1)).over(W.partitionBy("token", "met"))))
+    kept = durable(rows.filter("met <> 1"))
+    own = kept.filter("met < 0").select("doc_id", "mark", "e", "n", "copies")
+    first = kept.filter("met > 1").select("token", "e", "n", "met")
 
-    # short lists of the first order make pairs, which must also meet in the second order
+    # short lists make pairs, members of long ones are tied to one of them
     short = first.filter(F.col("met") <= paired)
     a, b = (short.select("token", F.col("e").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
     pairs = (a.join(b, "token").filter((F.col("a") < F.col("b"))
              & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b").distinct())
-    left = pairs.join(second.select(F.col("e").alias("a"), "token"), "a")
-    pairs = left.join(second.select(F.col("e").alias("b"), "token"), ["b", "token"], "left_semi").select("a", "b").distinct()
-    # members of long lists are tied to one of them, if they meet anything in the second order
-    long = first.filter(F.col("met") > paired).join(second.select("e").distinct(), "e", "left_semi")
+    long = first.filter(F.col("met") > paired)
     anchors = long.groupBy("token").agg(F.min("e").alias("a"))
     ties = long.select("token", F.col("e").alias("b")).join(anchors, "token").filter("a <> b").select("a", "b").distinct()
     clusters = components(durable(pairs.unionByName(ties)))
@@ -251,9 +251,9 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     wanted = clusters.select(F.col("node").alias("e"), F.col("root").alias("cluster")).join(lowest, "e")
     wanted = with_size(wanted.select("e", "cluster", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark")), "cluster")
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    cells = block_cells(_sets(texts, n), "met", block, "e")
+    cells = block_cells(texts.select("e", "cluster", "met", "text"), "met", block, "e")
     cells = cells.repartition("cluster", "_i", "_j").sortWithinPartitions("cluster", "_i", "_j", "e")
-    links = durable(cells.mapInArrow(_verify(percent), "a binary, b binary"))
+    links = durable(cells.mapInArrow(_verify(ranks, n, percent), "a binary, b binary"))
     roots = components(links).select(F.col("node").alias("e"), "root")
 
     verdict = lowest.join(roots, "e", "left").withColumn("root", F.coalesce("root", "e"))
