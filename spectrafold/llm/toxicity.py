@@ -210,7 +210,10 @@ def labelled_sample(labels: DataFrame, column: str, allowed, per_class: int) ->
     known = durable(majority(labels, column).filter(allowed))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(column))
-    picked = [known.filter(F.col("label") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
+    # so many that per_class and more remain, whatever the number of labels
+    share = {c: int(min(1.0, 2 * per_class / n) * (1 << 40)) for c, n in counts.items()}
+    picked = [known.filter((F.col("label") == c) & (F.pmod(order, F.lit(1 << 40)) < share.get(c, 0))).orderBy(order, "doc_id").limit(per_class)
+              for c in (0, 1)]
     return durable(picked[0].unionByName(picked[1])), counts
 
 
