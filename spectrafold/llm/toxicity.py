@@ -275,12 +275,16 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows whose score is below the threshold, with all their columns."""
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = plain(batch.column(batch.schema.get_field_index(text_col))).cast(pa.binary())
+            texts = plain(batch.column(at)).cast(pa.binary())
             yield batch.filter(pa.array(model.scores([t.as_py() for t in texts]) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # plain names on the way, whatever the columns are called
+    plainly = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plainly.mapInArrow(run, plainly.schema).toDF(*docs.columns)
 
 
 def held_out(column="doc_id", parts: int = 4, part: int = 2):
