@@ -142,7 +142,7 @@ def check_packing(rows, texts, capacity=1024):
     own = Tokenizer.from_file(packing.public_tokenizer())
     ids = [np.array(own.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for t in texts]
     want = Counter()
-    for doc, v in ids_of(ids):
+    for v in ids:
         first = (len(v) - 1) % capacity + 1
         cuts = [0, *range(first, len(v) + 1, capacity)]
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -161,10 +161,6 @@ def check_packing(rows, texts, capacity=1024):
     return len(bins), -(-total // capacity)
 
 
-def ids_of(ids):
-    return enumerate(ids)
-
-
 def test_packing(docs, texts):
     used, least = check_packing(packing.pack(docs, packing.public_tokenizer()).collect(), list(texts.values()))
     assert used <= least * 1.02 + 2
@@ -281,8 +277,9 @@ def plain_spans(text):
     return sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(kinds) for m in re.finditer(p, text or "") if len(m[g]) >= least)
 
 
-def test_secret_scan(spark, docs, texts):
-    got = {r["doc_id"]: r for r in catalogue.QUERIES["op8_secret_scan"](spark, SMALL).collect()}
+def test_secret_scan(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in catalogue.QUERIES["op8_secret_scan"](spark, MIDDLE).collect()}
     names = ["assign", "access", "hex"]
     some = 0
     for i, text in texts.items():
