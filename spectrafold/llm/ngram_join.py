@@ -4,11 +4,11 @@ Under any total order of the shingles, two sets with Jaccard similarity t share
 first n - ceil(t n) + 1 of each. Orders put shingles of common hash classes last and break ties by
 different hashes, so every order is a filter of its own, and a pair is only verified if it passes all.
 
-Equal sets are one class from the start. The first order gives posting lists, spread over all tasks:
-classes that meet in a list of at most ``PAIRED`` are paired if their sizes allow a link, the members
-of a longer list are tied to one of them. Everything connected that way is a candidate cluster. Its
-texts are brought together once, clusters beyond ``BLOCK`` members as pairs of blocks; there the
-candidates must also share a prefix token under every further order before their sets are compared
+Equal sets are one class from the start. The first order gives posting lists, spread over all tasks.
+Along a list, by size, each class is tied to the next one if their sizes allow a link: classes whose
+sizes allow one are so connected, with fewer ties than members. Everything connected is a candidate
+cluster. Its texts are brought together once, clusters beyond ``BLOCK`` members as pairs of blocks;
+there the candidates must also share a prefix token under every order before their sets are compared
 exactly. Tasks hand on a spanning forest of the links they find, never all pairs; components of
 these are the components of all links.
 
@@ -21,7 +21,6 @@ gives an empty result; ``drop_near_copies`` keeps all columns, whatever their na
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,6 @@ WORDS = 3
 PERCENT = 90
 CLASS_BITS = 18  # hash classes whose size orders the shingles
 ORDERS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118)
-PAIRED = 32
 BLOCK = 512
 
 
@@ -118,42 +116,49 @@ def prefix(own: np.ndarray, ranks: np.ndarray, seed: int, percent: int) -> np.nd
     return np.partition(keys, size - 1)[:size] if size < len(keys) else keys
 
 
-def _postings(source: DataFrame, ranks: np.ndarray, n: int, percent: int) -> DataFrame:
-    """A row per document (met -1), and a row for each prefix shingle of each class of sets under the first order (met 0)."""
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def _classes(source: DataFrame, n: int) -> DataFrame:
+    """doc_id, mark, e (a digest of the set) and n of each document, rows that repeat counted in copies."""
     kind = source.schema["doc_id"].dataType
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, name = [], []
+            for _, _, data, offsets in blocks(batch.column("text")):
+                for own in shingle_sets(data, offsets, n):
+                    size.append(len(own))
+                    name.append(_digest(own))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(name, pa.binary()), pa.array(size, pa.int32())],
+                                             names=["doc_id", "mark", "e", "n"])
+
+    named = source.mapInArrow(run, f"doc_id {kind.simpleString()}, mark long, e binary, n int")
+    return named.groupBy("doc_id", "mark", "e", "n").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _postings(source: DataFrame, ranks: np.ndarray, n: int, percent: int) -> DataFrame:
+    """A row for each prefix shingle of each class of sets under the first order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()  # sets whose postings this task has sent
         for batch in batches:
-            ids, mark = batch.column("doc_id"), batch.column("mark")
-            for first, last, data, offsets in blocks(batch.column("text")):
+            for _, _, data, offsets in blocks(batch.column("text")):
                 token, size, name = [], [], []
-                place, doc_size, doc_name = [], [], []
-                for i, own in enumerate(shingle_sets(data, offsets, n)):
-                    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                    doc_size.append(len(own))
-                    doc_name.append(digest)
-                    place.append(zlib.crc32(repr((ids[first + i].as_py(), mark[first + i].as_py())).encode()))
+                for own in shingle_sets(data, offsets, n):
+                    digest = _digest(own)
                     if len(own) and digest not in known:
                         known.add(digest)
                         token.append(prefix(own, ranks, ORDERS[0], percent))
                         size.append(len(own))
                         name.append(digest)
-                m = last - first
-                names = ["token", "met", "n", "e", "doc_id", "mark"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(place, np.int64)), pa.array(np.full(m, -1, np.int64)), pa.array(np.array(doc_size, np.int32)),
-                     pa.array(doc_name, pa.binary()), ids.slice(first, m), mark.slice(first, m)], names=names)
                 if token:
                     repeat = np.array([len(k) for k in token])
-                    keys = np.concatenate(token).view(np.int64)
-                    m = len(keys)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(np.zeros(m, np.int64)), pa.array(np.repeat(np.array(size, np.int32), repeat)),
-                         binary_column(np.frombuffer(b"".join(name), "S16").repeat(repeat), 16),
-                         pa.nulls(m, ids.type), pa.nulls(m, mark.type)], names=names)
+                        [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(size, np.int32), repeat)),
+                         binary_column(np.frombuffer(b"".join(name), "S16").repeat(repeat), 16)], names=["token", "n", "e"])
 
-    return source.mapInArrow(run, f"token long, met long, n int, e binary, doc_id {kind.simpleString()}, mark long")
+    return source.select("text").mapInArrow(run, "token long, n int, e binary")
 
 
 def intersections(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
@@ -203,7 +208,7 @@ def _verify(ranks: np.ndarray, n: int, percent: int):
             for _, _, data, offsets in blocks(group["text"]):
                 for own in shingle_sets(data, offsets, n):
                     # two texts with equal marks under one id: only one is the class's
-                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == expected[at]:
+                    if _digest(own) == expected[at]:
                         sets.append(own)
                         known.append(at)
                     at += 1
@@ -225,26 +230,15 @@ def _verify(ranks: np.ndarray, n: int, percent: int):
 
 
 def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
-                paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
+                block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, mark (hash of its text), n_shingles, component_id, kept."""
     source = _source(docs, id_col, text_col)
     ranks = class_ranks(source, n)
-    rows = _postings(source, ranks, n, percent).repartition("token")
-    rows = rows.groupBy("token", "met", "e", "doc_id", "mark").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    rows = rows.withColumn("met", F.when(F.col("met") < 0, -1).otherwise(F.count(F.lit(1)).over(W.partitionBy("token", "met"))))
-    kept = durable(rows.filter("met <> 1"))
-    own = kept.filter("met < 0").select("doc_id", "mark", "e", "n", "copies")
-    first = kept.filter("met > 1").select("token", "e", "n", "met")
-
-    # short lists make pairs, members of long ones are tied to one of them
-    short = first.filter(F.col("met") <= paired)
-    a, b = (short.select("token", F.col("e").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    pairs = (a.join(b, "token").filter((F.col("a") < F.col("b"))
-             & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b").distinct())
-    long = first.filter(F.col("met") > paired)
-    anchors = long.groupBy("token").agg(F.min("e").alias("a"))
-    ties = long.select("token", F.col("e").alias("b")).join(anchors, "token").filter("a <> b").select("a", "b").distinct()
-    clusters = components(durable(pairs.unionByName(ties)))
+    own = durable(_classes(source, n))
+    along = W.partitionBy("token").orderBy("n", "e")
+    lists = _postings(source, ranks, n, percent).select("token", "e", "n", F.lag("e").over(along).alias("a"), F.lag("n").over(along).alias("n_a"))
+    ties = lists.filter((F.col("a") != F.col("e")) & (100 * F.col("n_a") >= percent * F.col("n"))).select("a", F.col("e").alias("b")).distinct()
+    clusters = components(durable(ties))
 
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
     lowest = own.filter("n > 0").groupBy("e").agg(F.min(order).alias("low"))

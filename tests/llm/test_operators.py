@@ -48,11 +48,11 @@ def plain_components(rows, n, percent):
     return sets, cases.roots(len(rows), links)
 
 
-@pytest.mark.parametrize("n, percent, paired, block", [(3, 90, 32, 512), (5, 80, 2, 4)])
-def test_ngram_join(docs, texts, n, percent, paired, block):
+@pytest.mark.parametrize("n, percent, block", [(3, 90, 512), (5, 80, 4)])
+def test_ngram_join(docs, texts, n, percent, block):
     rows = sorted(texts.items())
     sets, root = plain_components(rows, n, percent)
-    got = {r["doc_id"]: r for r in ngram_join.near_copies(docs, n, percent, paired=paired, block=block).collect()}
+    got = {r["doc_id"]: r for r in ngram_join.near_copies(docs, n, percent, block=block).collect()}
     assert {i: got[i]["n_shingles"] for i in got} == {rows[k][0]: len(s) for k, s in enumerate(sets)}
     assert {i: got[i]["component_id"] for i in got} == {rows[k][0]: rows[r][0] for k, r in enumerate(root)}
     assert {i for i in got if got[i]["kept"]} == {rows[r][0] for r in root}
