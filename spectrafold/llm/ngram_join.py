@@ -7,8 +7,8 @@ different hashes, so every order is a filter of its own, and a pair is only veri
 Equal sets are one class from the start. The first order gives posting lists, spread over all tasks.
 Along a list, by size, each class is tied to the next one if their sizes allow a link: classes whose
 sizes allow one are so connected, with fewer ties than members. Everything connected is a candidate
-cluster. Its texts are brought together once, clusters beyond ``BLOCK`` members as pairs of blocks;
-there the candidates must also share a prefix token under every order before their sets are compared
+cluster. Its texts are brought together once; a cluster beyond ``BLOCK`` members is cut by set size into
+steps of which only neighbours can hold links, and a step beyond it into pairs of blocks. There the candidates must also share a prefix token under every order before their sets are compared
 exactly. Tasks hand on a spanning forest of the links they find, never all pairs; components of
 these are the components of all links.
 
@@ -21,6 +21,7 @@ gives an empty result; ``drop_near_copies`` keeps all columns, whatever their na
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ WORDS = 3
 PERCENT = 90
 CLASS_BITS = 18  # hash classes whose size orders the shingles
 ORDERS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118)
-BLOCK = 512
+BLOCK = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -241,9 +242,13 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     clusters = components(durable(ties))
 
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
-    lowest = own.filter("n > 0").groupBy("e").agg(F.min(order).alias("low"))
+    lowest = own.filter("n > 0").groupBy("e").agg(F.min(order).alias("low"), F.first("n").alias("n"))
     wanted = clusters.select(F.col("node").alias("e"), F.col("root").alias("cluster")).join(lowest, "e")
-    wanted = with_size(wanted.select("e", "cluster", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark")), "cluster")
+    wanted = with_size(wanted.select("e", "cluster", "n", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark")), "cluster")
+    step = F.floor(F.log("n") / F.lit(max(math.log(100 / percent), 1e-9) * 1.000001))
+    steps = F.when(F.col("met") > block, F.array(step, step + 1)).otherwise(F.array(F.lit(-1).cast("long")))
+    wanted = wanted.withColumn("_step", F.explode(steps)).drop("met")
+    wanted = with_size(wanted.withColumn("cluster", F.concat("cluster", F.encode(F.col("_step").cast("string"), "UTF-8"))), "cluster")
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     cells = block_cells(texts.select("e", "cluster", "met", "text"), "met", block, "e")
     cells = cells.repartition("cluster", "_i", "_j").sortWithinPartitions("cluster", "_i", "_j", "e")
