@@ -123,7 +123,11 @@ class Stack:
 
 
 def stack_features(members: list[DataFrame], base: DataFrame | None = None) -> DataFrame:
-    """Join member rows (ix, f ARRAY<DOUBLE>) into ``x``, with the variables of ``base`` if given."""
+    """Join member rows (ix, f ARRAY<DOUBLE>) into ``x``, with the variables of ``base`` if given.
+
+    Every member must hold the same ids, each once; ``base`` may hold others as well.
+    """
+    check_alignment(stacked([m.select("ix") for m in members]), len(members), ["ix"])
     out = members[0].select("ix", F.col("f").alias("f0"))
     for i, m in enumerate(members[1:], start=1):
         out = out.join(m.select("ix", F.col("f").alias(f"f{i}")), "ix")
@@ -143,6 +147,8 @@ def fit_stack(features: DataFrame, target: DataFrame, meta: str = "ridge", task:
     """Meta-learner on out-of-fold features; ``target`` has (ix, y) or (ix, label)."""
     rows = features.join(target, "ix").persist()
     try:
+        if rows.count() != features.count():
+            raise ValueError("features and target do not pair one to one")
         width = rows.select(F.size("x").alias("p")).first()["p"]
         if task == "regression":
             ds = Dataset(rows, (width,), scaled=True)

@@ -100,15 +100,18 @@ def pca_cv(ds: Dataset, components: int, cv: CV, n: int | None = None):
     assigned = assign(ds.cal.select("ix", "x", *[c for c in ("classes", "y") if c in ds.df.columns]), cv, n)
     if cv.strategy == "loocv":
         whole = moments(assigned, "x", width=ds.width)[""]
+        axes = fit_moments(whole, components).loadings.shape[1]
 
         def own(c):
-            losses, scores = [], []
-            for x in c["x"]:
+            losses, scores = np.zeros((len(c["x"]), axes)), np.zeros((len(c["x"]), axes))
+            for i, x in enumerate(c["x"]):
                 model = fit_moments(whole - Moments(1.0, x, np.zeros_like(whole.m2), whole.p), components)
                 z = (x - model.mean)[None, :]
-                scores.append((z @ model.loadings)[0])
-                losses.append(_losses(z, model.loadings)[0])
-            return {"scores": np.array(scores), "_v": np.array(losses)}
+                a = min(axes, model.loadings.shape[1])
+                scores[i, :a] = (z @ model.loadings[:, :a])[0]
+                losses[i, :a] = _losses(z, model.loadings[:, :a])[0, :a]
+                losses[i, a:] = losses[i, a - 1]  # no axis is left to lower it
+            return {"scores": scores, "_v": losses}
 
         scored = map_blocks(assigned, own, [("scores", "array<double>"), ("_v", "array<double>")], ["x"],
                             ["ix", "fold"])
@@ -126,19 +129,19 @@ def pca_cv(ds: Dataset, components: int, cv: CV, n: int | None = None):
 
         def run(c):
             folds = c["fold"].astype(int)
-            a = len(next(iter(models.values())).eigenvalues)
-            scores, losses = np.empty((len(folds), a)), np.empty((len(folds), 2 * a))
+            a = min(m.loadings.shape[1] for m in models.values())
+            scores, losses = np.empty((len(folds), a)), np.empty((len(folds), a))
             for f in np.unique(folds):
                 at = folds == f
                 z = c["x"][at] - models[f].mean
-                scores[at] = z @ models[f].loadings
-                losses[at] = _losses(z, models[f].loadings)
+                scores[at] = z @ models[f].loadings[:, :a]
+                losses[at] = _losses(z, models[f].loadings[:, :a])[:, :a]
             return {"scores": scores, "_v": losses}
 
         scored = map_blocks(rows, run, [("scores", "array<double>"), ("_v", "array<double>")], ["x", "fold"],
                             ["ix", "fold"])
     spark = ds.df.sparkSession
-    curve = (scored.select(F.posexplode("_v").alias("pos", "v")).filter(F.col("pos") < components)
+    curve = (scored.select(F.posexplode("_v").alias("pos", "v"))
              .groupBy("pos").agg(F.sqrt(F.avg("v") / ds.width).alias("rmse_cv"))
              .select((F.col("pos") + 1).alias("component"), "rmse_cv"))
     loads = [(f, a + 1, j, float(m.loadings[j, a])) for f, m in sorted(models.items())

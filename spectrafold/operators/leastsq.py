@@ -156,9 +156,26 @@ def constrained_factor(gram: np.ndarray, cross: np.ndarray, constraints: dict[st
     rho = max(np.trace(gram) / len(gram), 1e-12)
     inverse = np.linalg.inv(gram + rho * np.eye(len(gram)))
     z = ols_rows(gram, cross) if start is None else start.copy()
+    return _split(lambda v: (cross + rho * v) @ inverse, z, rho, constraints, rounds, tol)
+
+
+def constrained_rows(grams: np.ndarray, cross: np.ndarray, constraints: dict[str, float], start: np.ndarray,
+                     rounds: int = 100, tol: float = 1e-8) -> np.ndarray:
+    """``constrained_factor`` where every row has normal equations of its own, as with missing cells."""
+    if not constraints:
+        return np.stack([np.linalg.pinv(g, hermitian=True) @ c for g, c in zip(grams, cross)])
+    if set(constraints) == {"non_negative"}:
+        return np.vstack([nnls_rows(g, c[None, :]) for g, c in zip(grams, cross)])
+    k = grams.shape[1]
+    rho = max(np.trace(grams.mean(axis=0)) / k, 1e-12)
+    inverse = np.linalg.inv(grams + rho * np.eye(k))
+    return _split(lambda v: np.einsum("jab,jb->ja", inverse, cross + rho * v), start.copy(), rho, constraints, rounds, tol)
+
+
+def _split(solve, z, rho, constraints, rounds, tol):
     u = np.zeros_like(z)
     for _ in range(rounds):
-        f = (cross + rho * (z - u)) @ inverse
+        f = solve(z - u)
         old, z = z, f + u
         for kind, strength in constraints.items():
             scaled = strength / rho if kind in ("l1_reg", "l2_reg", "l2_square_reg", "smoothness") else strength

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..arrays import few_tasks, map_blocks, sum_blocks
 from ..dataset import Dataset
 from ..session import Spool
-from .leastsq import constrained_factor, khatri_rao, nnls_rows
+from .leastsq import constrained_factor, constrained_rows, khatri_rao, nnls_rows
 from .mcr import align_to_medoid, batches_of
 
 # constraints that act on each sample's row alone
@@ -128,10 +128,10 @@ def _update(stats, factors, shape, constraints, weighted, orthogonal) -> list[np
         others = khatri_rao(rest) if rest else np.ones((1, k))
         unfolded = np.moveaxis(ax, mode + 1, 1).reshape(k, shape[mode], -1)
         cross = np.einsum("kjm,mk->jk", unfolded, others)
-        if weighted and not constraints[mode + 1]:
+        if weighted:
             w = np.moveaxis(weights, mode, 0).reshape(shape[mode], -1, k, k)
             normal = np.einsum("jmab,ma,mb->jab", w, others, others)
-            factors[mode] = np.stack([np.linalg.pinv(g, hermitian=True) @ c for g, c in zip(normal, cross)])
+            factors[mode] = constrained_rows(normal, cross, constraints[mode + 1], factors[mode])
         else:
             gram = aa * (others.T @ others)
             factors[mode] = constrained_factor(gram, cross, constraints[mode + 1], factors[mode])

@@ -84,6 +84,9 @@ def kennard_stone(df: DataFrame, select: int | dict, group: str | None = None, x
     wanted = {str(k): v for k, v in wanted.items()}
     means = _group_means(work)
     state = durable(_with_distance(work, means))
+    usable = {r["g"]: r["count"] for r in state.groupBy("g").count().collect()}
+    if any(n > usable.get(g, 0) for g, n in wanted.items()):
+        raise ValueError("fewer samples without missing values than are to be selected")
     taken = {g: 0 for g in wanted}
     spool = Spool(df.sparkSession, "grp string, round int, ix long")
     while any(taken[g] < wanted[g] for g in wanted):

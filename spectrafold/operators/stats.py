@@ -69,15 +69,17 @@ def exact_quantiles(long: DataFrame, probs: list[float], keys: tuple[str, ...] =
     """
     long = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
     # keys may hold NULL or NaN only where the caller wants them as a group
-    stats = (long.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(value).alias("_lo"),
-                                     F.max(value).alias("_hi"))).collect()
+    finite = F.when(F.abs(F.col(value)) < float("inf"), F.col(value).cast("double"))
+    stats = (long.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
+                                     F.count_if(F.col(value) == float("-inf")).alias("_below"),
+                                     F.count_if(F.col(value) == float("inf")).alias("_above"))).collect()
     if not stats:
         return {}
     if max(r["_n"] for r in stats) <= _SMALL_GROUP:
         rows = long.groupBy(*keys).agg(
             F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")).collect()
         return {tuple(r[k] for k in keys): list(r["_q"]) for r in rows}
-    return _narrow(long, stats, probs, keys, value)
+    return _narrow(long.filter(F.abs(F.col(value)) < float("inf")), stats, probs, keys, value)
 
 
 def _narrow(long, stats, probs, keys, value):
@@ -88,7 +90,12 @@ def _narrow(long, stats, probs, keys, value):
         for p in probs:
             h = (r["_n"] - 1) * p
             for rank in {math.floor(h), math.ceil(h)}:
-                targets[key, rank] = [r["_lo"], r["_hi"], rank]
+                if rank < r["_below"]:
+                    targets[key, rank] = [-math.inf, -math.inf, 0]
+                elif rank >= r["_n"] - r["_above"]:
+                    targets[key, rank] = [math.inf, math.inf, 0]
+                else:
+                    targets[key, rank] = [r["_lo"], r["_hi"], rank - r["_below"]]
     known = {t: v[0] for t, v in targets.items() if v[0] == v[1]}
     types = dict(long.dtypes)
     schema = ", ".join([f"_k{i} {types[k]}" for i, k in enumerate(keys)] + ["_lo double", "_hi double"])
@@ -100,8 +107,11 @@ def _narrow(long, stats, probs, keys, value):
         cond = on[0]
         for c in on[1:]:
             cond = cond & c
-        place = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _BINS),
-                        F.lit(_BINS - 1))
+        width = F.col("_hi") - F.col("_lo")
+        # halves where the range itself is no double; either way the ends fall into different bins
+        part = F.when(width < float("inf"), (F.col(value) - F.col("_lo")) / width).otherwise(
+            (F.col(value) / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2))
+        place = F.least(F.floor(part * _BINS), F.lit(_BINS - 1))
         names = [f"_k{i}" for i in range(len(keys))] + ["_lo", "_hi"]
         counted = (long.join(F.broadcast(small), cond).groupBy(*names, place.alias("_bin"))
                    .agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
@@ -126,7 +136,9 @@ def _narrow(long, stats, probs, keys, value):
         for p in probs:
             h = (r["_n"] - 1) * p
             low, high = known[key, math.floor(h)], known[key, math.ceil(h)]
-            out[key].append(low + (high - low) * (h - math.floor(h)))
+            share = h - math.floor(h)
+            out[key].append(low if low == high or not share else low + (high - low) * share if math.isfinite(high - low)
+                            else low * (1 - share) + high * share)
     return out
 
 
