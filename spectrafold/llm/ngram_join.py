@@ -163,22 +163,29 @@ def _postings(source: DataFrame, ranks: np.ndarray, n: int, percent: int) -> Dat
 
 
 def intersections(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
-    """Sizes of the pairwise intersections of m sets."""
+    """Sizes of the pairwise intersections of m sets; the values are taken by ranges to bound the memory."""
+    total = np.zeros((m, m), np.int64)
+    part = (values >> np.uint64(32)) * np.uint64(1 + len(values) // (1 << 20)) >> np.uint64(32)
+    for k in range(1 + len(values) // (1 << 20)):
+        here = part == k
+        _add_intersections(total, values[here], owner[here], m)
+    return total
+
+
+def _add_intersections(total: np.ndarray, values: np.ndarray, owner: np.ndarray, m: int) -> None:
     _, number, count = np.unique(values, return_inverse=True, return_counts=True)
     shared = count[number] > 1
     _, number = np.unique(number[shared], return_inverse=True)
     owner = owner[shared]
     order = np.argsort(number, kind="stable")
     number, owner = number[order], owner[order]
-    total = np.zeros((m, m), np.int64)
-    width = max(256, (1 << 22) // max(m, 1))
+    width = max(256, (1 << 21) // max(m, 1))
     top = int(number[-1]) + 1 if len(number) else 0
     for at in range(0, top, width):
         part = slice(*np.searchsorted(number, [at, at + width]))
         x = np.zeros((m, min(width, top - at)), np.float32)
         x[owner[part], number[part] - at] = 1
         total += (x @ x.T).astype(np.int64)
-    return total
 
 
 def _links(sets: list[np.ndarray], ranks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
