@@ -41,7 +41,8 @@ WORDS = 3
 PERCENT = 90
 CLASS_BITS = 18  # hash classes whose size orders the shingles
 ORDERS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118)
-BLOCK = 1024
+BLOCK = 4096
+PANEL = 512  # members whose pairs with all others are held at once
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -162,47 +163,71 @@ def _postings(source: DataFrame, ranks: np.ndarray, n: int, percent: int) -> Dat
     return source.select("text").mapInArrow(run, "token long, n int, e binary")
 
 
-def intersections(values: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
-    """Sizes of the pairwise intersections of m sets; the values are taken by ranges to bound the memory."""
-    total = np.zeros((m, m), np.int64)
-    part = (values >> np.uint64(32)) * np.uint64(1 + len(values) // (1 << 20)) >> np.uint64(32)
-    for k in range(1 + len(values) // (1 << 20)):
+def shared_tokens(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the values that occur twice and more, in order, and their owners; taken by ranges to bound the memory."""
+    ranges = 1 + len(values) // (1 << 20)
+    part = (values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    numbers, owners, top = [], [], 0
+    for k in range(ranges):
         here = part == k
-        _add_intersections(total, values[here], owner[here], m)
-    return total
-
-
-def _add_intersections(total: np.ndarray, values: np.ndarray, owner: np.ndarray, m: int) -> None:
-    _, number, count = np.unique(values, return_inverse=True, return_counts=True)
-    shared = count[number] > 1
-    _, number = np.unique(number[shared], return_inverse=True)
-    owner = owner[shared]
-    order = np.argsort(number, kind="stable")
-    number, owner = number[order], owner[order]
-    width = max(256, (1 << 21) // max(m, 1))
+        _, number, count = np.unique(values[here], return_inverse=True, return_counts=True)
+        shared = count[number] > 1
+        _, number = np.unique(number[shared], return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        numbers.append((number[order] + top).astype(np.int64))
+        owners.append(owner[here][shared][order].astype(np.int32))
+        top += int(number.max()) + 1 if len(number) else 0
+    return np.concatenate(numbers), np.concatenate(owners)
+
+
+def intersections(number: np.ndarray, owner: np.ndarray, m: int, first: int, last: int) -> np.ndarray:
+    """Sizes of the intersections of the sets first..last with all m sets."""
+    total = np.zeros((last - first, m), np.float32)  # exact up to 2 ** 24 shingles
+    width = max(256, (1 << 22) // max(m, 1))
     top = int(number[-1]) + 1 if len(number) else 0
     for at in range(0, top, width):
         part = slice(*np.searchsorted(number, [at, at + width]))
+        mine = owner[part]
+        if not ((mine >= first) & (mine < last)).any():
+            continue
         x = np.zeros((m, min(width, top - at)), np.float32)
-        x[owner[part], number[part] - at] = 1
-        total += (x @ x.T).astype(np.int64)
+        x[mine, number[part] - at] = 1
+        total += x[first:last] @ x.T
+    return total
 
 
-def _links(sets: list[np.ndarray], ranks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(sets: list[np.ndarray], ranks: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of sets that are similar enough, among those that share prefix tokens under all orders."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
-    open_ = np.triu(100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]), 1)
+    owner = np.repeat(np.arange(m), size)
+    tokens = []
     for seed in ORDERS:
         parts = [prefix(s, ranks, seed, percent) for s in sets]
-        open_ &= intersections(np.concatenate(parts), np.repeat(np.arange(m), [len(p) for p in parts]), m) > 0
+        tokens.append(shared_tokens(np.concatenate(parts), np.repeat(np.arange(m), [len(p) for p in parts])))
+    whole = None
+    for first in range(0, m, PANEL):
+        last = min(m, first + PANEL)
+        mine = size[first:last, None]
+        open_ = 100 * np.minimum(mine, size[None, :]) >= percent * np.maximum(mine, size[None, :])
+        open_ &= np.arange(m)[None, :] > np.arange(first, last)[:, None]
+        for number, own in tokens:
+            if open_.any():
+                open_ &= intersections(number, own, m, first, last) > 0
         if not open_.any():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-    wanted = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
-    common = intersections(np.concatenate([sets[i] for i in wanted]), np.repeat(np.arange(len(wanted)), size[wanted]), len(wanted))
-    union = size[wanted][:, None] + size[wanted][None, :] - common
-    a, b = np.nonzero(open_[np.ix_(wanted, wanted)] & (100 * common >= percent * union))
-    return wanted[a], wanted[b]
+            continue
+        if whole is None:
+            whole = shared_tokens(np.concatenate(sets), owner)
+        # the sets themselves only of members with a candidate
+        some = np.flatnonzero(open_.any(axis=0) | np.isin(np.arange(m), np.flatnonzero(open_.any(axis=1)) + first))
+        place = np.full(m, -1)
+        place[some] = np.arange(len(some))
+        kept = place[whole[1]] >= 0
+        lo, hi = np.searchsorted(some, [first, last])
+        common = intersections(whole[0][kept], place[whole[1][kept]], len(some), lo, hi)
+        n, k = size[some[lo:hi]][:, None], size[some][None, :]
+        a, b = np.nonzero(open_[np.ix_(some[lo:hi] - first, some)] & (100 * common.astype(np.int64) >= percent * (n + k - common.astype(np.int64))))
+        yield some[lo + a], some[b]
 
 
 def _verify(ranks: np.ndarray, n: int, percent: int):
@@ -222,14 +247,13 @@ def _verify(ranks: np.ndarray, n: int, percent: int):
                     at += 1
             if len(sets) < 2:
                 continue
-            known = np.array(known)
-            a, b = _links(sets, ranks, percent)  # a set that comes twice links with itself
-            a, b = known[a], known[b]
-            if group["_i"][0].as_py() != group["_j"][0].as_py():
-                side = np.asarray(group["_side"])
-                a, b = (v[side[a] != side[b]] for v in (a, b))
-            forest = Forest(group.num_rows)
-            tree = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if forest.join(i, j)]
+            side = np.asarray(group["_side"])[known]
+            across = group["_i"][0].as_py() != group["_j"][0].as_py()
+            forest, tree = Forest(len(sets)), []
+            for a, b in _links(sets, ranks, percent):  # a set that comes twice links with itself
+                if across:
+                    a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+                tree += [(known[i], known[j]) for i, j in zip(a.tolist(), b.tolist()) if forest.join(i, j)]
             if tree:
                 yield pa.RecordBatch.from_arrays([pa.array([expected[i] for i, _ in tree], pa.binary()),
                                                   pa.array([expected[j] for _, j in tree], pa.binary())], names=["a", "b"])
