@@ -41,7 +41,7 @@ WORDS = 3
 PERCENT = 90
 CLASS_BITS = 18  # hash classes whose size orders the shingles
 ORDERS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118)
-BLOCK = 4096
+BLOCK = 2048
 PANEL = 512  # members whose pairs with all others are held at once
 
 
