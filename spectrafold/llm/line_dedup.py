@@ -1,17 +1,15 @@
-"""Removal of passages that repeat over the corpus, by content-defined chunks of lines.
+"""Removal of passages that repeat over the corpus, by the shortest runs of lines, compared in bytes.
 
-A rolling hash over the hashes of ``WINDOW`` lines decides where chunks begin and where they end.
-Either decision looks only at lines inside the chunk, so a passage is cut the same way wherever it
-stands; ``SEEDS`` rolling hashes cut every text in differing ways. Chunks of at least two lines
-are counted by digest over all documents. Where a digest repeats, the chunk that comes first
-(smallest id, then first line) leads. The others are grown by up to four lines at either end whose
-short hashes equal those around the leading chunk; then every line is compared with its counterpart
-byte by byte, and runs of two and more equal lines are removed. Every removed line so has an equal
-one earlier in the corpus.
+A passage is a run of at least ``WINDOW`` lines and ``LEAST_BYTES`` bytes. The shortest such run from every line
+on, and the shortest up to every line, are counted by digest over all documents. Any passage is covered
+by those of them that lie inside it, so none depends on what stands around it. Where a digest
+repeats, the run that comes first (smallest id, then first line) leads; every line of the others is compared
+with its counterpart byte by byte, and runs of two and more equal lines are removed. Every removed line
+so has an equal one earlier in the corpus. A single line that repeats between other lines stays.
 
 Counts are combined before the shuffle; the join that brings leads back to their occurrences may be
 split where a digest is hot, and lines of a lead with more than ``WIDE`` occurrences are compared in
-``SALTS`` parts. Only lines of repeated chunks are shuffled one by one; the texts themselves are
+``SALTS`` parts. Only lines of repeated runs are shuffled one by one; the texts themselves are
 shuffled once, for the comparison and for the cut.
 
 Results for odd input: a null text stays null and an empty one empty; a text whose lines all go
@@ -26,22 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
 from .registry import query, table
-from .textblocks import binary_column, blocks, mix64, plain, span_hashes
+from .textblocks import binary_column, blocks, plain, span_hashes
 
-WINDOW = 2  # lines of the rolling hash, and the least of a chunk
-SEEDS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118)
-EVERY = 2  # lines from one beginning (and from one end) to the next, on average
-LEAST_BYTES = 64  # shorter chunks repeat by chance
+WINDOW = 2  # the least lines of a passage
+LEAST_BYTES = 64  # shorter runs repeat by chance
 WIDE, SALTS = 64, 32
 
-_ODD = 0x9E3779B97F4A7C15
-_AROUND = 4  # lines whose short hashes fit a number
-
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each line; a text has one line more than line feeds."""
@@ -56,41 +49,20 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return begin, end, row
 
 
-def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Row, first line (a), line after the last (b), digest, and short hashes around, of the chunks of each text."""
+def line_runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """Row, first line (a), line after the last (b) and digest of the shortest runs from and up to each line."""
     begin, end, row = line_bounds(data, offsets)
-    n = len(begin)
     value = span_hashes(data, begin, end)
     first = np.searchsorted(row, row)
     last = np.searchsorted(row, row, "right") - 1
-    at = np.arange(n)
-    found = []
-    with np.errstate(over="ignore"):
-        rolled = value.copy()
-        for k in range(1, WINDOW):
-            rolled[:n - k] = rolled[:n - k] * np.uint64(_ODD) + value[k:]
-        for seed in SEEDS:
-            mark = mix64(rolled ^ np.uint64(seed))
-            starts = np.flatnonzero((at == first) | (mark % np.uint64(EVERY) == 0))
-            closes = (mark >> np.uint64(32)) % np.uint64(EVERY) == 0  # the window that begins here ends a chunk
-            ends = at == last
-            ends[WINDOW - 1:] |= closes[:n - WINDOW + 1] & (first[WINDOW - 1:] == first[:n - WINDOW + 1])
-            ends = np.flatnonzero(ends)
-            to = np.searchsorted(ends, starts + WINDOW - 1)
-            starts = starts[to < len(ends)]
-            stops = ends[to[to < len(ends)]]
-            inside = first[stops] == first[starts]
-            found.append(np.column_stack([starts[inside], stops[inside] + 1]))
-    both = np.concatenate(found)
-    both = both[end[both[:, 1] - 1] - begin[both[:, 0]] >= LEAST_BYTES]
+    at = np.arange(len(begin))
+    stops = np.maximum(np.searchsorted(end, begin + LEAST_BYTES), at + WINDOW - 1)
+    starts = np.minimum(np.searchsorted(begin, end - LEAST_BYTES, "right") - 1, at - WINDOW + 1)
+    ahead, back = stops <= last, starts >= first
+    both = np.concatenate([np.column_stack([at, stops + 1])[ahead], np.column_stack([starts, at + 1])[back]])
     a, b = np.unique(both, axis=0).T if len(both) else (np.empty(0, np.int64),) * 2
-    short = np.concatenate([value >> np.uint64(48), np.zeros(1, np.uint64)])
-    before, after = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
-    for k in range(_AROUND):  # the nearest line in the lowest bits
-        before |= np.where(a - 1 - k >= first[a], short[np.maximum(a - 1 - k, 0)], 0).astype(np.uint64) << np.uint64(16 * k)
-        after |= np.where(b + k <= last[a], short[np.minimum(b + k, n)], 0).astype(np.uint64) << np.uint64(16 * k)
     digest = np.column_stack([span_hashes(data, begin[a], end[b - 1]), span_hashes(value, a, b)]) if len(a) else np.empty((0, 2), np.uint64)
-    return {"row": row[a], "a": a - first[a], "b": b - first[a], "digest": digest, "before": before.view(np.int64), "after": after.view(np.int64)}
+    return {"row": row[a], "a": a - first[a], "b": b - first[a], "digest": digest}
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,23 +80,14 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offsets in blocks(batch.column("text")):
-                made = line_chunks(data, offsets)
+                made = line_runs(data, offsets)
                 at = pa.array(made["row"] + first)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(at), batch.column("key").take(at), binary_column(made["digest"], 16),
-                     *(pa.array(made[c].astype(np.int64)) for c in ("a", "b", "before", "after"))],
-                    names=["doc_id", "key", "digest", "a", "b", "before", "after"])
-
-    return source.mapInArrow(run, f"doc_id {kind}, key binary, digest binary, a long, b long, before long, after long")
-
+                     *(pa.array(made[c].astype(np.int64)) for c in ("a", "b"))],
+                    names=["doc_id", "key", "digest", "a", "b"])
 
-def _equal_fields(x: Column, y: Column) -> Column:
-    """How many of the short hashes agree, from the nearest line on."""
-    differ = x.bitwiseXOR(y)
-    made = F.when(differ == 0, _AROUND)
-    for k in range(1, _AROUND):
-        made = made.when(differ.bitwiseAND(F.lit((1 << 16 * k) - 1)) != 0, k - 1)
-    return made.otherwise(_AROUND - 1)
+    return source.mapInArrow(run, f"doc_id {kind}, key binary, digest binary, a long, b long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +101,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in sorted(spans, key=lambda s: (s["start"], -s["stop"], s["lead"], s["shift"])):
                 start = max(done, s["start"])
                 if start < s["stop"]:
-                    made.append(s | {"key": key, "start": start})
+                    before = made[-1] if made else None
+                    if before and (before["key"], before["stop"], before["lead"], before["shift"]) == (key, start, s["lead"], s["shift"]):
+                        before["stop"] = s["stop"]
+                        before["wide"] |= s["wide"]
+                    else:
+                        made.append(s | {"key": key, "start": start})
                     done = s["stop"]
         yield pa.RecordBatch.from_pylist(made, schema)
 
@@ -204,14 +172,13 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key and cuts (ranges of lines to remove) of the documents that lose lines."""
     found = _occurrences(docs, id_col, text_col)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "a", "before", "after")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "a", "b")
     whole = (found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
-             .filter("first <> last"))  # places differ, so the chunk occurs twice
+             .filter("first <> last"))  # places differ, so the run occurs twice
     hits = (found.join(whole.select("digest", "first", (F.col("n") > WIDE).alias("wide")), "digest")
             .filter((F.col("key") != F.col("first.key")) | (F.col("a") != F.col("first.a"))))
-    span = F.struct((F.col("a") - _equal_fields(F.col("before"), F.col("first.before"))).alias("start"),
-                    (F.col("b") + _equal_fields(F.col("after"), F.col("first.after"))).alias("stop"),
-                    F.col("first.key").alias("lead"), (F.col("first.a") - F.col("a")).alias("shift"), "wide")
+    span = F.struct(F.col("a").alias("start"), F.col("b").alias("stop"), F.col("first.key").alias("lead"),
+                    (F.col("first.a") - F.col("a")).alias("shift"), "wide")
     spans = hits.groupBy("key").agg(F.collect_set(span).alias("spans"))
     own = durable(spans.mapInArrow(_runs, "key binary, start long, stop long, lead binary, shift long, wide boolean"))
     lent = own.select(F.col("lead").alias("key"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"),

@@ -257,6 +257,20 @@ def test_line_dedup_passages(spark):
         assert set(own) - set(got[i]["text"].split("\n")) <= set(passages[i % 5])
 
 
+def test_line_dedup_short_passages(spark):
+    """Every planted line of passages of two and more lines goes, also lines too short to count alone."""
+    passages = [[cases.prose(9000 + 10 * p + k, 25) for k in range(2 + p % 4)] for p in range(40)]
+    passages += [[cases.prose(9500 + p, 25), cases.prose(9600 + p, 25), "x", "", "y"] for p in range(20)]
+    rows = []
+    for i in range(180):
+        lines = [cases.prose(20_000 + 20 * i + k, 9) for k in range(6)]
+        at = i % 7
+        rows.append((i, "\n".join(lines[:at] + passages[i % 60] + lines[at:])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(table, counted=True).collect()}
+    assert {i: r["n_removed"] for i, r in got.items()} == {i: len(passages[i % 60]) if i >= 60 else 0 for i in range(180)}
+
+
 def test_line_dedup_odd_rows(spark):
     odd = cases.odd_documents(spark)
     got = line_dedup.drop_repeated_lines(odd)
