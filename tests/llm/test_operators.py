@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -129,6 +130,24 @@ def test_license_scan(spark, docs):
     assert license_scan.train(cases.no_documents(spark)).families[0] == license_scan.UNKNOWN
 
 
+def test_license_scan_wrapped_notices(spark, docs):
+    """Every notice is found at 72 columns and at 30, behind comment marks, inside other lines and as a block of its own."""
+    rows, due = [], Counter()
+    for i, (family, text) in enumerate((f, t) for f, texts in sorted(license_scan.NOTICES.items()) for t in texts):
+        for k, (width, mark) in enumerate([(72, ""), (72, "# "), (30, " * "), (72, "rem ")]):
+            wrapped = "\n".join(mark + line for line in textwrap.wrap(text, width))
+            lead = "\n".join(cases.prose(70 + i + j, 9) for j in range(3))
+            for j, whole in enumerate([f"{lead}\n{wrapped}\n{lead}", f"{lead}\n{mark}\n\n{wrapped}\n\n{lead}"]):
+                rows.append((100 * i + 10 * k + j, whole))
+                due[100 * i + 10 * k + j, 3 + 2 * j, family] += 1
+    # notices that share a line are both found
+    both = " ".join([license_scan.NOTICES["mit"][0], license_scan.NOTICES["apache"][0]])
+    rows.append((-1, "\n".join(textwrap.wrap(both, 72))))
+    found = license_scan.license_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.train(docs)).collect()
+    assert Counter((r["doc_id"], r["line"], r["family"]) for r in found if r["doc_id"] >= 0) == due
+    assert {r["family"] for r in found if r["doc_id"] == -1} == {"apache", "mit"}
+
+
 def test_key_words_miss_no_notice():
     words = license_scan.key_words(0.6)
     assert all(any(w in t.lower() for w in words) for texts in license_scan.NOTICES.values() for t in texts)
