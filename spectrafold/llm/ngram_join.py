@@ -9,8 +9,9 @@ Along a list, by size, each class is tied to the next one if their sizes allow a
 sizes allow one are so connected, with fewer ties than members. Everything connected is a candidate
 cluster. Its texts are brought together once; a cluster beyond ``BLOCK`` members is cut by set size into
 steps of which only neighbours can hold links, and a step beyond it into pairs of blocks. There the candidates must also share a prefix token under every order before their sets are compared
-exactly. Tasks hand on a spanning forest of the links they find, never all pairs; components of
-these are the components of all links.
+exactly. Tasks hand on a spanning forest of the links they find, whose components are those of all
+links, and for each class the number of documents that its links reach; never all pairs. Steps overlap: a pair
+of classes of one step is counted in that step only.
 
 Results for odd input: a null text, an empty one or one of white space has no shingle and links with
 nothing; a text of fewer than ``n`` words has one shingle, all its words; of rows that repeat id and
@@ -237,33 +238,45 @@ def _verify(ranks: np.ndarray, n: int, percent: int):
             if group.num_rows < 2:
                 continue
             sets, expected, known = [], group["e"].to_pylist(), []
+            met: set[bytes] = set()  # repeated rows bring a class twice
             at = 0
             for _, _, data, offsets in blocks(group["text"]):
                 for own in shingle_sets(data, offsets, n):
                     # two texts with equal marks under one id: only one is the class's
-                    if _digest(own) == expected[at]:
+                    if expected[at] not in met and _digest(own) == expected[at]:
+                        met.add(expected[at])
                         sets.append(own)
                         known.append(at)
                     at += 1
             if len(sets) < 2:
                 continue
-            side = np.asarray(group["_side"])[known]
+            side, home, copies = (np.asarray(group[c])[known] for c in ("_side", "_home", "copies"))
+            links = np.zeros(len(sets), np.int64)
             across = group["_i"][0].as_py() != group["_j"][0].as_py()
             forest, tree = Forest(len(sets)), []
-            for a, b in _links(sets, ranks, percent):  # a set that comes twice links with itself
+            for a, b in _links(sets, ranks, percent):
                 if across:
                     a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+                here = home[a] | home[b]
+                np.add.at(links, a[here], copies[b[here]])
+                np.add.at(links, b[here], copies[a[here]])
                 tree += [(known[i], known[j]) for i, j in zip(a.tolist(), b.tolist()) if forest.join(i, j)]
-            if tree:
-                yield pa.RecordBatch.from_arrays([pa.array([expected[i] for i, _ in tree], pa.binary()),
-                                                  pa.array([expected[j] for _, j in tree], pa.binary())], names=["a", "b"])
+            linked = np.flatnonzero(links)
+            if tree or len(linked):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([expected[i] for i, _ in tree] + [expected[known[i]] for i in linked], pa.binary()),
+                     pa.array([expected[j] for _, j in tree] + [None] * len(linked), pa.binary()),
+                     pa.array([None] * len(tree) + links[linked].tolist(), pa.int64())], names=["a", "b", "links"])
 
     return run
 
 
 def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
                 block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, mark (hash of its text), n_shingles, component_id, kept."""
+    """One row per document: doc_id, mark (hash of its text), n_shingles, component_id, n_links, kept.
+
+    n_links counts the other documents (rows) that are similar enough to the document itself.
+    """
     source = _source(docs, id_col, text_col)
     ranks = class_ranks(source, n)
     own = durable(_classes(source, n))
@@ -273,22 +286,23 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     clusters = components(durable(ties))
 
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
-    lowest = own.filter("n > 0").groupBy("e").agg(F.min(order).alias("low"), F.first("n").alias("n"))
+    lowest = own.filter("n > 0").groupBy("e").agg(F.min(order).alias("low"), F.first("n").alias("n"), F.sum("copies").alias("copies"))
     wanted = clusters.select(F.col("node").alias("e"), F.col("root").alias("cluster")).join(lowest, "e")
-    wanted = with_size(wanted.select("e", "cluster", "n", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark")), "cluster")
+    wanted = with_size(wanted.select("e", "cluster", "n", "copies", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark")), "cluster")
     step = F.floor(F.log("n") / F.lit(max(math.log(100 / percent), 1e-9) * 1.000001))
     steps = F.when(F.col("met") > block, F.array(step, step + 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    wanted = wanted.withColumn("_step", F.explode(steps)).drop("met")
+    wanted = wanted.withColumn("_step", F.explode(steps)).withColumn("_home", (F.col("_step") == -1) | (F.col("_step") == step)).drop("met")
     wanted = with_size(wanted.withColumn("cluster", F.concat("cluster", F.encode(F.col("_step").cast("string"), "UTF-8"))), "cluster")
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    cells = block_cells(texts.select("e", "cluster", "met", "text"), "met", block, "e")
+    cells = block_cells(texts.select("e", "cluster", "met", "copies", "_home", "text"), "met", block, "e")
     cells = cells.repartition("cluster", "_i", "_j").sortWithinPartitions("cluster", "_i", "_j", "e")
-    links = durable(cells.mapInArrow(_verify(ranks, n, percent), "a binary, b binary"))
-    roots = components(links).select(F.col("node").alias("e"), "root")
+    links = durable(cells.mapInArrow(_verify(ranks, n, percent), "a binary, b binary, links long"))
+    counts = links.filter("links is not null").groupBy(F.col("a").alias("e")).agg(F.sum("links").alias("links"))
+    roots = components(links.filter("links is null").select("a", "b")).select(F.col("node").alias("e"), "root")
 
-    verdict = lowest.join(roots, "e", "left").withColumn("root", F.coalesce("root", "e"))
+    verdict = lowest.join(roots, "e", "left").join(counts, "e", "left").withColumn("root", F.coalesce("root", "e"))
     best = verdict.groupBy("root").agg(F.min("low").alias("best"))
-    verdict = verdict.join(best, "root").select("e", "best")
+    verdict = verdict.join(best, "root").select("e", "best", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # back over salted parts, so that the copies of a hot class are spread
     salted = own.withColumn("salt", F.pmod(F.xxhash64("mark", "doc_id"), F.lit(32)).cast("int"))
     parts = salted.filter("n > 0").select("e", "salt").distinct().join(verdict, "e")
@@ -297,6 +311,7 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
     return out.select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       ((F.col("n") == 0) | ((me == F.col("best")) & (F.col("_turn") == 1))).alias("kept"))
 
 
@@ -313,4 +328,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 @query("op1_ngram_join")
 def op1(spark, folder):
-    return near_copies(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near_copies(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -1,6 +1,7 @@
 """Operators on the given tables against brute force, and on odd rows."""
 
 import hashlib
+import random
 import re
 import textwrap
 import zlib
@@ -59,6 +60,23 @@ def test_ngram_join(docs, texts, n, percent, block):
     assert {i for i in got if got[i]["kept"]} == {rows[r][0] for r in root}
 
 
+@pytest.mark.parametrize("n, percent, block", [(3, 90, 512), (2, 50, 3), (1, 70, 5)])
+def test_ngram_join_counts_all_links(spark, n, percent, block):
+    rng = random.Random(5)
+    rows = []
+    for i in range(90):
+        words = cases.prose(i % 6, 30 + i % 4).split()
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice("abc")
+        rows.append((i, " ".join(words[:len(words) - rng.randint(0, 8)])))
+    rows += [(90 + i, rows[i][1].upper()) for i in range(12)] + [rows[3], rows[3], rows[40], (200, ""), (201, None)]
+    sets = [cases.shingles(t, n) for _, t in rows]
+    due = [(rows[i][0], sum(j != i and cases.similar(sets[i], sets[j], percent) for j in range(len(rows)))) for i in range(len(rows))]
+    assert max(k for _, k in due) >= 3
+    got = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n, percent, block=block).collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == Counter(due)
+
+
 def test_ngram_join_odd_rows(spark):
     odd = cases.odd_documents(spark)
     got = ngram_join.near_copies(odd).collect()
