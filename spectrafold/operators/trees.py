@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,18 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("_v", array_to_vector("x"))
 
 
+def _grown(model, depth: int):
+    """The fitted ensemble, if MLlib's deepest tree was deep enough for the depth that was asked for."""
+    reached = max(t.depth for t in model.trees)
+    if reached >= _MAX_DEPTH and not 0 < depth <= _MAX_DEPTH:
+        raise ValueError(f"a tree reached the {_MAX_DEPTH} levels that can be grown; ask for a depth up to {_MAX_DEPTH} or a larger min_leaf")
+    return model
+
+
+def _levels(depth: int) -> int:
+    return min(depth, _MAX_DEPTH) if depth > 0 else _MAX_DEPTH
+
+
 # --- regression ---------------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -52,12 +65,22 @@ class TreeRegressor:
         return np.mean([m.featureImportances.toArray() for m in self.models], axis=0)
 
 
-def tree_regressor(df: DataFrame, kind: str, responses: int, trees: int = 100, depth: int = 0, min_leaf: int = 1,
+def tree_regressor(df: DataFrame, kind: str, responses: int, trees: int = 100, depth: int | None = None, min_leaf: int = 1,
                    max_features=None, learning_rate: float = 0.1, subsample: float = 1.0, max_bins: int = 255,
                    bootstrap: bool = True, seed: int = 42) -> TreeRegressor:
-    """random_forest, gradient_boosting, hist_gradient_boosting or bagging."""
+    """random_forest, gradient_boosting, hist_gradient_boosting or bagging.
+
+    Depth 0 is unlimited, for gradient_boosting 1; without one boosting takes 3, histogram boosting 5 (about 31
+    leaves), the others no limit. Trees that need more levels than MLlib grows are refused.
+    """
+    if depth is None:
+        depth = {"gradient_boosting": 3, "hist_gradient_boosting": 5}.get(kind, 0)
+    if kind == "gradient_boosting":
+        depth = max(1, depth)
+    if max_bins > 255 and kind != "hist_gradient_boosting":
+        raise ValueError("at most 255 bins")
     common = dict(featuresCol="_v", minInstancesPerNode=max(1, min_leaf), seed=seed)
-    deep = min(depth, _MAX_DEPTH) if depth > 0 else 10
+    deep = _levels(depth)
     data = _vectors(df.select("x", "y")).persist()
     try:
         models = []
@@ -70,11 +93,11 @@ def tree_regressor(df: DataFrame, kind: str, responses: int, trees: int = 100, d
             elif kind in ("gradient_boosting", "hist_gradient_boosting"):
                 model = GBTRegressor(
                     maxIter=max(10, trees), stepSize=learning_rate, subsamplingRate=subsample,
-                    maxDepth=min(depth, _MAX_DEPTH) if depth > 0 else (3 if kind == "gradient_boosting" else 5),
+                    maxDepth=deep,
                     maxBins=min(255, max(2, max_bins)), featureSubsetStrategy=_subset(max_features), **common)
             else:
                 raise ValueError(f"unknown tree model {kind}")
-            models.append(model.fit(rows))
+            models.append(_grown(model.fit(rows), depth))
         return TreeRegressor(models)
     finally:
         data.unpersist()
@@ -98,7 +121,10 @@ class MLClassifier:
 def ml_classifier(df: DataFrame, label: str, kind: str, trees: int = 100, depth: int = 0, criterion: str = "gini",
                   min_leaf: int = 1, max_features="sqrt", c: float = 1.0, max_iter: int = 100,
                   balanced: bool = False, seed: int = 42) -> MLClassifier:
-    """logistic, random_forest or bagging; class names are in sorted order."""
+    """logistic, random_forest or bagging; class names are in sorted order.
+
+    Depth 0 is unlimited; trees that need more levels than MLlib grows are refused.
+    """
     named = df.select("x", F.col(label).cast("string").alias("_label"))
     index = StringIndexer(inputCol="_label", outputCol="_code", stringOrderType="alphabetAsc").fit(named)
     data = _vectors(index.transform(named)).persist()
@@ -114,9 +140,10 @@ def ml_classifier(df: DataFrame, label: str, kind: str, trees: int = 100, depth:
         elif kind in ("random_forest", "bagging"):
             fitted = RandomForestClassifier(
                 featuresCol="_v", labelCol="_code", numTrees=max(10, trees), seed=seed,
-                maxDepth=min(depth, _MAX_DEPTH) if depth > 0 else 10, minInstancesPerNode=max(1, min_leaf),
+                maxDepth=_levels(depth), minInstancesPerNode=max(1, min_leaf),
                 impurity="gini" if criterion == "gini" else "entropy",
                 featureSubsetStrategy="all" if kind == "bagging" else _subset(max_features)).fit(data)
+            fitted = _grown(fitted, depth)
         else:
             raise ValueError(f"unknown classifier {kind}")
         return MLClassifier(fitted, tuple(index.labels))
@@ -151,14 +178,13 @@ class ExtraTrees:
 
 def _descend(t: dict, x: np.ndarray) -> np.ndarray:
     at = np.zeros(len(x), dtype=int)
-    for _ in range(_MAX_DEPTH + 1):
+    while True:
         rows = np.flatnonzero(t["feature"][at] >= 0)
         if not len(rows):
-            break
+            return at
         node = at[rows]
         left = x[rows, t["feature"][node]] <= t["threshold"][node]
         at[rows] = np.where(left, t["left"][node], t["left"][node] + 1)
-    return at
 
 
 def extra_trees(df: DataFrame, width: int, label: str | None = None, trees: int = 100, depth: int = 10,
@@ -167,9 +193,8 @@ def extra_trees(df: DataFrame, width: int, label: str | None = None, trees: int
     inside it, and one pass for the class counts (or response sums) on its left.
 
     Statistics of a group of trees have a bounded size, so wide levels take more passes, not
-    more memory.
+    more memory. Depth 0 is unlimited.
     """
-    depth = min(depth, 16) if depth > 0 else 10
     drawn = {"sqrt": int(np.sqrt(width)), "log2": int(np.log2(max(width, 2)))}.get(max_features, width) or 1
     if label is not None:
         named = df.select("x", F.col(label).cast("string").alias("_l"))
@@ -190,7 +215,7 @@ def extra_trees(df: DataFrame, width: int, label: str | None = None, trees: int
         grown = [{"feature": np.array([-1]), "threshold": np.zeros(1), "left": np.array([-1]),
                   "stats": whole[None, :].copy()} for _ in range(max(10, trees))]
         front = [np.array([0]) for _ in grown]   # nodes that may still split
-        for level in range(depth):
+        for level in range(depth) if depth > 0 else count():
             splittable = [_worth(t["stats"][f], classes, min_leaf) for t, f in zip(grown, front)]
             front = [f[s] for f, s in zip(front, splittable)]
             if not any(len(f) for f in front):

@@ -367,3 +367,29 @@ def test_extra_trees_regression(spark):
     y = (x[:, 0] > 0.5) * 2.0
     out = trees.extra_trees(samples(spark, x, y).df, 3, trees=10, depth=6).predict(samples(spark, x, y).df)
     assert np.corrcoef(wide(out, "yhat")[:, 0], y)[0, 1] > 0.9
+
+
+@pytest.mark.parametrize("depth", [0, 60])
+def test_extra_trees_grow_until_pure(spark, depth):
+    x = np.arange(1500.0)[:, None]
+    y = (np.arange(1500) % 2).astype(float)[:, None]
+    df = samples(spark, x, y).df
+    model = trees.extra_trees(df, 1, trees=10, depth=depth)
+    assert np.allclose(model.leaf_means(x), y)
+
+
+def test_trees_without_a_limit_are_grown_or_refused(spark):
+    rng = np.random.default_rng(3)
+    df = samples(spark, rng.normal(size=(1500, 4)), rng.normal(size=(1500, 1))).df
+    grown = trees.tree_regressor(df, "random_forest", 1, 10, 0)
+    assert max(t.depth for t in grown.models[0].trees) > 10
+    # every cut takes the largest response off
+    k = np.arange(48)
+    chain = samples(spark, np.column_stack([np.minimum(k, 24), np.maximum(k, 24)]).astype(float), 4.0 ** k[:, None]).df
+    for depth in (0, 45):
+        with pytest.raises(ValueError, match="levels"):
+            trees.tree_regressor(chain, "bagging", 1, 10, depth, bootstrap=False)
+    assert trees.tree_regressor(chain, "bagging", 1, 10, 30, bootstrap=False).models[0].trees[0].depth == 30
+    with pytest.raises(ValueError, match="bins"):
+        trees.tree_regressor(df, "gradient_boosting", 1, 10, 2, max_bins=1000)
+
