@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..arrays import map_blocks
+from ..arrays import few_tasks, map_blocks, sum_blocks
 from ..functions.distributions import chi2_quantile, f_quantile, normal_quantile
 from . import kernels, neighbors
 from .folds import CV, assign, test_rows, training_rows
@@ -383,30 +383,20 @@ class Envelope:
 
 def elliptic_envelope(df: DataFrame, n: int, width: int, contamination: float = 0.1, support: float | None = None,
                       centered: bool = False, rounds: int = 30, seed: int = 42) -> Envelope:
-    """Minimum covariance determinant: C-steps over the whole table.
+    """Minimum covariance determinant: C-steps of all starts over the whole table.
 
-    Starts come from a bounded hash sample; each step takes the exact h-th smallest distance as
-    the cut and the moments of the rows within it. The result is corrected for consistency and
-    reweighted.
+    Starts are ``_STARTS`` sets of ``width`` + 1 rows, drawn by hash over the whole table. A step finds the h-th
+    smallest distance of every start at once and takes the moments of the rows within it; the smallest
+    determinant over all rows is kept. The result is corrected for consistency and reweighted.
     """
     _require(n)
     contamination = min(0.5, max(1e-4, contamination))
     h = int(np.ceil(support * n)) if support else (n + width + 1) // 2
-    df = df.persist()   # every C-step scans it twice
-    head = df.select("x").orderBy(F.xxhash64("ix", F.lit(seed))).limit(1000).collect()
-    center, cov = _sample_start(np.array([r["x"] for r in head]), centered, seed)
-    last = np.inf
+    h = min(h, n)
+    df = df.persist()   # every C-step scans it some times
     within = lambda c, p: map_blocks(
         df, lambda b: {"value": np.einsum("ij,jk,ik->i", b["x"] - c, p, b["x"] - c)}, [("value", "double")], ["x"], ["x"])
-    for _ in range(rounds):
-        dist = within(center, np.linalg.pinv(cov, hermitian=True))
-        cut = _quantile(dist, "value", (h - 1) / max(n - 1, 1))
-        m = moments(dist.filter(F.col("value") <= cut), "x", width=width)[""]
-        center, cov = _location(m, centered)
-        size = np.linalg.slogdet(cov + 1e-12 * np.trace(cov) / width * np.eye(width))[1]
-        if size >= last - 1e-7:
-            break
-        last = size
+    center, cov = _least_determinant(df, n, width, h, centered, rounds, seed)
     dist = within(center, np.linalg.pinv(cov, hermitian=True))
     correction = _quantile(dist, "value", 0.5) / chi2_quantile(0.5, width)
     cov = cov * correction
@@ -427,28 +417,86 @@ def _location(m: Moments, centered: bool):
     return m.x_mean, m.xx / m.n
 
 
-def _sample_start(x: np.ndarray, centered: bool, seed: int):
-    """Best of several random elemental starts on a bounded sample, after a few C-steps."""
+_STARTS = 30
+_EDGES = 1024            # bins of a start's distances in one pass
+_HELD_MOMENTS = 4 << 20  # numbers of the moments of a group of starts in one pass
+
+
+def _elemental(df: DataFrame, n: int, width: int, centered: bool, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centre and covariance of each start: ``width`` + 1 rows by hash, no row twice where there are enough."""
+    size = min(n, width + 1)
+    ids = [r["ix"] for r in df.select("ix").orderBy(F.xxhash64("ix", F.lit(seed), F.lit("start")), "ix").limit(_STARTS * size).collect()]
     rng = np.random.default_rng(seed)
-    n, p = x.shape
-    h = (n + p + 1) // 2
-    best = None
-    for _ in range(30):
-        rows = rng.choice(n, min(n, p + 1), replace=False)
-        for _ in range(5):
-            c = np.zeros(p) if centered else x[rows].mean(0)
-            z = x[rows] - c
-            cov = z.T @ z / len(rows)
-            inverse = np.linalg.pinv(cov + 1e-9 * max(np.trace(cov) / p, 1e-12) * np.eye(p), hermitian=True)
-            d = np.einsum("ij,jk,ik->i", x - c, inverse, x - c)
-            rows = np.argpartition(d, min(h, n) - 1)[:h]
-        c = np.zeros(p) if centered else x[rows].mean(0)
-        z = x[rows] - c
-        cov = z.T @ z / len(rows)
-        size = np.linalg.slogdet(cov + 1e-12 * np.eye(p))[1]
-        if best is None or size < best[0]:
-            best = (size, c, cov)
-    return best[1], best[2]
+    sets = [ids[k * size:(k + 1) * size] if len(ids) == _STARTS * size else rng.choice(ids, size, replace=False).tolist() for k in range(_STARTS)]
+    named = df.sparkSession.createDataFrame([(int(i), k) for k, own in enumerate(sets) for i in own], "ix long, start int")
+    found = moments(df.join(F.broadcast(named), "ix"), "x", key="start", width=width)
+    made = [_location(found[k], centered) for k in sorted(found, key=int)]
+    return [(c, v + 1e-9 * max(np.trace(v) / width, 1e-12) * np.eye(width)) for c, v in made]
+
+
+def _least_determinant(df: DataFrame, n: int, width: int, h: int, centered: bool, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of the start whose C-steps end at the smallest determinant."""
+    few = few_tasks(df)
+    state = _elemental(df, n, width, centered, seed)
+    last = np.full(len(state), np.inf)
+    active = list(range(len(state)))
+    step = max(1, _HELD_MOMENTS // (1 + width + width * width))
+    for _ in range(rounds):
+        moving = []
+        for at in range(0, len(active), step):
+            group = active[at:at + step]
+            for k, (center, cov) in zip(group, _c_step(df, width, [state[k] for k in group], h, centered, few)):
+                size = np.linalg.slogdet(cov + 1e-12 * np.trace(cov) / width * np.eye(width))[1]
+                state[k] = center, cov
+                if size < last[k] - 1e-7:
+                    moving.append(k)
+                last[k] = size
+        active = moving
+        if not active:
+            break
+    return state[int(np.argmin(last))]
+
+
+def _c_step(df: DataFrame, width: int, starts: list[tuple[np.ndarray, np.ndarray]], h: int, centered: bool, few: bool):
+    """Centre and covariance of the h rows (and ties) that are nearest to each start."""
+    centers = [c for c, _ in starts]
+    inverses = [np.linalg.pinv(v, hermitian=True) for _, v in starts]
+
+    def distances(x):
+        return [np.maximum(np.einsum("ij,ij->i", (x - c) @ p, x - c), 0.0) for c, p in zip(centers, inverses)]
+
+    top = -sum_blocks(df, ["x"], lambda b: np.array([-d.max(initial=0.0, where=np.isfinite(d)) for d in distances(b["x"])]), few, lowest=True)
+    # at most h - 1 rows lie up to low, h or more up to high
+    low, high, open_ = np.full(len(starts), -1.0), top, np.ones(len(starts), bool)
+    while open_.any():
+        edges = [np.linspace(a, b, _EDGES + 1) for a, b in zip(low, high)]
+
+        def counts(b):
+            # rows up to the first edge, and between each edge and the next
+            return np.concatenate([np.bincount(np.minimum(np.searchsorted(e, d), _EDGES + 1), minlength=_EDGES + 2)[:_EDGES + 1].astype(float)
+                                   for e, d in zip(edges, distances(b["x"]))])
+
+        upto = np.cumsum(sum_blocks(df, ["x"], counts, few).reshape(len(starts), -1), axis=1)
+        for k in np.flatnonzero(open_):
+            i = min(int(np.searchsorted(upto[k], h)), _EDGES)  # rows without a distance may make h too many
+            narrower = edges[k][i - 1], edges[k][i]
+            # no other number fits between the edges, or just the h rows do
+            open_[k] = upto[k][i] > h and narrower != (low[k], high[k]) and np.nextafter(narrower[0], np.inf) < narrower[1]
+            low[k], high[k] = narrower
+
+    def sums(b):
+        out = []
+        for c, d, cut in zip(centers, distances(b["x"]), high):
+            z = b["x"][d <= cut] - c
+            out += [[float(len(z))], z.sum(axis=0), (z.T @ z).ravel()]
+        return np.concatenate(out)
+
+    found = sum_blocks(df, ["x"], sums, few).reshape(len(starts), -1)
+    made = []
+    for c, own in zip(centers, found):
+        m, total = own[1:1 + width] / own[0], own[1 + width:].reshape(width, width) / own[0]
+        made.append((np.zeros(width), total) if centered else (c + m, total - np.outer(m, m)))
+    return made
 
 
 # --- common front end ---------------------------------------------------------------------

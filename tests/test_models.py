@@ -167,6 +167,26 @@ def test_one_class_models_reject_outliers(spark, method, hp):
     assert r[True]["rate"] == 0.0 and r[False]["rate"] > 0.75 and r[False]["p"] > r[True]["p"]
 
 
+def test_envelope_judges_starts_on_all_rows(spark):
+    """The thousand rows that are first by hash lie apart from the tight majority."""
+    n, rng = 6000, RNG(31)
+    first = {r["ix"] for r in spark.range(n).select(F.col("id").alias("ix")).orderBy(F.xxhash64("ix", F.lit(42))).limit(1000).collect()}
+    loose = np.array([i in first for i in range(n)])
+    loose[rng.choice(np.flatnonzero(~loose), int(0.45 * n) - 1000, replace=False)] = True
+    x = np.where(loose[:, None], rng.normal(size=(n, 3)) + [10, 0, 0], 0.1 * rng.normal(size=(n, 3)))
+    model = novelty.fit_novelty(samples(spark, x).df, "elliptic_envelope", 3)
+    assert np.abs(model.center).max() < 0.05
+
+
+def test_c_step_takes_the_nearest_rows(spark):
+    x = np.round(RNG(32).normal(size=(700, 2)), 1)
+    starts = [(np.zeros(2), np.eye(2)), (np.array([1.0, 0.5]), np.diag([2.0, 0.3]))]
+    for (c, v), (center, cov) in zip(starts, novelty._c_step(samples(spark, x).df, 2, starts, 351, False, False)):
+        d = np.einsum("ij,ij->i", (x - c) @ np.linalg.pinv(v, hermitian=True), x - c)
+        near = x[d <= np.sort(d)[350] * (1 + 1e-12)]
+        assert np.allclose(center, near.mean(0)) and np.allclose(cov, np.cov(near.T, bias=True))
+
+
 def test_one_class_needs_five_rows(spark):
     with pytest.raises(ValueError):
         novelty.fit_novelty(samples(spark, RNG(20).normal(size=(4, 3))).df, "simca", 3)
