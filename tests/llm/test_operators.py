@@ -166,6 +166,14 @@ def test_license_scan_wrapped_notices(spark, docs):
     assert {r["family"] for r in found if r["doc_id"] == -1} == {"apache", "mit"}
 
 
+def test_license_scan_learns_from_distinct_lines(spark):
+    hot = [cases.prose(k, 6) for k in range(8)]
+    rows = [(i, "\n".join([*hot, cases.prose(1000 + 2 * i, 6), cases.prose(1001 + 2 * i, 6)])) for i in range(800)]
+    rows += [(i, rows[0][1]) for i in range(800, 1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert license_scan._ordinary(docs, spark).count() == 8 + 1600
+
+
 def test_key_words_miss_no_notice():
     words = license_scan.key_words(0.6)
     assert all(any(w in t.lower() for w in words) for texts in license_scan.NOTICES.values() for t in texts)
