@@ -172,7 +172,7 @@ def test_envelope_judges_starts_on_all_rows(spark):
     n, rng = 6000, RNG(31)
     first = {r["ix"] for r in spark.range(n).select(F.col("id").alias("ix")).orderBy(F.xxhash64("ix", F.lit(42))).limit(1000).collect()}
     loose = np.array([i in first for i in range(n)])
-    loose[rng.choice(np.flatnonzero(~loose), int(0.45 * n) - 1000, replace=False)] = True
+    loose[rng.choice(np.flatnonzero(~loose), int(0.49 * n) - 1000, replace=False)] = True
     x = np.where(loose[:, None], rng.normal(size=(n, 3)) + [10, 0, 0], 0.1 * rng.normal(size=(n, 3)))
     model = novelty.fit_novelty(samples(spark, x).df, "elliptic_envelope", 3)
     assert np.abs(model.center).max() < 0.05
