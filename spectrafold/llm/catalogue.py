@@ -1,6 +1,8 @@
 """Importing this fills the registry with every query of the subpackage."""
 
 from . import (  # noqa: F401
+    conversation_repair,
+    conversation_trie,
     embedding_dedup,
     exact_dedup,
     license_scan,
