@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     conversation_trie,
     embedding_dedup,
     exact_dedup,
+    html_extract,
     license_scan,
     line_dedup,
     ngram_join,

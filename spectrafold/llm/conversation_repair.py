@@ -131,16 +131,17 @@ def crossing_table(codes) -> list:
 
 # -- tables ------------------------------------------------------------------------------
 
-def turns(df: DataFrame) -> DataFrame:
+def turns(df: DataFrame, gone: str | None = None, copies: str | None = None) -> DataFrame:
     """conv_id, turn, role, text, copies, code of every distinct turn, sorted in blocks, with ``at`` in that order.
 
-    A row whose ``gone`` is true (a column of ``df``, may be absent) only keeps its conversation in the result.
+    ``gone`` and ``copies`` name columns of ``df``: a row that is gone only keeps its conversation in the result,
+    and a row counts as so many equal ones.
     """
-    gone = F.coalesce("gone", F.lit(False)) if "gone" in df.columns else F.lit(False)
+    gone = F.coalesce(gone, F.lit(False)) if gone else F.lit(False)
     rows = df.select("conv_id", F.when(~gone, F.col("turn").cast("long")).alias("turn"),
                      F.when(~gone, F.coalesce("role", F.lit(" "))).alias("role"),
                      F.when(~gone, F.coalesce("text", F.lit(" "))).alias("text"), gone.alias("gone"),
-                     (F.col("copies") if "copies" in df.columns else F.lit(1)).cast("long").alias("n"))
+                     (F.col(copies) if copies else F.lit(1)).cast("long").alias("n"))
     rows = rows.groupBy("conv_id", "gone", "turn", "role", "text").agg(F.sum("n").alias("copies"))
     # the digest stands for role and text
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)))
@@ -341,9 +342,9 @@ _REPORT = pa.schema([("conv_id", pa.int64()), *((n, pa.int64()) for n in ("gaps"
                      ("audit", pa.string()), ("repaired_sha256", pa.string())])
 
 
-def report(df: DataFrame) -> DataFrame:
+def report(df: DataFrame, gone: str | None = None, copies: str | None = None) -> DataFrame:
     """One row a conversation: gaps, faults, illegal neighbours, cost, audit and digest of the repaired turns."""
-    rows = turns(df)
+    rows = turns(df, gone, copies)
 
     def run(batches):
         done: list[dict] = []
@@ -465,4 +466,4 @@ FROM ends e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id
 @query("op13_conversation_repair", _SQL)
 def conversation_repair(spark, folder):
     """All conversations with planted faults: what is wrong with each, and its cheapest repair."""
-    return report(damaged(table(spark, folder, "conversations")))
+    return report(damaged(table(spark, folder, "conversations")), "gone", "copies")
