@@ -1,14 +1,20 @@
 """Exact Jaccard self-join of word n-gram sets with filters under several global orders.
 
 Under any total order of the shingles, two sets with Jaccard similarity t share a shingle among the
-first n - ceil(t n) + 1 of each. Orders put shingles of common hash classes last and break ties by
-different hashes, so every order is a filter of its own, and a pair is only verified if it passes all.
-
-Equal sets are one class from the start. The first order gives posting lists, spread over all tasks.
-Along a list, by size, each class is tied to the next one if their sizes allow a link: classes whose
-sizes allow one are so connected, with fewer ties than members. Everything connected is a candidate
-cluster. Its texts are brought together once; a cluster beyond ``BLOCK`` members is cut by set size into
-steps of which only neighbours can hold links, and a step beyond it into pairs of blocks. There the candidates must also share a prefix token under every order before their sets are compared
+first n - ceil(t n) + 1 of each. All orders put rare shingles first, each by a reckoning of its own: how often a
+shingle's words would meet by chance, the same in coarse steps, or the count of its rarest word; a hash class of
+shingles that is much fuller than usual corrects each of them. Ties are broken by different hashes. Word counts
+need no more room on larger corpora than the vocabulary does, so the orders hold at any size.
+
+Equal sets are one class from the start. The first order gives posting lists, sorted in ranges that may split a
+list. Along a list, by size, each class is tied to the next one if their sizes allow a link: classes whose
+sizes allow one are so connected, with fewer ties than members. What is connected is a candidate
+cluster. Before any text moves, the clusters are refined under each order in turn, with lists of (cluster, shingle),
+as long as that takes classes out of them: linked classes share a prefix shingle under every order, so none of their
+links is lost. Only then the texts of what is left are brought together; a cluster beyond ``BLOCK`` members (or as many
+shingles as usual members have) is cut by set size into
+steps of which only neighbours can hold links, and a step beyond it into pairs of blocks. There candidates must once more
+share a prefix token under every order, pair by pair, before their sets are compared
 exactly. Tasks hand on a spanning forest of the links they find, whose components are those of all
 links, and for each class the number of documents that its links reach; never all pairs. Steps overlap: a pair
 of classes of one step is counted in that step only.
@@ -24,9 +30,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,88 +42,117 @@ from pyspark.sql import functions as F
 from ..blas import single_threaded
 from ..session import durable
 from .components import components
-from .embedding_dedup import Forest, block_cells, by_group, with_size
+from .embedding_dedup import Forest, block_cells, by_group
 from .registry import query, table
-from .textblocks import LOWER, blocks, binary_column, mix64, shingle_hashes, span_hashes, word_bounds
+from .textblocks import LOWER, binary_column, blocks, mix64, shingle_hashes, span_hashes, word_bounds
 
 WORDS = 3
 PERCENT = 90
-CLASS_BITS = 18  # hash classes whose size orders the shingles
-ORDERS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118)
+CLASS_BITS = 18  # hash classes of words and of shingles that are counted
+SLICES = 8  # parts in which the counts are summed
+SEEDS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118, 0x6A09E667F3BCC909)  # one for each order
 BLOCK = 2048
+USUAL = 500  # shingles of a member; a larger set counts as more members
 PANEL = 512  # members whose pairs with all others are held at once
+KNOWN = 100_000  # sets a task remembers so as not to send them twice
+SEND = 16 << 20  # bytes of candidates that may be broadcast
+LEFT = 0.98  # refinement goes on while fewer than this share of the members stay
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a block."""
+@dataclass(frozen=True)
+class Ranks:
+    """What orders the shingles: log2 of the words' counts by hash class, of what a class of shingles has too much, and of all words."""
+
+    words: np.ndarray
+    excess: np.ndarray
+    total: float
+
+    def of(self, logs: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The rank of each shingle under each order; ``logs`` has a row for each of a shingle's words."""
+        excess = self.excess[(own >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
+        chance = np.maximum(logs.sum(axis=0, dtype=np.float32) - (len(logs) - 1) * self.total, excess)
+        fine = np.clip(np.round(4 * (chance + 32)), 0, 255).astype(np.uint8)
+        rarest = np.clip(np.round(8 * np.maximum(logs.min(axis=0), excess)), 0, 255).astype(np.uint8)
+        return np.stack([fine, fine >> 3, rarest])
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, ranks: Ranks | None = None) -> Iterator:
+    """The sorted distinct shingle hashes of each text of a block; with ``ranks`` also their ranks under each order."""
     data = LOWER[data]
     starts, ends, row = word_bounds(data, offsets)
     words = span_hashes(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
     value, owner = shingle_hashes(words, row, n)
+    if ranks is not None and len(value):
+        logs = ranks.words[(words >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
+        inside = row[:len(words) - n + 1] == row[n - 1:]
+        places = ranks.of(np.stack([logs[i:len(words) - n + 1 + i][inside] for i in range(n)]), value)
     bounds = np.searchsorted(owner, np.arange(len(offsets)))
     spans = np.searchsorted(row, np.arange(len(offsets)))
     for i in range(len(offsets) - 1):
         if bounds[i] < bounds[i + 1]:
-            yield np.unique(value[bounds[i]:bounds[i + 1]])
-        elif spans[i] < spans[i + 1]:
-            own = words[spans[i]:spans[i + 1]]
-            yield shingle_hashes(own, np.zeros(len(own), np.int64), len(own))[0] ^ np.uint64(len(own))
-        else:
-            yield value[:0]
+            here = slice(bounds[i], bounds[i + 1])
+            if ranks is None:
+                yield np.unique(value[here])
+            else:
+                own, first = np.unique(value[here], return_index=True)
+                yield own, places[:, here][:, first]
+            continue
+        own = value[:0]
+        if spans[i] < spans[i + 1]:
+            whole = words[spans[i]:spans[i + 1]]
+            own = shingle_hashes(whole, np.zeros(len(whole), np.int64), len(whole))[0] ^ np.uint64(len(whole))
+        yield own if ranks is None else (own, np.zeros((len(SEEDS), len(own)), np.uint8))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
-def class_ranks(source: DataFrame, n: int) -> np.ndarray:
-    """How common each hash class of shingles is over all documents, from 0 (usual) to 255.
+def count_ranks(source: DataFrame, n: int) -> Ranks:
+    """Counts of the words and shingles of all documents by hash class.
 
-    The classes are so many whatever the corpus; a task sends one count per class, and eight sums
+    The classes are so many whatever the corpus; a task sends one count per class, and their sums
     reach the driver.
     """
     classes = 1 << CLASS_BITS
+    width = classes // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total, some = np.zeros(classes, np.int64), False
+        total = np.zeros((2, classes), np.int64)
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column("text")):
-                some = True
-                sets = list(shingle_sets(data, offsets, n))
-                own = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                total += np.bincount((own >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=classes)
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 8], pa.int32()),
-                                              pa.array([total.astype("<u4").tobytes()], pa.binary())], names=["part", "counts"])
+                data = LOWER[data]
+                starts, ends, row = word_bounds(data, offsets)
+                if len(starts):
+                    words = span_hashes(data, starts, ends)
+                    total[0] += np.bincount((words >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=classes)
+                    total[1] += np.bincount((shingle_hashes(words, row, n)[0] >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=classes)
+        if total.any():
+            parts = [total[k, s * width:(s + 1) * width] for k in (0, 1) for s in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(2 * SLICES), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())],
+                                             names=["part", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(classes, np.int64)
+        total, part = np.zeros(width, np.int64), None
         for batch in batches:
-            for blob in batch.column("counts"):
-                own = blob.as_py()
-                total += np.frombuffer(own, "<u4" if len(own) == 4 * classes else "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
-
-    got = source.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(merge, "counts binary").toArrow()
-    total = np.zeros(classes, np.int64)
-    for blob in got["counts"]:
-        total += np.frombuffer(blob.as_py(), "<i8")
-    usual = np.median(total[total > 0]) if total.any() else 1.0
-    return np.clip(np.round(32 * np.log2(np.maximum(total, 1) / max(usual, 1.0))), 0, 255).astype(np.uint64)
-
-
-def order_keys(own: np.ndarray, ranks: np.ndarray, seed: int) -> np.ndarray:
-    """Numbers that sort the shingles by one of the orders."""
-    rank = ranks[(own >> np.uint64(64 - CLASS_BITS)).astype(np.int64)] << np.uint64(56)
-    return rank | (mix64(own ^ np.uint64(seed)) >> np.uint64(8))
-
-
-def prefix(own: np.ndarray, ranks: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """The first shingles of a set under an order, as order keys."""
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                total += np.frombuffer(blob, "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    total = np.zeros((2 * SLICES, width), np.int64)
+    for row in source.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(merge, "part int, counts binary").collect():
+        total[row["part"]] = np.frombuffer(row["counts"], np.int64)
+    words, shingles = total.reshape(2, classes)
+    usual = float(np.median(shingles[shingles > 0])) if shingles.any() else 0.0
+    excess = shingles - usual - 6 * math.sqrt(usual)
+    return Ranks(np.log2(np.maximum(words, 1)).astype(np.float32),
+                 np.where(excess >= 2, np.log2(np.maximum(excess, 2)), -64).astype(np.float32), math.log2(max(int(words.sum()), 1)))
+
+
+def prefix(own: np.ndarray, places: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first shingles of a set under an order, as numbers that sort by it."""
     size = len(own) - -(-percent * len(own) // 100) + 1
-    keys = order_keys(own, ranks, seed)
+    keys = (places[order].astype(np.uint64) << np.uint64(56)) | (mix64(own ^ np.uint64(SEEDS[order])) >> np.uint64(8))
     return np.partition(keys, size - 1)[:size] if size < len(keys) else keys
 
 
@@ -141,27 +178,132 @@ def _classes(source: DataFrame, n: int) -> DataFrame:
     return named.groupBy("doc_id", "mark", "e", "n").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _postings(source: DataFrame, ranks: np.ndarray, n: int, percent: int) -> DataFrame:
-    """A row for each prefix shingle of each class of sets under the first order."""
+_POSTING = "cluster binary, token long, n int, e binary"
+
+
+def _postings(texts: DataFrame, ranks: Ranks, n: int, percent: int, orders: tuple[int, ...]) -> DataFrame:
+    """A row for each prefix shingle of each class of sets under the orders; ``texts`` may name the class wanted of a text in ``want``."""
+    names = [c for c in ("text", "want") if c in texts.columns]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[bytes] = set()  # sets whose postings this task has sent
+        known: set[bytes] = set()  # sets whose postings this task has sent of late
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column("text")):
-                token, size, name = [], [], []
-                for own in shingle_sets(data, offsets, n):
+            want = batch.column("want").to_pylist() if "want" in names else None
+            for first, _, data, offsets in blocks(batch.column("text")):
+                token, size, name, order = [], [], [], []
+                for at, (own, places) in enumerate(shingle_sets(data, offsets, n, ranks), first):
                     digest = _digest(own)
-                    if len(own) and digest not in known:
+                    if len(own) and digest not in known and (want is None or want[at] == digest):
+                        if len(known) >= KNOWN:
+                            known.clear()
                         known.add(digest)
-                        token.append(prefix(own, ranks, ORDERS[0], percent))
-                        size.append(len(own))
-                        name.append(digest)
+                        for k in orders:
+                            token.append(prefix(own, places, k, percent))
+                            size.append(len(own))
+                            name.append(digest)
+                            order.append(k)
                 if token:
                     repeat = np.array([len(k) for k in token])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(size, np.int32), repeat)),
-                         binary_column(np.frombuffer(b"".join(name), "S16").repeat(repeat), 16)], names=["token", "n", "e"])
+                        [pa.array(np.repeat(np.array(order, np.int32), repeat)), pa.array(np.concatenate(token).view(np.int64)),
+                         pa.array(np.repeat(np.array(size, np.int32), repeat)),
+                         binary_column(np.frombuffer(b"".join(name), "S16").repeat(repeat), 16)], names=["order", "token", "n", "e"])
+
+    return texts.select(*names).mapInArrow(run, "order int, token long, n int, e binary")
+
 
-    return source.select("text").mapInArrow(run, "token long, n int, e binary")
+def _ties(postings: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes that follow each other in a list (of cluster and token, by size) and whose sizes allow a link.
+
+    Lists lie in ranges; the ends of neighbouring ranges are tied on the driver, two rows a range.
+    """
+    spark = postings.sparkSession
+    key = ["cluster", "token", "n", "e"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = postings.select(*key).repartitionByRange(parts, *key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        last, edge = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is None:
+                edge.append(batch.slice(0, 1))
+            rows = pa.Table.from_batches([*([last] if last is not None else []), batch]).combine_chunks()
+            last = batch.slice(batch.num_rows - 1, 1)
+            low, high = rows.slice(0, rows.num_rows - 1), rows.slice(1)
+            size = [np.asarray(x["n"]).astype(np.int64) for x in (low, high)]
+            tied = pc.and_(pc.and_(pc.equal(low["token"], high["token"]), pc.equal(low["cluster"], high["cluster"])), pc.not_equal(low["e"], high["e"]))
+            tied = pc.and_(tied, pa.array(100 * size[0] >= percent * size[1]))
+            found = pa.table({"a": low["e"], "b": high["e"]}).filter(tied).group_by(["a", "b"]).aggregate([])
+            none = pa.nulls(found.num_rows, pa.int32())
+            yield from pa.table({"a": found["a"], "b": found["b"], "part": none, "edge": pa.nulls(found.num_rows, pa.string())}).to_batches()
+        if last is not None:
+            part = TaskContext.get().partitionId()
+            for row in (edge[0], last):
+                own = row.to_pylist()[0]
+                note = f"{own['cluster'].hex()} {own['token']} {own['n']} {own['e'].hex()}"
+                yield pa.RecordBatch.from_pydict({"a": [own["e"]], "b": [own["e"]], "part": [part], "edge": [note]},
+                                                 schema=pa.schema([("a", pa.binary()), ("b", pa.binary()), ("part", pa.int32()), ("edge", pa.string())]))
+
+    found = durable(ordered.mapInArrow(run, "a binary, b binary, part int, edge string"))
+    ends: dict[int, list] = {}
+    for row in found.filter("part is not null").select("part", "edge").collect():
+        cluster, token, n, e = row["edge"].split(" ")
+        ends.setdefault(row["part"], []).append((cluster, int(token), int(n), e))
+    more, before = [], None
+    for part in sorted(ends):
+        low, high = min(ends[part], key=lambda v: (v[0], v[1], v[2], v[3])), max(ends[part], key=lambda v: (v[0], v[1], v[2], v[3]))
+        if before and before[:2] == low[:2] and before[3] != low[3] and 100 * before[2] >= percent * low[2]:
+            more.append((bytearray.fromhex(before[3]), bytearray.fromhex(low[3])))
+        before = high
+    ties = found.filter("part is null").select("a", "b")
+    return (ties.unionByName(spark.createDataFrame(more, "a binary, b binary")) if more else ties).distinct()
+
+
+def _clusters(ties: DataFrame) -> DataFrame:
+    return components(durable(ties)).select(F.col("node").alias("e"), F.col("root").alias("cluster"))
+
+
+def candidates(source: DataFrame, own: DataFrame, ranks: Ranks, n: int, percent: int) -> DataFrame:
+    """e, cluster, n, copies, _id, _mark of the classes that may have links, refined under all orders.
+
+    ``_id`` and ``_mark`` name a document that has the class's text.
+    """
+    first = _postings(source, ranks, n, percent, (0,)).withColumn("cluster", F.unhex(F.lit("")))
+    clusters = durable(_clusters(_ties(first, percent)))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
+    lowest = own.filter("n > 0").groupBy("e").agg(F.min(place).alias("low"), F.first("n").alias("n"), F.sum("copies").alias("copies"))
+    light = clusters.join(lowest, "e").select("e", "n", "copies", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark"))
+    light = durable(light)
+    tokens = _postings(_texts(source, light.withColumnRenamed("e", "want")), ranks, n, percent, tuple(range(len(SEEDS))))
+    tokens = durable(tokens)
+    order, members = 1, clusters.count()
+    start = members
+    while members:
+        lists = tokens.filter(F.col("order") == order).join(clusters, "e")
+        clusters = durable(_clusters(_ties(lists, percent)))
+        order, members = (order + 1) % len(SEEDS), clusters.count()
+        if order == 0:
+            # a round is over
+            if members > LEFT * start:
+                break
+            start = members
+    return clusters.join(light, "e")
+
+
+def _texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the documents named by _id and _mark, and the other columns of ``wanted``."""
+    wanted = F.broadcast(wanted) if wanted.count() * 150 <= SEND else wanted
+    return source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+
+
+def _weighed(rows: DataFrame) -> DataFrame:
+    """``rows`` with met, the members of their cluster, large sets counted as more."""
+    met = rows.groupBy(F.col("cluster").alias("_key")).agg(F.sum(F.greatest(F.lit(1.0), F.col("n") / USUAL)).alias("met"))
+    return rows.join(met, F.col("cluster") == F.col("_key")).drop("_key")
 
 
 def shared_tokens(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,14 +339,14 @@ def intersections(number: np.ndarray, owner: np.ndarray, m: int, first: int, las
     return total
 
 
-def _links(sets: list[np.ndarray], ranks: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _links(sets: list[np.ndarray], places: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of sets that are similar enough, among those that share prefix tokens under all orders."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), size)
     tokens = []
-    for seed in ORDERS:
-        parts = [prefix(s, ranks, seed, percent) for s in sets]
+    for order in range(len(SEEDS)):
+        parts = [prefix(s, p, order, percent) for s, p in zip(sets, places)]
         tokens.append(shared_tokens(np.concatenate(parts), np.repeat(np.arange(m), [len(p) for p in parts])))
     whole = None
     for first in range(0, m, PANEL):
@@ -231,21 +373,22 @@ def _links(sets: list[np.ndarray], ranks: np.ndarray, percent: int) -> Iterator[
         yield some[lo + a], some[b]
 
 
-def _verify(ranks: np.ndarray, n: int, percent: int):
+def _verify(ranks: Ranks, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
         for group in by_group(batches, ["cluster", "_i", "_j"]):
             if group.num_rows < 2:
                 continue
-            sets, expected, known = [], group["e"].to_pylist(), []
+            sets, places, expected, known = [], [], group["e"].to_pylist(), []
             met: set[bytes] = set()  # repeated rows bring a class twice
             at = 0
             for _, _, data, offsets in blocks(group["text"]):
-                for own in shingle_sets(data, offsets, n):
+                for own, rank in shingle_sets(data, offsets, n, ranks):
                     # two texts with equal marks under one id: only one is the class's
                     if expected[at] not in met and _digest(own) == expected[at]:
                         met.add(expected[at])
                         sets.append(own)
+                        places.append(rank)
                         known.append(at)
                     at += 1
             if len(sets) < 2:
@@ -254,7 +397,7 @@ def _verify(ranks: np.ndarray, n: int, percent: int):
             links = np.zeros(len(sets), np.int64)
             across = group["_i"][0].as_py() != group["_j"][0].as_py()
             forest, tree = Forest(len(sets)), []
-            for a, b in _links(sets, ranks, percent):
+            for a, b in _links(sets, places, percent):
                 if across:
                     a, b = a[side[a] != side[b]], b[side[a] != side[b]]
                 here = home[a] | home[b]
@@ -278,22 +421,16 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     n_links counts the other documents (rows) that are similar enough to the document itself.
     """
     source = _source(docs, id_col, text_col)
-    ranks = class_ranks(source, n)
+    ranks = count_ranks(source, n)
     own = durable(_classes(source, n))
-    along = W.partitionBy("token").orderBy("n", "e")
-    lists = _postings(source, ranks, n, percent).select("token", "e", "n", F.lag("e").over(along).alias("a"), F.lag("n").over(along).alias("n_a"))
-    ties = lists.filter((F.col("a") != F.col("e")) & (100 * F.col("n_a") >= percent * F.col("n"))).select("a", F.col("e").alias("b")).distinct()
-    clusters = components(durable(ties))
-
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
     lowest = own.filter("n > 0").groupBy("e").agg(F.min(order).alias("low"), F.first("n").alias("n"), F.sum("copies").alias("copies"))
-    wanted = clusters.select(F.col("node").alias("e"), F.col("root").alias("cluster")).join(lowest, "e")
-    wanted = with_size(wanted.select("e", "cluster", "n", "copies", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark")), "cluster")
+    wanted = _weighed(candidates(source, own, ranks, n, percent))
     step = F.floor(F.log("n") / F.lit(max(math.log(100 / percent), 1e-9) * 1.000001))
     steps = F.when(F.col("met") > block, F.array(step, step + 1)).otherwise(F.array(F.lit(-1).cast("long")))
     wanted = wanted.withColumn("_step", F.explode(steps)).withColumn("_home", (F.col("_step") == -1) | (F.col("_step") == step)).drop("met")
-    wanted = with_size(wanted.withColumn("cluster", F.concat("cluster", F.encode(F.col("_step").cast("string"), "UTF-8"))), "cluster")
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    wanted = durable(_weighed(wanted.withColumn("cluster", F.concat("cluster", F.encode(F.col("_step").cast("string"), "UTF-8")))))
+    texts = _texts(source, wanted)
     cells = block_cells(texts.select("e", "cluster", "met", "copies", "_home", "text"), "met", block, "e")
     cells = cells.repartition("cluster", "_i", "_j").sortWithinPartitions("cluster", "_i", "_j", "e")
     links = durable(cells.mapInArrow(_verify(ranks, n, percent), "a binary, b binary, links long"))
