@@ -9,9 +9,9 @@ need no more room on larger corpora than the vocabulary does, so the orders hold
 Equal sets are one class from the start. The first order gives posting lists, sorted in ranges that may split a
 list. Along a list, by size, each class is tied to the next one if their sizes allow a link: classes whose
 sizes allow one are so connected, with fewer ties than members. What is connected is a candidate
-cluster. Before any text moves, the clusters are refined under each order in turn, with lists of (cluster, shingle),
-as long as that takes classes out of them: linked classes share a prefix shingle under every order, so none of their
-links is lost. Only then the texts of what is left are brought together; a cluster beyond ``BLOCK`` members (or as many
+cluster. Before any text moves, the clusters are refined under the other orders in turn, with lists of (cluster, shingle):
+a class that meets nobody leaves, and the last order's lists split what is left. Linked classes share a prefix shingle under
+every order, so none of their links is lost. Only then the texts of what is left are brought together; a cluster beyond ``BLOCK`` members (or as many
 shingles as usual members have) is cut by set size into
 steps of which only neighbours can hold links, and a step beyond it into pairs of blocks. There candidates must once more
 share a prefix token under every order, pair by pair, before their sets are compared
@@ -56,7 +56,6 @@ USUAL = 500  # shingles of a member; a larger set counts as more members
 PANEL = 512  # members whose pairs with all others are held at once
 KNOWN = 100_000  # sets a task remembers so as not to send them twice
 SEND = 16 << 20  # bytes of candidates that may be broadcast
-LEFT = 0.98  # refinement goes on while fewer than this share of the members stay
 
 
 @dataclass(frozen=True)
@@ -213,7 +212,7 @@ def _postings(texts: DataFrame, ranks: Ranks, n: int, percent: int, orders: tupl
 
 
 def _ties(postings: DataFrame, percent: int) -> DataFrame:
-    """a, b: classes that follow each other in a list (of cluster and token, by size) and whose sizes allow a link.
+    """a, b: the smallest and each other class of a run in a list (of cluster and token, by size) along which sizes allow links.
 
     Lists lie in ranges; the ends of neighbouring ranges are tied on the driver, two rows a range.
     """
@@ -235,9 +234,13 @@ def _ties(postings: DataFrame, percent: int) -> DataFrame:
             last = batch.slice(batch.num_rows - 1, 1)
             low, high = rows.slice(0, rows.num_rows - 1), rows.slice(1)
             size = [np.asarray(x["n"]).astype(np.int64) for x in (low, high)]
-            tied = pc.and_(pc.and_(pc.equal(low["token"], high["token"]), pc.equal(low["cluster"], high["cluster"])), pc.not_equal(low["e"], high["e"]))
-            tied = pc.and_(tied, pa.array(100 * size[0] >= percent * size[1]))
-            found = pa.table({"a": low["e"], "b": high["e"]}).filter(tied).group_by(["a", "b"]).aggregate([])
+            same = pc.and_(pc.equal(low["token"], high["token"]), pc.equal(low["cluster"], high["cluster"]))
+            tied = np.asarray(same) & (100 * size[0] >= percent * size[1])
+            at = np.arange(len(tied) + 1)
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], ~tied]), at, 0))  # of each row's run
+            inner = np.flatnonzero(first < at)
+            found = pa.table({"a": rows["e"].take(pa.array(first[inner])), "b": rows["e"].take(pa.array(inner))})
+            found = found.filter(pc.not_equal(found["a"], found["b"])).group_by(["a", "b"]).aggregate([])
             none = pa.nulls(found.num_rows, pa.int32())
             yield from pa.table({"a": found["a"], "b": found["b"], "part": none, "edge": pa.nulls(found.num_rows, pa.string())}).to_batches()
         if last is not None:
@@ -278,20 +281,16 @@ def candidates(source: DataFrame, own: DataFrame, ranks: Ranks, n: int, percent:
     lowest = own.filter("n > 0").groupBy("e").agg(F.min(place).alias("low"), F.first("n").alias("n"), F.sum("copies").alias("copies"))
     light = clusters.join(lowest, "e").select("e", "n", "copies", F.col("low.doc_id").alias("_id"), F.col("low.mark").alias("_mark"))
     light = durable(light)
-    tokens = _postings(_texts(source, light.withColumnRenamed("e", "want")), ranks, n, percent, tuple(range(len(SEEDS))))
-    tokens = durable(tokens)
-    order, members = 1, clusters.count()
-    start = members
-    while members:
-        lists = tokens.filter(F.col("order") == order).join(clusters, "e")
-        clusters = durable(_clusters(_ties(lists, percent)))
-        order, members = (order + 1) % len(SEEDS), clusters.count()
-        if order == 0:
-            # a round is over
-            if members > LEFT * start:
-                break
-            start = members
-    return clusters.join(light, "e")
+    tokens = durable(_postings(_texts(source, light.withColumnRenamed("e", "want")), ranks, n, percent, tuple(range(1, len(SEEDS)))))
+    for order in range(1, len(SEEDS)):
+        # a class that meets nobody of its cluster under an order is out
+        ties = durable(_ties(tokens.filter(F.col("order") == order).join(clusters, "e"), percent))
+        met = ties.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+        clusters = durable(clusters.join(met, "e", "left_semi"))
+    # what the last order still ties within the clusters of the others
+    alive = clusters.select("e")
+    ties = ties.join(alive.withColumnRenamed("e", "a"), "a", "left_semi").join(alive.withColumnRenamed("e", "b"), "b", "left_semi")
+    return _clusters(ties).join(light, "e")
 
 
 def _texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
