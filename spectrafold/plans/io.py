@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import latent, preprocess
 from ..session import ensure_checkpoint_dir
 from ..sources import models, tables, text
+from ..sources.text import Format
 from ..streaming import scoring
 from .registry import LONG, long_x, query, r6, spectra, table
 
@@ -62,6 +63,115 @@ def read_vector_files(spark, folder):
         F.size(sample).cast("long").alias("n"))
 
 
+def _as_files(df, path: str, value) -> None:
+    """A file for each sample, named by its id."""
+    name = F.lpad(F.col("ix").cast("string"), 12, "0").alias("name")
+    df.select(name, value.alias("value")).repartitionByRange(8, "name").write.mode("overwrite").partitionBy("name").text(path)
+
+
+def _named(ds):
+    """A read dataset with the id that its file is named by."""
+    return ds.df.withColumn("vec_id", F.regexp_extract("meta.file_path", "name=([0-9]+)", 1).cast("long"))
+
+
+def _rows_text(width, from_=0, to=None):
+    """The values of ``x`` as lines of ``width`` comma-separated cells."""
+    last = F.size("x") if to is None else to
+    lines = F.transform(F.sequence(F.lit(from_), last - width, F.lit(width)),
+                        lambda k: F.concat_ws(",", F.transform(F.slice("x", k + 1, width), lambda v: v.cast("string"))))
+    return F.concat_ws("\n", lines)
+
+
+@query("read_tensor_files", f"""
+WITH {LONG} SELECT vec_id, (pos % 8) * 8 + pos // 8 AS pos, round(v, 6) + 0.0 AS value FROM long""")
+def read_tensor_files(spark, folder):
+    """A file of 64 values for each sample, read as 8 x 8 tensors in Fortran order."""
+    path = _folder(spark, "tensors")
+    _as_files(spectra(spark, folder).df, path, _rows_text(1))
+    ds = text.read_samples(spark, path, ways=2, dims=(8, 8))
+    return long_x(_named(ds), "vec_id")
+
+
+@query("read_ragged_matrices", f"""
+WITH {LONG}, cells AS (SELECT vec_id, pos, CASE WHEN pos < 8 * (4 + vec_id % 5) THEN round(v, 6) + 0.0 END AS value FROM long)
+SELECT vec_id, pos, coalesce(value, -1.0) AS value, value IS NOT NULL AS found FROM cells""")
+def read_ragged_matrices(spark, folder):
+    """A matrix file of 4 to 8 rows for each sample, filled up with -1 and masked."""
+    path = _folder(spark, "ragged")
+    _as_files(spectra(spark, folder).df, path, _rows_text(8, 0, (8 * (4 + F.col("ix") % 5)).cast("int")))
+    ds = text.read_samples(spark, path, Format(layout="x_matrix"), ways=2, pad=-1.0)
+    pairs = F.arrays_zip(F.col("x").alias("x"), F.col("mask").alias("m"))
+    rows = _named(ds).select("vec_id", F.posexplode(pairs).alias("pos", "p"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), r6("p.x").alias("value"), F.col("p.m").alias("found"))
+
+
+@query("read_stacked_files", f"""
+WITH {LONG}, ranked AS (SELECT *, dense_rank() OVER (ORDER BY vec_id) - 1 AS ix FROM long)
+SELECT ix, 'Sample_' || (ix + 1) AS label, (pos % 32) * 2 + pos // 32 AS pos, round(v, 6) + 0.0 AS value FROM ranked""")
+def read_stacked_files(spark, folder):
+    """Two files of 32 values for each sample, stacked as a 32 x 2 tensor."""
+    path = _folder(spark, "stacked")
+    df = spectra(spark, folder).df
+    halves = df.select("ix", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.slice("x", 32 * k + 1, 32).alias("x")) for k in (0, 1)])).alias("h"))
+    _as_files(halves.select((F.col("ix") * 2 + F.col("h.k")).alias("ix"), F.col("h.x").alias("x")), path, _rows_text(1))
+    ds = text.read_samples(spark, path, Format(layout="x_vector", separator="comma"), ways=2, dims=(32, 2), files_per_sample=2)
+    return long_x(ds.df, "ix", "label")
+
+
+@query("read_xy_files", f"""
+WITH {LONG} SELECT vec_id, 'part-' AS stem, pos, round(v, 6) + 0.0 AS value, 1 AS row_in_file, 64 AS cells FROM long""")
+def read_xy_files(spark, folder):
+    """Axis and value a line: the separator and the layout are found, the values are the samples."""
+    path = _folder(spark, "pairs")
+    lines = F.transform("x", lambda v, i: F.concat((400 + i).cast("string"), F.lit("\t"), v.cast("string")))
+    _as_files(spectra(spark, folder).df, path, F.concat_ws("\n", lines))
+    ds = text.read_samples(spark, path)
+    rows = _named(ds).withColumn("row_in_file", F.col("meta.row_in_file")).withColumn("stem", F.substring("label", 1, 5)).withColumn("cells", F.size("x"))
+    return long_x(rows, "vec_id", "stem", "row_in_file", "cells").select("vec_id", "stem", "pos", "value", F.col("row_in_file").cast("int").alias("row_in_file"), "cells")
+
+
+def _one_file(df, path: str) -> None:
+    """Lines (``ix``, ``value``) as one file in their order."""
+    df.coalesce(1).sortWithinPartitions("ix").select("value").write.mode("overwrite").text(path)
+
+
+@query("read_headers", f"""
+WITH {LONG} SELECT dense_rank() OVER (ORDER BY vec_id) - 1 AS ix, 3 AS header_rows, 2 AS header_columns, 'tabs' AS separator,
+  pos, round(v, 6) + 0.0 AS value FROM long""")
+def read_headers(spark, folder):
+    """Three header lines and two text columns are found and left out."""
+    path = _folder(spark, "headers")
+    cells = F.concat_ws("\t", F.concat(F.lit("s"), F.col("ix").cast("string")), F.lit("kind"), F.concat_ws("\t", F.transform("x", lambda v: v.cast("string"))))
+    head = spark.range(-3, 0).select(F.col("id").alias("ix"), F.lit("title\tof the\tcolumns 1 a").alias("value"))
+    _one_file(spectra(spark, folder).df.select("ix", cells.alias("value")).unionByName(head), path)
+    ds = text.read_samples(spark, path)
+    fmt = ds.info["format"]
+    df = ds.df.select("ix", "x", F.lit(fmt.header_rows).alias("header_rows"), F.lit(fmt.header_columns).alias("header_columns"), F.lit(fmt.separator).alias("separator"))
+    return long_x(df, "ix", "header_rows", "header_columns", "separator")
+
+
+@query("read_side_files", """
+WITH ranked AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS ix FROM embeddings)
+SELECT ix, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS y1, CASE WHEN ix % 7 <> 0 THEN round(CAST(embedding[2] AS DOUBLE), 6) + 0.0 END AS y2,
+  CAST(label AS VARCHAR) AS layer1, CASE WHEN ix % 3 = 0 THEN '' ELSE 'g' || ix % 4 END AS layer2,
+  CAST(CASE WHEN ix % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS mark FROM ranked""")
+def read_side_files(spark, folder):
+    """Responses with a header line and the wrong separator asked for, class layers of unequal number, and a selection."""
+    df = spectra(spark, folder).df
+    n = df.count()
+    a, b, c = (_folder(spark, name) for name in ("responses", "classes", "selection"))
+    y = F.concat_ws("\t", F.get("x", F.lit(0)).cast("string"), F.when(F.col("ix") % 7 != 0, F.get("x", F.lit(1)).cast("string")).otherwise("none"))
+    head = spark.range(-1, 0).select(F.col("id").alias("ix"), F.lit("first\tsecond").alias("value"))
+    _one_file(df.select("ix", y.alias("value")).unionByName(head), a)
+    _one_file(df.select("ix", F.concat_ws(",", "label", F.when(F.col("ix") % 3 != 0, F.concat(F.lit("g"), (F.col("ix") % 4).cast("string")))).alias("value")), b)
+    _one_file(df.select("ix", F.when(F.col("ix") % 5 == 0, "2").otherwise("1").alias("value")), c)
+    responses, _ = text.read_responses(spark, a, samples=n, separator="comma")
+    second = F.get("y", F.lit(1))
+    out = responses.join(text.read_classes(spark, b), "ix").join(text.read_selection(spark, c, n), "ix")
+    return out.select("ix", r6(F.get("y", F.lit(0))).alias("y1"), r6(F.when(~F.isnan(second), second)).alias("y2"),
+                      F.get("classes", F.lit(0)).alias("layer1"), F.get("classes", F.lit(1)).alias("layer2"), "mark")
+
+
 @query("stream_scores", f"""
 WITH {LONG} SELECT vec_id, pos, round((v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-10), 6) + 0.0 AS value
 FROM long WINDOW w AS (PARTITION BY vec_id)""")

@@ -1,8 +1,9 @@
 """Delimited text files of measurements: detection, layouts, tensors, responses and labels.
 
-Two kinds of files, two scans. A file that is one sample is bounded by the sample and is read
-whole. A file whose rows are samples may be of any size and is read by line; its line numbers
-come from the split positions, so a single huge file is still many tasks.
+Two kinds of files, two scans of the data source in ``files``. A file that is one sample is bounded by the sample
+and becomes a tensor in the task that reads it. A file whose rows are samples may be of any size and is read by line,
+a slice of bytes a task. Detection reads the first file only. Paths in stores that only Spark opens are read by its
+text source.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from dataclasses import dataclass
 from math import prod
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dataset import Axis, Dataset
 from ..operators.ordering import with_index
 from ..operators.selection import extract_columns
+from ..session import durable
+from . import files as source
 
 _SEPARATORS = {"comma": ",", "tabs": "\t", "spaces": r"\s+"}
 _HEAD_ROWS = 30          # rows looked at for header columns
@@ -80,16 +85,32 @@ def _numbered_files(df: DataFrame, paths: list[str]) -> DataFrame:
     return exact.drop("_path").withColumn("file_no", F.coalesce("_given", F.lit(len(paths)))).drop("_given")
 
 
-def scan_lines(spark: SparkSession, paths) -> DataFrame:
-    """(file_path, file_no, line_no, value): line numbers from split starts and counts.
+def scan_lines(spark: SparkSession, paths, head: bool = False) -> DataFrame:
+    """(file_path, file_no, line_no, value) and file facts; ``head``: of the first file only."""
+    return source.numbered_lines(spark, paths, head) if source.known(paths) else _first_only(spark, paths, head)
 
-    Within a split the running id grows by one per line; the table of splits is small.
-    """
+
+def _ordered_lines(spark: SparkSession, paths, head: bool = False) -> DataFrame:
+    """As ``scan_lines`` in one scan: line numbers grow along a file and are true in its first slice, which holds the header."""
+    return source.lines(spark, paths, head) if source.known(paths) else _first_only(spark, paths, head)
+
+
+def _first_only(spark: SparkSession, paths, head: bool) -> DataFrame:
+    lines = _spark_lines(spark, paths)
+    if not head:
+        return lines
+    first = lines.agg(F.min(F.struct("file_no", "file_path")).alias("f")).first()["f"]
+    return lines.filter(F.col("file_path") == first["file_path"]) if first else lines
+
+
+def _spark_lines(spark: SparkSession, paths) -> DataFrame:
+    """Lines by Spark's text source: within a split the running id grows by one per line; the table of splits is small."""
     paths = _listed(paths)
     raw = spark.read.text(paths).select(
         "value", _local_path(F.col("_metadata.file_path")).alias("file_path"),
         F.col("_metadata.file_block_start").alias("_start"), F.col("_metadata.file_size").alias("file_size"),
-        F.col("_metadata.file_modification_time").alias("modified"), F.monotonically_increasing_id().alias("_id"))
+        F.col("_metadata.file_modification_time").alias("modified"), F.lit(None).cast("timestamp").alias("created"),
+        F.monotonically_increasing_id().alias("_id"))
     splits = sorted((r["file_path"], r["_start"], r["first"], r["n"]) for r in raw.groupBy("file_path", "_start").agg(
         F.min("_id").alias("first"), F.count("*").alias("n")).collect())
     offsets, last, before = [], None, 0
@@ -115,14 +136,14 @@ def scan_files(spark: SparkSession, paths) -> DataFrame:
 # --- detection ----------------------------------------------------------------------------
 
 def detect(lines: DataFrame, fmt: Format = Format(), ways: int = 1) -> Format:
-    """Fill in what ``fmt`` leaves open, from the first file (``lines`` of ``scan_lines``)."""
-    first = lines.agg(F.min(F.struct("file_no", "file_path")).alias("f")).first()["f"]
-    if first is None:
-        raise ValueError("there is nothing to read")
-    own = lines.filter(F.col("file_path") == first["file_path"]).filter(F.trim("value") != "")
+    """Fill in what ``fmt`` leaves open, from the first file (``lines`` of ``scan_lines`` with ``head``)."""
+    own = lines.filter(F.trim("value") != "")
     separator = fmt.separator
+    head = own.agg(F.min_by(separator_of(F.col("value")), "line_no").alias("s"), F.count("*").alias("n")).first()
+    if not head["n"]:
+        raise ValueError("there is nothing to read")
     if separator == "auto":
-        separator = own.agg(F.min_by(separator_of(F.col("value")), "line_no").alias("s")).first()["s"] or "comma"
+        separator = head["s"] or "comma"
     rows = fmt.header_rows
     if rows is None:
         rows = own.filter(numeric_share(F.col("value"), separator) >= _NUMERIC_SHARE).agg(
@@ -185,17 +206,11 @@ def _monotone(table: DataFrame, column: int) -> bool:
 
 # --- layouts ------------------------------------------------------------------------------
 
-def _file_rows(fmt: Format) -> Column:
-    """The numeric rows of a whole file, as nested arrays."""
-    lines = F.split("value", "\r?\n")
-    body = F.filter(F.slice(lines, fmt.header_rows + 1, 1 << 30), lambda s: F.trim(s) != "")
-    return F.transform(body, lambda s: F.transform(
-        F.slice(tokens(s, fmt.separator), fmt.header_columns + 1, 1 << 30), number))
-
-
 def _meta(mode: str) -> Column:
     return F.struct(F.lit(mode).alias("source_mode"), F.col("file_path"), F.col("file_size"),
                     F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_time"),
+                    F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss").alias("created_time"),
+                    F.col("ix").alias("sample_index"),
                     F.col("_row").cast("long").alias("row_in_file"))
 
 
@@ -212,7 +227,7 @@ def read_samples(spark: SparkSession, paths, fmt: Format = Format(), ways: int =
     ``ways`` = 1 gives spectra; more ways give tensors, one file (or ``files_per_sample`` files)
     per sample. ``y``, ``classes`` and ``label`` name 1-based columns to take out of row files.
     """
-    fmt = detect(scan_lines(spark, paths), fmt, ways)
+    fmt = detect(_ordered_lines(spark, paths, head=True), fmt, ways)
     if fmt.layout not in LAYOUTS:
         raise ValueError(f"unknown layout {fmt.layout}")
     if ways == 1 and fmt.layout == "x_matrix" and not transpose:
@@ -225,7 +240,7 @@ def read_samples(spark: SparkSession, paths, fmt: Format = Format(), ways: int =
 
 def _row_samples(spark, paths, fmt) -> Dataset:
     """Every line is a sample; short lines are filled with NaN."""
-    lines = scan_lines(spark, paths).filter((F.col("line_no") >= fmt.header_rows) & (F.trim("value") != ""))
+    lines = _ordered_lines(spark, paths).filter((F.col("line_no") >= fmt.header_rows) & (F.trim("value") != ""))
     cells = F.transform(F.slice(tokens(F.col("value"), fmt.separator), fmt.header_columns + 1, 1 << 30), number)
     table, _ = with_index(lines.withColumn("x", cells).drop("value"), ["file_no", "file_path", "line_no"])
     facts = table.agg(F.max(F.size("x")).alias("w")).first()
@@ -240,26 +255,22 @@ def _row_samples(spark, paths, fmt) -> Dataset:
 
 
 def _file_samples(spark, paths, fmt, ways, dims, transpose, order, pad, files_per_sample) -> Dataset:
-    files, n = with_index(scan_files(spark, paths), ["file_no", "file_path"])
-    rows = _file_rows(fmt)
-    column = {"xy_vector": 1, "xyz_vector": 2}.get(fmt.layout)
-    if fmt.layout == "x_vector":
-        body = F.transform(F.flatten(rows), lambda v: F.array(v))
-    elif column is not None:
-        body = F.transform(rows, lambda r: F.array(F.get(r, F.lit(column))))
-    elif fmt.layout == "xy_matrix":
-        body = F.transform(rows, lambda r: F.filter(r, lambda v, i: i % 2 == 1))
-    else:
-        body = rows
-    files = files.withColumn("_b", body).drop("value")
     matrix = fmt.layout in ("x_matrix", "xy_matrix")
-    if transpose and matrix:
-        width = F.array_max(F.transform("_b", lambda r: F.size(r)))
-        files = files.withColumn("_b", F.transform(F.sequence(F.lit(0), width - 1),
-                                                   lambda j: F.transform("_b", lambda r: F.get(r, j))))
+    if ways > 1 and not matrix and dims is None:
+        raise ValueError("vector files of tensors need dimensions")
+    if files_per_sample > 1:
+        outer = dims[2 if matrix else 1:]
+        if prod(outer) != files_per_sample:
+            raise ValueError(f"dimensions {dims} need {prod(outer)} files per sample")
+    spec = {"separator": fmt.separator, "header_rows": fmt.header_rows, "header_columns": fmt.header_columns, "layout": fmt.layout,
+            "transpose": bool(transpose and matrix), "dims": list(dims) if dims and ways > 1 else None, "order": order, "files": files_per_sample}
+    files = source.tensors(spark, paths, spec) if source.known(paths) else _spark_tensors(spark, paths, spec)
+    files = durable(files)
     if ways == 1 and matrix:  # transposed matrix files: their columns are samples
-        files = files.select("*", F.posexplode("_b").alias("_at", "_sample"))
-        table, _ = with_index(files.drop("ix", "_b").withColumnRenamed("_sample", "x").withColumn("_row", F.col("_at") + 1),
+        rows = F.transform(F.sequence(F.lit(0), F.get("shape", F.lit(0)) - 1),
+                           lambda i: F.slice("x", i * F.get("shape", F.lit(1)) + 1, F.get("shape", F.lit(1))))
+        files = files.filter(F.get("shape", F.lit(0)) > 0).select("*", F.posexplode(rows).alias("_at", "_sample"))
+        table, _ = with_index(files.drop("ix", "x", "real", "shape").withColumnRenamed("_sample", "x").withColumn("_row", F.col("_at") + 1),
                               ["file_no", "file_path", "_at"])
         width = table.agg(F.max(F.size("x")).alias("w")).first()["w"] or 0
         padded = F.concat("x", F.array_repeat(F.lit(float("nan")), F.lit(width) - F.size("x")))
@@ -268,50 +279,69 @@ def _file_samples(spark, paths, fmt, ways, dims, transpose, order, pad, files_pe
         return Dataset(df, (width,), axes=(_plain_axis(width),), info={"format": fmt})
     files = files.withColumn("_row", F.lit(1))
     if files_per_sample > 1:
-        if n % files_per_sample:
-            raise ValueError(f"{n} files do not divide into groups of {files_per_sample}")
-        # a group is one sample's files
-        part = F.array_sort(F.collect_list(F.struct("ix", F.flatten("_b").alias("v"))))
-        files = files.groupBy(F.floor(F.col("ix") / files_per_sample).alias("ix")).agg(
-            part.alias("_p"), F.min(F.struct("file_no", "file_path", "file_size", "modified", "_row")).alias("_f"))
-        flat = F.flatten(F.transform("_p", lambda p: p["v"]))
-        inner = (dims[0], dims[1]) if matrix else (dims[0],)
-        outer = dims[len(inner):]
-        if prod(outer) != files_per_sample:
-            raise ValueError(f"dimensions {dims} need {prod(outer)} files per sample")
-        cells = np.array([np.ravel_multi_index(c[len(inner):], outer, order=order) * prod(inner)
-                          + np.ravel_multi_index(c[:len(inner)], inner) for c in np.ndindex(*dims)])
-        df = files.select("ix", _gather(flat, cells).alias("x"),
-                          F.concat(F.lit("Sample_"), (F.col("ix") + 1).cast("string")).alias("label"), "_f.*")
-        df = df.select("ix", "x", "label", _meta("multi_file").alias("meta"))
+        df = files.select("ix", "x", F.concat(F.lit("Sample_"), (F.col("ix") + 1).cast("string")).alias("label"), _meta("multi_file").alias("meta"))
         return Dataset(df, tuple(dims), axes=tuple(_plain_axis(d) for d in dims), info={"format": fmt})
+    side = lambda k: F.get("shape", F.lit(k))
+    most = files.agg(*[f(side(k)).alias(f"{n}{k}") for k in (0, 1) for n, f in (("low", F.min), ("high", F.max))],
+                     F.max(F.col("real").isNotNull()).alias("ragged")).first()
     if ways > 1 and not matrix:
-        if dims is None:
-            raise ValueError("vector files of tensors need dimensions")
-        cells = np.arange(prod(dims)).reshape(dims, order=order).ravel()
-        x = _gather(F.flatten("_b"), cells)
-        return _finish(files, x, tuple(dims), fmt, None)
+        return _finish(files, F.col("x"), tuple(dims), fmt, None)
     if ways == 1:
-        sizes = files.agg(F.min(F.size("_b")).alias("a"), F.max(F.size("_b")).alias("b")).first()
-        if sizes["a"] != sizes["b"]:
+        if most["low0"] != most["high0"]:
             raise ValueError("vector files have different lengths")
-        return _finish(files, F.flatten("_b"), (sizes["b"],), fmt, None)
+        return _finish(files, F.col("x"), (most["high0"],), fmt, None)
     # matrices: pad to the largest and remember what was real
-    shape = files.agg(F.max(F.size("_b")).alias("r"), F.min(F.size("_b")).alias("r0"),
-                      F.max(F.array_max(F.transform("_b", F.size))).alias("c"),
-                      F.min(F.array_min(F.transform("_b", F.size))).alias("c0")).first()
-    r, c = shape["r"], shape["c"]
-    at = lambda i, j: F.get(F.get("_b", i), j)
-    each = lambda fn: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(r - 1)), lambda i: F.transform(
-        F.sequence(F.lit(0), F.lit(c - 1)), lambda j: fn(i, j))))
-    x = each(lambda i, j: F.coalesce(at(i, j), F.lit(float(pad))))
-    ragged = shape["r"] != shape["r0"] or shape["c"] != shape["c0"]
-    mask = each(lambda i, j: at(i, j).isNotNull()) if ragged else None
-    return _finish(files, x, (r, c), fmt, mask)
-
-
-def _gather(values: Column, cells) -> Column:
-    return F.transform(F.array(*[F.lit(int(p)) for p in cells]), lambda p: F.get(values, p))
+    r, c = most["high0"], most["high1"]
+    ragged = bool(most["ragged"]) or most["low0"] != r or most["low1"] != c
+    if not ragged:
+        return _finish(files, F.col("x"), (r, c), fmt, None)
+    return _finish(_padded(files, r, c, float(pad)), F.col("x"), (r, c), fmt, F.col("mask"))
+
+
+def _padded(files: DataFrame, r: int, c: int, pad: float) -> DataFrame:
+    """``files`` with x and mask as r x c matrices."""
+    schema = T.StructType([*files.drop("real", "shape").schema.fields, T.StructField("mask", T.ArrayType(T.BooleanType()))])
+
+    def run(batches):
+        for batch in batches:
+            xs, masks = [], []
+            for shape, x, real in zip(batch.column("shape").to_pylist(), batch.column("x"), batch.column("real")):
+                own = np.full((r, c), pad)
+                mask = np.zeros((r, c), bool)
+                here = np.asarray(x.values).reshape(shape) if len(x) else np.empty(shape)
+                kept = np.asarray(real.values.to_numpy(zero_copy_only=False)).reshape(shape) if real.is_valid else np.ones(shape, bool)
+                own[:shape[0], :shape[1]] = np.where(kept, here, pad)
+                mask[:shape[0], :shape[1]] = kept
+                xs.append(own.reshape(-1))
+                masks.append(mask.reshape(-1))
+            columns = [pa.array(xs, pa.list_(pa.float64())) if f.name == "x" else pa.array(masks, pa.list_(pa.bool_())) if f.name == "mask"
+                       else batch.column(f.name) for f in schema.fields]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return files.mapInArrow(run, schema)
+
+
+def _spark_tensors(spark, paths, spec: dict) -> DataFrame:
+    """Samples of one file each, by Spark's binary files."""
+    if spec["files"] > 1:
+        raise ValueError("several files per sample are read from stores that Arrow opens")
+    raw = spark.read.format("binaryFile").load(_listed(paths)).select(
+        "content", _local_path(F.col("path")).alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
+    files, _ = with_index(_numbered_files(raw, _listed(paths)), ["file_no", "file_path"])
+    keep = ["ix", "file_no", "file_path", "file_size", "modified"]
+
+    def run(batches):
+        for batch in batches:
+            made = [source.file_matrix(c.as_buffer().to_pybytes().decode("utf-8", "replace"), spec) for c in batch.column("content")]
+            built = [source.stacked([x], spec) for x, _ in made]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keep], pa.array([list(t.shape) for t in built], pa.list_(pa.int32())),
+                 pa.array([t.reshape(-1) for t in built], pa.list_(pa.float64())),
+                 pa.array([None if real is None else real.reshape(-1) for _, real in made], pa.list_(pa.bool_()))], names=[*keep, "shape", "x", "real"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields}
+    ddl = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", shape array<int>, x array<double>, real array<boolean>"
+    return files.select(*keep, "content").mapInArrow(run, ddl).withColumn("created", F.lit(None).cast("timestamp"))
 
 
 def _plain_axis(size: int) -> Axis:
@@ -329,7 +359,7 @@ def _finish(files, x, shape, fmt, mask) -> Dataset:
 
 def _rows_of(spark, path, keep=None) -> tuple[DataFrame, int]:
     """Non-blank lines with dense positions."""
-    lines = scan_lines(spark, path).filter(F.trim("value") != "")
+    lines = _ordered_lines(spark, path).filter(F.trim("value") != "")
     if keep is not None:
         lines = lines.filter(keep)
     return with_index(lines, ["file_no", "file_path", "line_no"])
@@ -339,7 +369,7 @@ def read_responses(spark: SparkSession, path, samples: int | None = None, names_
                    separator: str = "auto") -> tuple[DataFrame, tuple[str, ...]]:
     """(ix, y) and response names. A separator that yields no number is detected again, and one
     leading row without numbers goes if it is exactly one row too many."""
-    lines = scan_lines(spark, path).filter(F.trim("value") != "")
+    lines = _ordered_lines(spark, path).filter(F.trim("value") != "")
     head = lines.agg(F.min_by("value", "line_no").alias("v"), F.min("line_no").alias("n")).first()
     found = lines.agg(F.min_by(separator_of(F.col("value")), "line_no").alias("s")).first()["s"]
     asked = found if separator == "auto" else separator
@@ -380,7 +410,7 @@ def read_labels(spark: SparkSession, path) -> DataFrame:
 
 def read_selection(spark: SparkSession, path, samples: int) -> DataFrame:
     """(ix, mark): 1 = calibration, 2 = validation, one line per sample."""
-    lines = scan_lines(spark, path)
+    lines = _ordered_lines(spark, path)
     table, n = with_index(lines, ["file_no", "file_path", "line_no"])
     if n != samples:
         raise ValueError(f"the selection has {n} lines for {samples} samples")

@@ -131,3 +131,52 @@ def test_output_table(spark):
     df = samples(spark, X).df
     out = tables.output_table(df, max_rows=2, max_cols=3, decimals=1)
     assert out.columns == ["ix", "x_1", "x_2"] and out.count() == 2
+
+
+def test_slices_give_every_line_once(spark, tmp_path):
+    from spectrafold.sources import files
+
+    lines = [f"{i}," + "9" * (i % 37) for i in range(400)] + ["", "last"]
+    path = write(tmp_path, "long.txt", lines)
+    for size in (7, 64, 1000):
+        rows = files.lines(spark, path, slice_bytes=size).collect()
+        assert [r["value"] for r in sorted(rows, key=lambda r: r["line_no"])] == lines
+        assert len({r["line_no"] for r in rows}) == len(lines)
+    assert files.lines(spark, path, slice_bytes=64).rdd.getNumPartitions() > 50
+    # one scan and no job for the numbers of the lines
+    plan = files.lines(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
+def test_files_in_the_given_order_and_by_pattern(spark, tmp_path):
+    from spectrafold.sources import files
+
+    b, a = write(tmp_path, "b.csv", ["1"]), write(tmp_path, "a.csv", ["2", "", "3"])
+    assert [f.path for f in files.found([b, a])] == [b, a]
+    assert [f.path for f in files.found(str(tmp_path))] == [a, b] == [f.path for f in files.found(f"{tmp_path}/*.csv")]
+    ds = text.read_samples(spark, [b, f"file:{a}"], Format(layout="x_matrix", separator="comma"))
+    assert wide(ds.df, "x").tolist() == [[1.0], [2.0], [3.0]]
+    meta = [r["meta"] for r in ds.df.orderBy("ix").collect()]
+    assert [m["sample_index"] for m in meta] == [0, 1, 2] and [m["row_in_file"] for m in meta] == [1, 1, 2] and meta[0]["created_time"]
+    with pytest.raises(Exception, match="nowhere"):
+        text.read_samples(spark, str(tmp_path / "nowhere"))
+
+
+@pytest.mark.parametrize("lines,want", [(["1,2", "3,4"], [[1, 2], [3, 4]]), (["1,,2", "3"], [[1, None, 2], [3, None, None]]), (["1_0,nan"], [[None, None]]),
+                                        (["1 2", "3 4 5"], [[None], [None]]), (["1e3, 2 ", "-inf,x"], [[1000, 2], [float("-inf"), None]])])
+def test_matrix_of_lines(lines, want):
+    from spectrafold.sources.files import matrix
+
+    got, _ = matrix(lines, "comma")
+    assert [[None if np.isnan(v) else v for v in row] for row in got] == want
+
+
+def test_tensors_by_sparks_own_files(spark, tmp_path, monkeypatch):
+    """The route for stores that only Spark opens gives the same samples."""
+    paths = [write(tmp_path, f"t{i}.csv", ["h,h"] * 2 + [",".join(map(str, r)) for r in np.arange(6.0 * (i + 1)).reshape(-1, 3)]) for i in range(3)]
+    a = text.read_samples(spark, paths, ways=2, pad=0.0)
+    monkeypatch.setattr(text.source, "known", lambda paths: False)
+    b = text.read_samples(spark, paths, ways=2, pad=0.0)
+    assert a.shape == b.shape == (6, 3) and a.info["format"] == b.info["format"]
+    for c in ("x", "mask", "label"):
+        assert wide(a.df, c).tolist() == wide(b.df, c).tolist()
