@@ -15,12 +15,8 @@ from pyspark.sql import functions as F
 
 from ..arrays import few_tasks, map_blocks, sum_blocks
 from ..dataset import Dataset
-from ..session import Spool
-from . import metrics
+from . import metrics, refits
 from .leastsq import nnls_rows, ols_rows
-from .stats import cosine_matrix
-
-_BATCH = 64  # validation samples refitted in one set of passes
 
 
 @dataclass(frozen=True)
@@ -290,73 +286,27 @@ def rank_sweep(ds: Dataset, ranks, **hp) -> DataFrame:
 
 
 def sample_refits(ds: Dataset, model: MCRModel, s_rules: Rules = Rules(), max_iter: int = 100,
-                  tol: float = 1e-8) -> tuple[DataFrame, np.ndarray]:
+                  tol: float = 1e-8, batch: int = refits.BATCH) -> tuple[DataFrame, refits.Similarities]:
     """Refit calibration plus one validation sample, for every validation sample.
 
     The calibration rows are scanned once per iteration for a batch of validation samples,
-    not once per sample. Components are aligned to the medoid model. Returns the scores
-    (ix, scores, sfit) and the model similarity matrix of the last batch.
+    not once per sample. Components are aligned to the medoid of all models. Returns the scores
+    (ix, scores, sfit) and the similarities of the models.
     """
     cal = ds.cal.select("x").persist()
-    spool, similarity = Spool(ds.df.sparkSession, "ix long, scores array<double>, sfit double"), np.zeros((0, 0))
+    k = len(model.spectra)
+
+    def fit(rows):
+        extra = [_usable(model.layout.unfold(np.asarray(r["x"])[None, :]))[0] for r in rows]
+        fits = _alternate(cal, model.layout, [model.spectra] * len(rows), model.c_rules, s_rules, max_iter, tol, extra)
+        for r, own, f in zip(rows, extra, fits):
+            score = _collapse(_concentrations(own, f[0], model.c_rules)[None, :, :], model.aggregation)[0]
+            yield r["ix"], f[0], score, [np.sqrt(f[1] / max(f[4][-1], 1))]
+
     try:
-        for batch in batches_of(ds.val.select("ix", "x").orderBy("ix")):
-            extra = [_usable(model.layout.unfold(np.asarray(r["x"])[None, :]))[0] for r in batch]
-            fits = _alternate(cal, model.layout, [model.spectra] * len(batch), model.c_rules, s_rules,
-                              max_iter, tol, extra)
-            order, similarity = align_to_medoid([f[0] for f in fits])
-            rows_out = []
-            for r, rows, fit, places in zip(batch, extra, fits, order):
-                conc = _concentrations(rows, fit[0][places], model.c_rules)
-                score = _collapse(conc[None, :, :], model.aggregation)[0]
-                rows_out.append((r["ix"], [float(v) for v in score],
-                                 float(np.sqrt(fit[1] / max(fit[4][-1], 1)))))
-            spool.add(rows_out)
+        fits = refits.refit_table(ds.val.select("ix", "x"), fit, batch)
     finally:
         cal.unpersist()
-    return spool.frame(), similarity
-
-
-def batches_of(df: DataFrame, size: int = _BATCH):
-    """Rows in lists of bounded length."""
-    held = []
-    for r in df.toLocalIterator():
-        held.append(r)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def align_to_medoid(models: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Component orders that match every model to the one most similar to all others."""
-    from itertools import permutations as orders
-    k = len(models[0])
-    pair = np.array([[_matched(a, b).sum() / k for b in models] for a in models])
-    centre = models[int(pair.sum(axis=1).argmax())]
-    out = []
-    for m in models:
-        sim = np.abs(cosine_matrix(centre, m))
-        if k <= 7:
-            best = max(orders(range(k)), key=lambda o: sum(sim[i, j] for i, j in enumerate(o)))
-        else:
-            best = _greedy(sim)
-        out.append(np.array(best))
-    return out, pair
-
-
-def _greedy(sim: np.ndarray) -> list[int]:
-    sim = sim.copy()
-    place = [0] * len(sim)
-    for _ in range(len(sim)):
-        i, j = np.unravel_index(sim.argmax(), sim.shape)
-        place[i] = int(j)
-        sim[i, :] = -1
-        sim[:, j] = -1
-    return place
-
-
-def _matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sim = np.abs(cosine_matrix(a, b))
-    return sim[np.arange(len(sim)), _greedy(sim)]
+    similar = refits.similarities(fits, k)
+    rows = refits.aligned(fits, k, similar.medoid).select("ix", "scores", F.get("facts", F.lit(0)).alias("sfit"))
+    return rows, similar

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from ..arrays import few_tasks, map_blocks, sum_blocks
 from ..dataset import Dataset
-from ..session import Spool
+from . import refits
 from .leastsq import constrained_factor, constrained_rows, khatri_rao, nnls_rows
-from .mcr import align_to_medoid, batches_of
 
 # constraints that act on each sample's row alone
 _ROW_LOCAL = ("non_negative", "l1_reg", "l2_square_reg")
@@ -305,26 +304,27 @@ def rank_sweep(ds: Dataset, ranks, **hp) -> DataFrame:
         rows, "components int, sfit double, core_consistency double, explained double, iterations int")
 
 
-def sample_refits(ds: Dataset, model: CPModel, max_iter: int = 100, tol: float = 1e-8):
+def sample_refits(ds: Dataset, model: CPModel, max_iter: int = 100, tol: float = 1e-8, batch: int = refits.BATCH):
     """Refit calibration plus one validation sample at a time, batches sharing each scan.
 
-    Returns (ix, scores, sfit, core_consistency) with components aligned to the medoid model,
-    and the similarity matrix of the last batch's models.
+    Returns (ix, scores, sfit, core_consistency) with components aligned to the medoid of all models,
+    scores of profiles that run against it turned, and the similarities of the models.
     """
     cal = ds.cal.select("x").persist()
-    schema = "ix long, scores array<double>, sfit double, core_consistency double"
-    spool, similarity = Spool(ds.df.sparkSession, schema), np.zeros((0, 0))
+    k = model.factors[0].shape[1]
+
+    def fit(rows):
+        extra = [np.asarray(r["x"])[None, :] for r in rows]
+        state = _alternate(cal, ds.shape, [model.factors] * len(rows), model.constraints, max_iter, tol, extra=extra)
+        for r, x, s in zip(rows, extra, state):
+            f = _model(s, ds.shape, model.constraints, 0, model.missing)
+            yield r["ix"], np.vstack(f.factors).T, _rows(x, khatri_rao(f.factors), f.constraints[0])[0][0], [f.sfit, f.core_consistency]
+
     try:
-        for batch in batches_of(ds.val.select("ix", "x").orderBy("ix")):
-            extra = [np.asarray(r["x"])[None, :] for r in batch]
-            state = _alternate(cal, ds.shape, [model.factors] * len(batch), model.constraints, max_iter, tol, extra=extra)
-            fits = [_model(s, ds.shape, model.constraints, 0, model.missing) for s in state]
-            order, similarity = align_to_medoid([np.vstack(f.factors).T for f in fits])
-            rows = []
-            for r, x, fit, places in zip(batch, extra, fits, order):
-                scores = _rows(x, khatri_rao(fit.factors), fit.constraints[0])[0][0][places]
-                rows.append((r["ix"], [float(v) for v in scores], float(fit.sfit), float(fit.core_consistency)))
-            spool.add(rows)
+        fits = refits.refit_table(ds.val.select("ix", "x"), fit, batch)
     finally:
         cal.unpersist()
-    return spool.frame(), similarity
+    similar = refits.similarities(fits, k)
+    rows = refits.aligned(fits, k, similar.medoid, signed=True).select(
+        "ix", "scores", F.get("facts", F.lit(0)).alias("sfit"), F.get("facts", F.lit(1)).alias("core_consistency"))
+    return rows, similar

@@ -438,6 +438,33 @@ def mcr_augmented(spark, folder):
         F.col("ix").alias("vec_id"), "component", "response", *[r6(c, 4).alias(c) for c in ("pred", "true", "err")])
 
 
+def _halved(ds):
+    """Every fourth sample validates."""
+    return ds.with_df(ds.df.withColumn("split", F.when(F.col("ix") % 4 == 0, "val").otherwise("cal")))
+
+
+def _refitted(rows, similar):
+    """Scores of each validation sample's own model, and how alike that model is to all others."""
+    near = similar.table.groupBy(F.col("ix_a").alias("ix")).agg(F.avg("similarity").alias("alike"), F.count(F.lit(1)).alias("models"))
+    return (rows.join(near, "ix").select(F.col("ix").alias("vec_id"), r6("sfit", 4).alias("sfit"), r6("alike", 4).alias("alike"), "models",
+                                         F.posexplode("scores").alias("component", "score")).withColumn("score", r6("score", 3)))
+
+
+@query("mcr_sample_refits")
+def mcr_sample_refits(spark, folder):
+    """A model for each validation sample with all calibration samples, components in the order of the medoid."""
+    ds = _halved(_positive(spark, folder, (WIDTH,)))
+    return _refitted(*mcr.sample_refits(ds, mcr.mcr_als(ds, 2, max_iter=10, tol=1e-6, joint=False), max_iter=3))
+
+
+@query("parafac_sample_refits")
+def parafac_sample_refits(spark, folder):
+    """As for the bilinear model, with 8 x 8 samples."""
+    ds = _halved(_positive(spark, folder, (8, 8)))
+    model = parafac.parafac(ds.with_df(ds.cal), 2, {m: {"non_negative": 1} for m in range(3)}, max_iter=10, tol=1e-6)
+    return _refitted(*parafac.sample_refits(ds, model, max_iter=3))
+
+
 @query("parafac_cp")
 def parafac_cp(spark, folder):
     ds = spectra(spark, folder, (8, 8))
