@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..arrays import few_tasks, map_blocks, sum_blocks
 from ..functions.distributions import chi2_quantile, f_quantile, normal_quantile
-from . import kernels, neighbors
+from . import kernels, neighbors, ranks
 from .folds import CV, assign, test_rows, training_rows
 from .linear import principal_axes
 from .moments import Moments, moments, total
@@ -386,8 +386,9 @@ def elliptic_envelope(df: DataFrame, n: int, width: int, contamination: float =
     """Minimum covariance determinant: C-steps of all starts over the whole table.
 
     Starts are ``_STARTS`` sets of ``width`` + 1 rows, drawn by hash over the whole table. A step finds the h-th
-    smallest distance of every start at once and takes the moments of the rows within it; the smallest
-    determinant over all rows is kept. The result is corrected for consistency and reweighted.
+    smallest distance of every start at once and takes the moments of the rows within it. After ``_TRIED`` steps, over all
+    rows, the ``_BEST`` starts go on (Rousseeuw and Van Driessen, 1999); the smallest
+    determinant is kept. The result is corrected for consistency and reweighted.
     """
     _require(n)
     contamination = min(0.5, max(1e-4, contamination))
@@ -418,7 +419,7 @@ def _location(m: Moments, centered: bool):
 
 
 _STARTS = 30
-_EDGES = 1024            # bins of a start's distances in one pass
+_TRIED, _BEST = 2, 10    # steps of all starts, and starts that go on after them
 _HELD_MOMENTS = 4 << 20  # numbers of the moments of a group of starts in one pass
 
 
@@ -441,7 +442,9 @@ def _least_determinant(df: DataFrame, n: int, width: int, h: int, centered: bool
     last = np.full(len(state), np.inf)
     active = list(range(len(state)))
     step = max(1, _HELD_MOMENTS // (1 + width + width * width))
-    for _ in range(rounds):
+    for done in range(rounds):
+        if done == _TRIED:
+            active = sorted(active, key=lambda k: last[k])[:_BEST]
         moving = []
         for at in range(0, len(active), step):
             group = active[at:at + step]
@@ -465,24 +468,8 @@ def _c_step(df: DataFrame, width: int, starts: list[tuple[np.ndarray, np.ndarray
     def distances(x):
         return [np.maximum(np.einsum("ij,ij->i", (x - c) @ p, x - c), 0.0) for c, p in zip(centers, inverses)]
 
-    top = -sum_blocks(df, ["x"], lambda b: np.array([-d.max(initial=0.0, where=np.isfinite(d)) for d in distances(b["x"])]), few, lowest=True)
-    # at most h - 1 rows lie up to low, h or more up to high
-    low, high, open_ = np.full(len(starts), -1.0), top, np.ones(len(starts), bool)
-    while open_.any():
-        edges = [np.linspace(a, b, _EDGES + 1) for a, b in zip(low, high)]
-
-        def counts(b):
-            # rows up to the first edge, and between each edge and the next
-            return np.concatenate([np.bincount(np.minimum(np.searchsorted(e, d), _EDGES + 1), minlength=_EDGES + 2)[:_EDGES + 1].astype(float)
-                                   for e, d in zip(edges, distances(b["x"]))])
-
-        upto = np.cumsum(sum_blocks(df, ["x"], counts, few).reshape(len(starts), -1), axis=1)
-        for k in np.flatnonzero(open_):
-            i = min(int(np.searchsorted(upto[k], h)), _EDGES)  # rows without a distance may make h too many
-            narrower = edges[k][i - 1], edges[k][i]
-            # no other number fits between the edges, or just the h rows do
-            open_[k] = upto[k][i] > h and narrower != (low[k], high[k]) and np.nextafter(narrower[0], np.inf) < narrower[1]
-            low[k], high[k] = narrower
+    cuts = ranks.select(df, ["x"], lambda b: distances(b["x"]), {(k, h - 1) for k in range(len(starts))}, few, separate=True)
+    high = [cuts[k, h - 1] for k in range(len(starts))]
 
     def sums(b):
         out = []

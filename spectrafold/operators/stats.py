@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..arrays import block, lists
+from ..arrays import block, lists, sum_blocks
+from . import ranks
 from .moments import Moments, moments
 
 _SMALL_GROUP = 200_000   # values one aggregation buffer may hold
-_BINS = 128
 
 
 def to_long(df: DataFrame, x: str = "x", keep: tuple[str, ...] = ("ix",)) -> DataFrame:
@@ -63,89 +63,51 @@ def exact_quantiles(long: DataFrame, probs: list[float], keys: tuple[str, ...] =
     """Linear-interpolated quantiles per key, exact at any size.
 
     Small groups use the built-in exact percentile, whose buffer the counted size bounds.
-    Larger ones narrow an interval around each wanted rank: every pass counts a fixed number
-    of bins with map-side combine and keeps the bin that holds the rank, until it holds one
-    value only. The number of keys (variables) is what reaches the driver.
+    Larger ones go through radix selection. The number of keys (variables) is what reaches the driver.
     """
     long = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    # keys may hold NULL or NaN only where the caller wants them as a group
-    finite = F.when(F.abs(F.col(value)) < float("inf"), F.col(value).cast("double"))
-    stats = (long.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
-                                     F.count_if(F.col(value) == float("-inf")).alias("_below"),
-                                     F.count_if(F.col(value) == float("inf")).alias("_above"))).collect()
+    stats = long.groupBy(*keys).agg(F.count("*").alias("_n")).collect()
     if not stats:
         return {}
     if max(r["_n"] for r in stats) <= _SMALL_GROUP:
         rows = long.groupBy(*keys).agg(
             F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")).collect()
         return {tuple(r[k] for k in keys): list(r["_q"]) for r in rows}
-    return _narrow(long.filter(F.abs(F.col(value)) < float("inf")), stats, probs, keys, value)
-
-
-def _narrow(long, stats, probs, keys, value):
-    spark = long.sparkSession
-    targets = {}   # (key, rank) -> [lo, hi, rank inside the interval]
-    for r in stats:
-        key = tuple(r[k] for k in keys)
-        for p in probs:
-            h = (r["_n"] - 1) * p
-            for rank in {math.floor(h), math.ceil(h)}:
-                if rank < r["_below"]:
-                    targets[key, rank] = [-math.inf, -math.inf, 0]
-                elif rank >= r["_n"] - r["_above"]:
-                    targets[key, rank] = [math.inf, math.inf, 0]
-                else:
-                    targets[key, rank] = [r["_lo"], r["_hi"], rank - r["_below"]]
-    known = {t: v[0] for t, v in targets.items() if v[0] == v[1]}
+    # a number for each key; keys may hold NULL or NaN only where the caller wants them as a group
     types = dict(long.dtypes)
-    schema = ", ".join([f"_k{i} {types[k]}" for i, k in enumerate(keys)] + ["_lo double", "_hi double"])
-    while len(known) < len(targets):
-        open_ = {(*t[0], v[0], v[1]) for t, v in targets.items() if t not in known}
-        small = spark.createDataFrame(sorted(open_), schema)
-        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + \
-             [F.col(value).between(F.col("_lo"), F.col("_hi"))]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        width = F.col("_hi") - F.col("_lo")
-        # halves where the range itself is no double; either way the ends fall into different bins
-        part = F.when(width < float("inf"), (F.col(value) - F.col("_lo")) / width).otherwise(
-            (F.col(value) / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2))
-        place = F.least(F.floor(part * _BINS), F.lit(_BINS - 1))
-        names = [f"_k{i}" for i in range(len(keys))] + ["_lo", "_hi"]
-        counted = (long.join(F.broadcast(small), cond).groupBy(*names, place.alias("_bin"))
-                   .agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
-                   .orderBy("_bin").collect())
-        bins: dict[tuple, list] = {}
-        for r in counted:
-            bins.setdefault(tuple(r[c] for c in names), []).append((r["n"], r["a"], r["b"]))
-        for t, v in targets.items():
-            if t in known:
-                continue
-            for n, a, b in bins[(*t[0], v[0], v[1])]:
-                if v[2] < n:
-                    v[0], v[1] = a, b
-                    break
-                v[2] -= n
-            if v[0] == v[1]:
-                known[t] = v[0]
-    out = {}
-    for r in stats:
-        key = tuple(r[k] for k in keys)
-        out[key] = []
-        for p in probs:
-            h = (r["_n"] - 1) * p
-            low, high = known[key, math.floor(h)], known[key, math.ceil(h)]
-            share = h - math.floor(h)
-            out[key].append(low if low == high or not share else low + (high - low) * share if math.isfinite(high - low)
-                            else low * (1 - share) + high * share)
-    return out
+    schema = ", ".join([f"_k{i} {types[k]}" for i, k in enumerate(keys)] + ["_key int"])
+    named = long.sparkSession.createDataFrame([(*[r[k] for k in keys], i) for i, r in enumerate(stats)], schema)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = long.join(F.broadcast(named), same).select("_key", F.col(value).cast("double").alias("_value"))
+
+    def by_key(b):
+        order = np.argsort(b["_key"], kind="stable")
+        key, v = b["_key"][order], b["_value"][order]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return dict(zip(key[cut].tolist(), np.split(v, cut[1:])))
+
+    targets = {(i, rank) for i, r in enumerate(stats) for rank in ranks.wanted(r["_n"], probs)}
+    found = ranks.select(rows, ["_key", "_value"], by_key, targets, few=False)
+    return {tuple(r[k] for k in keys): ranks.interpolated(r["_n"], probs, lambda rank: found[i, rank]) for i, r in enumerate(stats)}
 
 
 def array_quantiles(df: DataFrame, probs: list[float], x: str = "x") -> np.ndarray:
-    """Quantiles per variable, shape (len(probs), variables)."""
-    found = exact_quantiles(to_long(df, x, ()), probs)
-    return np.array([found[(pos,)] for pos in range(len(found))]).T
+    """Quantiles per variable, shape (len(probs), variables); missing values are left out.
+
+    The arrays stay whole: one scan counts the values, the others are those of the radix selection.
+    """
+    rows = df.select(x).filter(F.col(x).isNotNull()).persist()
+    try:
+        n = sum_blocks(rows, [x], lambda b: (~np.isnan(b[x])).sum(axis=0).astype(float))
+        if n is None:
+            return np.empty((0, len(probs))).T
+        targets = {(j, rank) for j, m in enumerate(n) if m for rank in ranks.wanted(int(m), probs)}
+        found = ranks.select(rows, [x], lambda b: np.ascontiguousarray(b[x].T), targets)
+    finally:
+        rows.unpersist()
+    return np.array([ranks.interpolated(int(m), probs, lambda rank: found[j, rank]) if m else [np.nan] * len(probs) for j, m in enumerate(n)]).T
 
 
 def correlation(df: DataFrame, x="x", width=None) -> np.ndarray:
