@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ..blas import single_threaded
 from ..session import durable
 from .components import components
-from .embedding_dedup import Forest, block_cells, by_group
+from .embedding_dedup import Forest, block_cells
 from .registry import query, table
 from .textblocks import LOWER, binary_column, blocks, mix64, shingle_hashes, span_hashes, word_bounds
 
@@ -372,29 +372,39 @@ def _links(sets: list[np.ndarray], places: list[np.ndarray], percent: int) -> It
         yield some[lo + a], some[b]
 
 
+_CELL = ["cluster", "_i", "_j"]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], ranks: Ranks, n: int) -> Iterator[tuple]:
+    """Classes, sets, their ranks and facts of each cell of consecutive rows; a text goes once its set is there."""
+    last, held, met = None, [], set()
+    for batch in batches:
+        keys = [tuple(k) for k in zip(*(batch.column(c).to_pylist() for c in _CELL))]
+        names = batch.column("e").to_pylist()
+        facts = list(zip(*(batch.column(c).to_pylist() for c in ("_side", "_home", "copies"))))
+        for first, _, data, offsets in blocks(batch.column("text")):
+            for at, (own, rank) in enumerate(shingle_sets(data, offsets, n, ranks), first):
+                if keys[at] != last:
+                    if len(held) > 1:
+                        yield last, held
+                    last, held, met = keys[at], [], set()
+                # two texts with equal marks under one id: only one is the class's; repeated rows bring a class twice
+                if names[at] not in met and _digest(own) == names[at]:
+                    met.add(names[at])
+                    held.append((names[at], own, rank, facts[at]))
+        del batch, data
+    if len(held) > 1:
+        yield last, held
+
+
 def _verify(ranks: Ranks, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
-        for group in by_group(batches, ["cluster", "_i", "_j"]):
-            if group.num_rows < 2:
-                continue
-            sets, places, expected, known = [], [], group["e"].to_pylist(), []
-            met: set[bytes] = set()  # repeated rows bring a class twice
-            at = 0
-            for _, _, data, offsets in blocks(group["text"]):
-                for own, rank in shingle_sets(data, offsets, n, ranks):
-                    # two texts with equal marks under one id: only one is the class's
-                    if expected[at] not in met and _digest(own) == expected[at]:
-                        met.add(expected[at])
-                        sets.append(own)
-                        places.append(rank)
-                        known.append(at)
-                    at += 1
-            if len(sets) < 2:
-                continue
-            side, home, copies = (np.asarray(group[c])[known] for c in ("_side", "_home", "copies"))
+        for (_, i, j), held in _cells((b for b in batches if b.num_rows), ranks, n):
+            expected, sets, places = ([h[k] for h in held] for k in range(3))
+            side, home, copies = (np.array([h[3][k] for h in held]) for k in range(3))
             links = np.zeros(len(sets), np.int64)
-            across = group["_i"][0].as_py() != group["_j"][0].as_py()
+            across = i != j
             forest, tree = Forest(len(sets)), []
             for a, b in _links(sets, places, percent):
                 if across:
@@ -402,12 +412,12 @@ def _verify(ranks: Ranks, n: int, percent: int):
                 here = home[a] | home[b]
                 np.add.at(links, a[here], copies[b[here]])
                 np.add.at(links, b[here], copies[a[here]])
-                tree += [(known[i], known[j]) for i, j in zip(a.tolist(), b.tolist()) if forest.join(i, j)]
+                tree += [(x, y) for x, y in zip(a.tolist(), b.tolist()) if forest.join(x, y)]
             linked = np.flatnonzero(links)
             if tree or len(linked):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([expected[i] for i, _ in tree] + [expected[known[i]] for i in linked], pa.binary()),
-                     pa.array([expected[j] for _, j in tree] + [None] * len(linked), pa.binary()),
+                    [pa.array([expected[x] for x, _ in tree] + [expected[x] for x in linked], pa.binary()),
+                     pa.array([expected[y] for _, y in tree] + [None] * len(linked), pa.binary()),
                      pa.array([None] * len(tree) + links[linked].tolist(), pa.int64())], names=["a", "b", "links"])
 
     return run
