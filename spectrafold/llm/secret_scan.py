@@ -4,7 +4,7 @@ Each rule's regular expression is turned into a Boolean query of trigrams that e
 contain. Documents are indexed in blocks: the postings of the trigrams that the queries name are
 computed in one vectorised pass over the block's folded bytes, the queries intersect and unite
 them, and only documents that remain meet the regular expression itself. A rule without mandatory
-trigrams scans every document. Whole texts are scanned; positions are code points.
+trigrams, or one whose letters ignore case beyond ASCII, scans every document. Whole texts are scanned; positions are code points.
 
 Results for odd input: a null or empty text has no spans; rows that repeat an id are separate rows;
 an empty table gives an empty result; columns other than id and text are not read.
@@ -40,7 +40,7 @@ class Rule:
 
 
 BASE_RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),  # the runs of 24 and more
 )
@@ -68,16 +68,21 @@ def _spelled(strings: set[bytes]):
     return _join("or", [_join("and", [s[i:i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
+def _folds_beyond_ascii(flags: int) -> bool:
+    """Whether a letter may match one of another script (the Kelvin sign a k), of which the index knows nothing."""
+    return bool(flags & re.IGNORECASE and not flags & re.ASCII)
+
+
 def _item(op, arg) -> tuple[set[bytes] | None, object]:
     """The strings an element can match, if these are few, and else its query."""
     if op is C.LITERAL:
-        return {chr(arg).lower().encode()}, True
+        return {chr(arg).encode().lower()}, True
     if op is C.IN:
         if all(o is C.LITERAL for o, _ in arg) and len(arg) <= 8:
-            return {chr(a).lower().encode() for _, a in arg}, True
+            return {chr(a).encode().lower() for _, a in arg}, True
         return None, True
     if op is C.SUBPATTERN:
-        return _sequence(arg[-1])
+        return (None, True) if _folds_beyond_ascii(arg[1]) else _sequence(arg[-1])
     if op is C.BRANCH:
         found = [_sequence(p) for p in arg[1]]
         if all(e is not None for e, _ in found):
@@ -113,7 +118,10 @@ def _sequence(tokens) -> tuple[set[bytes] | None, object]:
 
 def trigram_query(pattern: str):
     """A condition on the folded trigrams of a text that each text with a match fulfils."""
-    exact, mandatory = _sequence(_parser.parse(pattern))
+    parsed = _parser.parse(pattern)
+    if _folds_beyond_ascii(parsed.state.flags):
+        return True
+    exact, mandatory = _sequence(parsed)
     return mandatory if exact is None else _spelled(exact)
 
 
