@@ -331,7 +331,8 @@ def test_line_dedup_odd_rows(spark):
 # -- 8 secret scan -----------------------------------------------------------------------
 
 def plain_spans(text):
-    kinds = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    names = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", "password|passwd|secret|token|api_?key")  # A-Z and a-z alone
+    kinds = [("assign", rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
              ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
     return sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(kinds) for m in re.finditer(p, text or "") if len(m[g]) >= least)
 
@@ -358,8 +359,61 @@ def test_secret_scan_odd_rows(spark):
     assert secret_scan.secret_spans(cases.no_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name, found", [("\u017fecret", 0), ("SECRET", 1), ("to\u212aen", 0), ("ToKeN", 1), ("pa\u017f\u017fword", 0)])
+def test_secret_scan_folds_ascii_only(spark, name, found):
+    # whatever else stands in the text, so that neither the rule nor the index takes such a letter for another
+    texts = [f"{name}=abcdefgh", f"a secret in the dark, {name}=abcdefgh", f"token password {name}=abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in secret_scan.secret_spans(docs).collect()}
+    assert all(len(spans) == found for spans in got.values())
+    assert got == {i: [(a, "assign", b) for a, _, b in plain_spans(t)] for i, t in enumerate(texts)}
+
+
+def test_secret_scan_rules_that_fold_further(spark):
+    rules = (secret_scan.Rule("inner", "x(?i:skin)"), secret_scan.Rule("whole", "(?i)kelvin"), secret_scan.Rule("accent", "\u00c9cole"))
+    texts = ["x\u017f\u212ain", "\u212aelvin", "\u00c9cole", "xskin KELVIN", "\u00e9cole"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.secret_spans(docs, rules).collect()}
+    assert got == {0: ["inner"], 1: ["whole"], 2: ["accent"], 3: ["inner", "whole"], 4: []}
+
+
 # -- 9 embedding dedup -------------------------------------------------------------------
 
+def test_embedding_dedup_recall(spark):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((2500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    off = rng.standard_normal(base.shape)
+    off -= (off * base).sum(axis=1)[:, None] * base
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    cosine = rng.uniform(0.92, 0.97, len(base))[:, None]
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine ** 2) * off]) * rng.uniform(0.5, 2, (2 * len(base), 1))
+    label = np.tile(np.arange(len(base)) % 10, 2)
+    rows = [(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), label))]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    links = np.zeros(len(x), int)
+    links[[r["vec_id"] for r in got]] = [r["n_links"] for r in got]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    want = near.sum(axis=1)
+    assert want.sum() > 3500 and (links <= want).all() and links.sum() >= 0.9 * want.sum()
+
+
+def test_embedding_dedup_at_the_limit(spark):
+    # a pair that isn't found may be missed, but none below the limit is a link
+    def pair(c):
+        return [1.0, 0.0], [c, float(np.sqrt(1 - c * c))]
+
+    rows, want = [], {}
+    for k, c in enumerate((0.93 + 1e-9, 0.93 - 1e-9, 0.95, 0.9)):
+        a, b = pair(c)
+        rows += [(2 * k, a, k), (2 * k + 1, b, k)]
+        want.update(dict.fromkeys((2 * k, 2 * k + 1), int(c >= 0.93)))
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got}.items() >= {k: v for k, v in want.items() if not v}.items()
+    assert sum(r["n_links"] for r in got) <= sum(want.values())
+
+
 def test_embedding_dedup(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     rows = sorted(table.collect(), key=lambda r: r["vec_id"])
