@@ -53,7 +53,7 @@ SLICES = 8  # parts in which the counts are summed
 SEEDS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118, 0x6A09E667F3BCC909)  # one for each order
 BLOCK = 2048
 USUAL = 500  # shingles of a member; a larger set counts as more members
-PANEL = 512  # members whose pairs with all others are held at once
+PANEL = 256  # members whose pairs with all others are held at once
 KNOWN = 100_000  # sets a task remembers so as not to send them twice
 SEND = 16 << 20  # bytes of candidates that may be broadcast
 
