@@ -168,12 +168,12 @@ def fit_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes,
     toxic, ordinary = ([_bare(w) for w in sorted(set(ws))] for ws in (toxic, ordinary))
     rng = np.random.default_rng(0)
     rng.shuffle(ordinary)
-    content = _content(ordinary[:60_000], ORDINARY_BYTES)
+    content = _content(ordinary, ORDINARY_BYTES)
     spans = telling_spans(toxic, ordinary)
     rng.shuffle(spans)
     telling = _completed(_content(spans, TOXIC_BYTES), spans, TOXIC_BYTES) if spans else b""
     # ordinary windows that gain nevertheless are learnt by both
-    probe = [p for w in ordinary[:30_000] for p in windows(w, WORDS)]
+    probe = [p for w in ordinary for p in windows(w, WORDS)]
     for _ in range(HARD_ROUNDS if telling else 0):
         a, b = _compressor(content).compress, _compressor(content + b"\n" + telling).compress
         hard = [_bare(w) for w in probe if len(a(w)) - len(b(w)) >= 3]
