@@ -11,9 +11,12 @@ list. Along a list, by size, each class is tied to the next one if their sizes a
 sizes allow one are so connected, with fewer ties than members. What is connected is a candidate
 cluster. Before any text moves, the clusters are refined under the other orders in turn, with lists of (cluster, shingle):
 a class that meets nobody leaves, and the last order's lists split what is left. Linked classes share a prefix shingle under
-every order, so none of their links is lost. Only then the texts of what is left are brought together; a cluster beyond ``BLOCK`` members (or as many
+every order, so none of their links is lost. A cluster beyond ``BLOCK`` members (or as many
 shingles as usual members have) is cut by set size into
-steps of which only neighbours can hold links, and a step beyond it into pairs of blocks. There candidates must once more
+steps of which only neighbours can hold links, and a step beyond it into pairs of blocks. Such clusters are first thinned by sketches,
+the parities of a set's shingles by hash class (two to four classes for a shingle): two sets differ in at least as many shingles as their sketches do in parities, so that
+pairs whose sketches are too far apart can't be links, and what the others connect are the clusters.
+Only then the texts of what is left are brought together. In the blocks candidates must once more
 share a prefix token under every order, pair by pair, before their sets are compared
 exactly. Tasks hand on a spanning forest of the links they find, whose components are those of all
 links, and for each class the number of documents that its links reach; never all pairs. Steps overlap: a pair
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from ..blas import single_threaded
 from ..session import durable
 from .components import components
-from .embedding_dedup import Forest, block_cells
+from .embedding_dedup import Forest, block_cells, by_group
 from .registry import query, table
 from .textblocks import LOWER, binary_column, blocks, mix64, shingle_hashes, span_hashes, word_bounds
 
@@ -53,7 +56,9 @@ SLICES = 8  # parts in which the counts are summed
 SEEDS = (0x8CB92BA72F3D8DD7, 0xAB1C5ED5DA6D8118, 0x6A09E667F3BCC909)  # one for each order
 BLOCK = 2048
 USUAL = 500  # shingles of a member; a larger set counts as more members
+SKETCHED = 8000  # the same for sketches, which are far smaller than sets
 PANEL = 256  # members whose pairs with all others are held at once
+_CELL = ["cluster", "_i", "_j"]
 KNOWN = 100_000  # sets a task remembers so as not to send them twice
 SEND = 16 << 20  # bytes of candidates that may be broadcast
 
@@ -299,12 +304,103 @@ def _texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
 
 
-def _weighed(rows: DataFrame) -> DataFrame:
-    """``rows`` with met, the members of their cluster, large sets counted as more."""
-    met = rows.groupBy(F.col("cluster").alias("_key")).agg(F.sum(F.greatest(F.lit(1.0), F.col("n") / USUAL)).alias("met"))
+def _weighed(rows: DataFrame, usual: int = USUAL) -> DataFrame:
+    """``rows`` with met, the members of their cluster, sets of more than ``usual`` shingles counted as more."""
+    met = rows.groupBy(F.col("cluster").alias("_key")).agg(F.sum(F.greatest(F.lit(1.0), F.col("n") / usual)).alias("met"))
     return rows.join(met, F.col("cluster") == F.col("_key")).drop("_key")
 
 
+def _stepped(rows: DataFrame, percent: int, block: int, usual: int = USUAL) -> DataFrame:
+    """``rows`` (weighed) with clusters beyond ``block`` cut into steps of set size, and weighed anew.
+
+    A class is in its own step (_home) and in the next one.
+    """
+    step = F.floor(F.log("n") / F.lit(max(math.log(100 / percent), 1e-9) * 1.000001))
+    steps = F.when(F.col("met") > block, F.array(step, step + 1)).otherwise(F.array(F.lit(-1).cast("long")))
+    cut = rows.withColumn("_step", F.explode(steps)).withColumn("_home", (F.col("_step") == -1) | (F.col("_step") == step)).drop("met")
+    return _weighed(cut.withColumn("cluster", F.concat("cluster", F.encode(F.col("_step").cast("string"), "UTF-8"))), usual)
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by hash class, packed; classes are a power of two, at least two for each shingle."""
+    classes = max(64, 1 << int(2 * len(own) - 1).bit_length())
+    count = np.bincount((own & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little")
+
+
+def _sketches(texts: DataFrame, n: int) -> DataFrame:
+    """e and bits, the sketch, of each class that ``texts`` name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column("e").to_pylist()
+            for first, _, data, offsets in blocks(batch.column("text")):
+                made = [(wanted[at], sketch(own).tobytes()) for at, own in enumerate(shingle_sets(data, offsets, n), first)
+                        if _digest(own) == wanted[at]]
+                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], names=["e", "bits"])
+
+    return texts.select("e", "text").mapInArrow(run, "e binary, bits binary").groupBy("e").agg(F.min("bits").alias("bits"))
+
+
+def near_sketches(bits: list[np.ndarray], size: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets may be similar enough, by the parities in which their sketches differ."""
+    width = min(len(b) for b in bits)
+    packed = np.stack([np.bitwise_xor.reduce(b.reshape(-1, width), axis=0) for b in bits])
+    both = np.zeros((len(bits), len(bits)), np.int64)
+    many = max(1, (1 << 19) // len(bits))
+    for at in range(0, width, many):
+        x = np.unpackbits(packed[:, at:at + many], axis=1).astype(np.float32)
+        both += (x @ x.T).astype(np.int64)
+    odd = both.diagonal()
+    apart = odd[:, None] + odd[None, :] - 2 * both
+    near = apart * (100 + percent) <= (100 - percent) * (size[:, None] + size[None, :])
+    return near & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
+
+
+def stars(near: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A member of each component of a symmetric relation, and others of it, until all are named."""
+    left = np.ones(len(near), bool)
+    for start in range(len(near)):
+        if left[start]:
+            left[start] = False
+            reached = np.array([start])
+            while len(reached):
+                reached = np.flatnonzero(near[reached].any(axis=0) & left)
+                left[reached] = False
+                if len(reached):
+                    yield start, reached
+
+
+def _tied_sketches(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_threaded()
+        for group in by_group(batches, _CELL):
+            if group.num_rows < 2:
+                continue
+            bits = [np.frombuffer(b, np.uint8) for b in group["bits"].to_pylist()]
+            near = near_sketches(bits, group["n"].to_numpy().astype(np.int64), percent)
+            names = group["e"].combine_chunks()
+            for start, others in stars(near):
+                at = pa.array(others)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(others), start))), names.take(at)], names=["a", "b"])
+
+    return run
+
+
+def thinned(source: DataFrame, found: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """``found`` (candidates) with clusters beyond ``block`` refined by sketches; classes that are near no other leave."""
+    weighed = durable(_weighed(found))
+    large = weighed.filter(F.col("met") > block).drop("met")
+    if large.isEmpty():
+        return weighed.drop("met")
+    bits = durable(_sketches(_texts(source, large), n))
+    steps = _stepped(_weighed(large, SKETCHED), percent, 0, SKETCHED).select("e", "n", "cluster", "met").join(bits, "e")
+    cells = block_cells(steps, "met", max(2, block // 2), "e").repartition(*_CELL).sortWithinPartitions(*_CELL)
+    ties = cells.select("e", "n", "bits", *_CELL).mapInArrow(_tied_sketches(percent), "a binary, b binary")
+    finer = _clusters(ties).join(large.drop("cluster"), "e")
+    return weighed.filter(F.col("met") <= block).drop("met").unionByName(finer)
+
+
 def shared_tokens(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the values that occur twice and more, in order, and their owners; taken by ranges to bound the memory."""
     ranges = 1 + len(values) // (1 << 20)
@@ -372,9 +468,6 @@ def _links(sets: list[np.ndarray], places: list[np.ndarray], percent: int) -> It
         yield some[lo + a], some[b]
 
 
-_CELL = ["cluster", "_i", "_j"]
-
-
 def _cells(batches: Iterator[pa.RecordBatch], ranks: Ranks, n: int) -> Iterator[tuple]:
     """Classes, sets, their ranks and facts of each cell of consecutive rows; a text goes once its set is there."""
     last, held, met = None, [], set()
@@ -434,11 +527,8 @@ def near_copies(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     own = durable(_classes(source, n))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
     lowest = own.filter("n > 0").groupBy("e").agg(F.min(order).alias("low"), F.first("n").alias("n"), F.sum("copies").alias("copies"))
-    wanted = _weighed(candidates(source, own, ranks, n, percent))
-    step = F.floor(F.log("n") / F.lit(max(math.log(100 / percent), 1e-9) * 1.000001))
-    steps = F.when(F.col("met") > block, F.array(step, step + 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    wanted = wanted.withColumn("_step", F.explode(steps)).withColumn("_home", (F.col("_step") == -1) | (F.col("_step") == step)).drop("met")
-    wanted = durable(_weighed(wanted.withColumn("cluster", F.concat("cluster", F.encode(F.col("_step").cast("string"), "UTF-8")))))
+    found = thinned(source, candidates(source, own, ranks, n, percent), n, percent, block)
+    wanted = durable(_stepped(_weighed(found), percent, block))
     texts = _texts(source, wanted)
     cells = block_cells(texts.select("e", "cluster", "met", "copies", "_home", "text"), "met", block, "e")
     cells = cells.repartition("cluster", "_i", "_j").sortWithinPartitions("cluster", "_i", "_j", "e")

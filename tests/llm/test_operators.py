@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spectrafold.llm import (
     catalogue,
@@ -77,6 +78,57 @@ def test_ngram_join_counts_all_links(spark, n, percent, block):
     assert Counter((r["doc_id"], r["n_links"]) for r in got) == Counter(due)
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(3)
+    kept = lost = far = 0
+    for percent in (50, 80, 90):
+        sets = []
+        for base in range(12):
+            pool = rng.integers(0, 1 << 63, int(rng.integers(500, 700)), dtype=np.uint64)
+            for _ in range(6):
+                some = pool[rng.random(len(pool)) > rng.random() * 0.4]
+                extra = rng.integers(0, 1 << 63, int(rng.integers(0, 40)), dtype=np.uint64)
+                sets.append(np.unique(np.concatenate([some, extra, pool[:1]])))
+        near = ngram_join.near_sketches([ngram_join.sketch(s) for s in sets], np.array([len(s) for s in sets]), percent)
+        plain = [set(s.tolist()) for s in sets]
+        for i, a in enumerate(plain):
+            for j, b in enumerate(plain[:i]):
+                linked = 100 * len(a & b) >= percent * len(a | b)
+                kept += linked and near[i, j]
+                lost += linked and not near[i, j]
+                far += percent >= 80 and i // 6 != j // 6 and bool(near[i, j])  # of sizes as in one step
+        named = list(range(len(sets)))
+        for start, others in ngram_join.stars(near):
+            assert not any(named[k] != k for k in others)
+            for k in others:
+                named[k] = start
+        assert [min(named.index(r), i) for i, r in enumerate(named)] == cases.roots(len(sets), zip(*map(list, np.nonzero(near))))
+    assert kept > 100 and lost == 0 and far == 0
+
+
+def test_ngram_join_thins_large_clusters(spark):
+    """Documents that share a rare passage form one cluster; sketches part those that are not alike."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        own = [f"w{i // 2}x{rng.randrange(10 ** 9)}" for _ in range(200)] if i % 2 == 0 else [*rows[-1][1].split()[12:-3], "x", "y", "z"]
+        passages = [f"p{k}y{w}" for k in (i // 2, (i // 2 + 1) % 30) for w in range(6)]
+        rows.append((i, " ".join(passages + own)))
+    source = ngram_join._source(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    ranks = ngram_join.count_ranks(source, 3)
+    own = ngram_join._classes(source, 3)
+    # one cluster, whatever the orders leave
+    names = own.filter("n > 0").select("e", F.lit(b"one").alias("cluster"), "n", "copies", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    left = ngram_join.thinned(source, names, 3, 90, 16).collect()
+    clusters = defaultdict(set)
+    for r in left:
+        clusters[bytes(r["cluster"])].add(r["_id"])
+    assert sorted(map(sorted, clusters.values())) == [[i, i + 1] for i in range(0, 60, 2)]
+    small = ngram_join.thinned(source, names, 3, 90, 600).collect()
+    assert {bytes(r["cluster"]) for r in small} == {b"one"} and len(small) == 60
+    assert ranks.total > 0
+
+
 def test_ngram_join_odd_rows(spark):
     odd = cases.odd_documents(spark)
     got = ngram_join.near_copies(odd).collect()
