@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..arrays import map_blocks
 from ..dataset import Dataset
 from .folds import CV, assign, test_rows, training_rows
-from .linear import principal_axes
+from .linear import left_out_axes, pieces, principal_axes
 from .moments import Moments, moments, total
 from .stats import column_extremes
 
@@ -104,13 +104,14 @@ def pca_cv(ds: Dataset, components: int, cv: CV, n: int | None = None):
 
         def own(c):
             losses, scores = np.zeros((len(c["x"]), axes)), np.zeros((len(c["x"]), axes))
-            for i, x in enumerate(c["x"]):
-                model = fit_moments(whole - Moments(1.0, x, np.zeros_like(whole.m2), whole.p), components)
-                z = (x - model.mean)[None, :]
-                a = min(axes, model.loadings.shape[1])
-                scores[i, :a] = (z @ model.loadings[:, :a])[0]
-                losses[i, :a] = _losses(z, model.loadings[:, :a])[0, :a]
-                losses[i, a:] = losses[i, a - 1]  # no axis is left to lower it
+            used = max(1, min(components, whole.p, int(whole.n - 1)))
+            for at in pieces(len(c["x"]), 3 * whole.p ** 2):
+                d = c["x"][at] - whole.x_mean
+                z = d * (whole.n / max(whole.n - 1, 1))
+                scores[at, :used] = np.einsum("ip,ipa->ia", z, left_out_axes(whole, d)[1][:, :, :used])
+                left = (z * z).sum(axis=1, keepdims=True) - np.cumsum(scores[at, :used] ** 2, axis=1)
+                losses[at, :used] = np.maximum(left, 0)
+            losses[:, used:] = losses[:, used - 1:used]  # no axis is left to lower it
             return {"scores": scores, "_v": losses}
 
         scored = map_blocks(assigned, own, [("scores", "array<double>"), ("_v", "array<double>")], ["x"],

@@ -203,6 +203,10 @@ def cross_predict(df: DataFrame, kind: str, values: list, cv: CV, width: int, n:
         if kind in ("ols", "ridge"):
             own = _left_out(whole, [0.0 if kind == "ols" else float(v) for v in values])
             return map_blocks(assigned, own, [("yhat", "array<double>")], ["x", "y"], ["ix", "fold", "y"])
+        if kind in ("pls", "pcr") and whole.n > 2:
+            counts = [int(v) for v in values]
+            own = _left_out_pls(whole, counts, bool(hp.get("scale", False))) if kind == "pls" else _left_out_pcr(whole, counts)
+            return map_blocks(assigned, own, [("yhat", "array<double>")], ["x", "y"], ["ix", "fold", "y"])
 
         def own(c):
             out = []
@@ -254,6 +258,102 @@ def _left_out(m: Moments, penalties: list[float]):
     return run
 
 
+def pieces(rows: int, numbers: int):
+    """Slices of a block whose work arrays hold about 4 million numbers at ``numbers`` a row."""
+    step = max(1, (1 << 22) // max(numbers, 1))
+    return [slice(a, a + step) for a in range(0, max(rows, 1), step)]
+
+
+def _chosen(steps: list[np.ndarray], counts: list[int]) -> np.ndarray:
+    """Predictions of the wanted numbers of components from those of 1..A, side by side."""
+    return np.hstack([steps[max(1, min(v, len(steps))) - 1] for v in counts])
+
+
+def _left_out_pls(m: Moments, counts: list[int], scale: bool):
+    """Leave-one-out predictions of PLS fits for whole blocks of rows.
+
+    Without a row that lies d from the mean the cross products are XX - f d dᵀ, f = n / (n - 1). Products with them
+    are products with XX and a rank-one correction, so no row has a matrix of its own.
+    """
+    xx, xy, yy, f, n = m.xx, m.xy, np.diag(m.yy), m.n / (m.n - 1), m.n - 1
+    most = max(1, min(max(counts), m.p, int(n)))
+    responses = xy.shape[1]
+
+    def predict(x, y):
+        d, e = x - m.x_mean, y - m.y_mean
+        power = np.maximum(np.diag(xx) - f * d * d, 0)
+        sx, sy = np.ones_like(d), np.ones_like(e)
+        if scale:
+            sx, sy = np.sqrt(power / (n - 1)), np.sqrt(np.maximum(yy - f * e * e, 0) / (n - 1))
+            sx, sy = np.where(sx > 0, sx, 1.0), np.where(sy > 0, sy, 1.0)
+        trace = (power / sx ** 2).sum(axis=1)
+        cross = (xy - f * d[:, :, None] * e[:, None, :]) / (sx[:, :, None] * sy[:, None, :])
+        z = f * d / sx  # the row itself, from the mean of the others
+        yhat, alive = m.y_mean - e / n, np.ones(len(x), bool)
+        size0 = np.maximum(np.linalg.norm(cross, axis=(1, 2)), 1e-300)
+        steps, rotations, loadings = [], [], []
+        for _ in range(most):
+            alive &= np.linalg.norm(cross, axis=(1, 2)) > 1e-14 * size0
+            if responses == 1:
+                w = cross[:, :, 0]
+            else:
+                _, vectors = np.linalg.eigh(np.einsum("ipa,ipb->iab", cross, cross))
+                w = np.einsum("ipa,ia->ip", cross, vectors[:, :, -1])
+            norm = np.linalg.norm(w, axis=1, keepdims=True)
+            w = w / np.where(norm > 0, norm, 1.0)
+            r = w.copy()
+            for p_old, r_old in zip(loadings, rotations):
+                r -= np.einsum("ip,ip->i", p_old, w)[:, None] * r_old
+            plain = r / sx
+            gr = (plain @ xx - f * d * np.einsum("ip,ip->i", d, plain)[:, None]) / sx
+            tau = np.einsum("ip,ip->i", r, gr)
+            alive &= tau > 1e-14 * trace
+            tau = np.where(alive, tau, 1.0)[:, None]
+            r, load = r * alive[:, None], gr * alive[:, None] / tau  # a fit that ended gains nothing more
+            q = np.einsum("ipa,ip->ia", cross, r) / tau
+            cross = cross - load[:, :, None] * (q * tau)[:, None, :]
+            yhat = yhat + np.einsum("ip,ip->i", z, r)[:, None] * q * sy
+            steps.append(yhat)
+            rotations.append(r)
+            loadings.append(load)
+        return _chosen(steps, counts)
+
+    def run(c):
+        cut = pieces(len(c["x"]), m.p * (2 * most + 3 * responses + 6))
+        return {"yhat": np.vstack([predict(c["x"][s], c["y"][s]) for s in cut])}
+
+    return run
+
+
+def left_out_axes(m: Moments, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Covariance eigenvalues, falling, and axes of the others for each row (``d`` from the mean of all), in one call."""
+    f = m.n / max(m.n - 1, 1)
+    values, vectors = np.linalg.eigh((m.xx - f * d[:, :, None] * d[:, None, :]) / max(m.n - 2, 1))
+    values, vectors = np.maximum(values[:, ::-1], 0), vectors[:, :, ::-1]
+    top = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=1)[:, None, :], axis=1)
+    return values, vectors * np.where(top < 0, -1, 1)
+
+
+def _left_out_pcr(m: Moments, counts: list[int]):
+    """Leave-one-out predictions of PCR fits for whole blocks of rows."""
+    f, n = m.n / (m.n - 1), m.n - 1
+    most = max(1, min(max(counts), m.p, int(n)))
+
+    def predict(x, y):
+        d, e = x - m.x_mean, y - m.y_mean
+        values, axes = left_out_axes(m, d)
+        axes, power = axes[:, :, :most], values[:, :most] * (n - 1)
+        inverse = np.where(power > 1e-12 * np.maximum(power.max(axis=1, keepdims=True), 1e-300), 1 / np.where(power > 0, power, 1), 0)
+        q = inverse[:, :, None] * (axes.transpose(0, 2, 1) @ m.xy - f * np.einsum("ipa,ip->ia", axes, d)[:, :, None] * e[:, None, :])
+        gains = (f * np.einsum("ipa,ip->ia", axes, d))[:, :, None] * q
+        return _chosen(list((m.y_mean - e / n)[None] + np.cumsum(gains, axis=1).transpose(1, 0, 2)), counts)
+
+    def run(c):
+        return {"yhat": np.vstack([predict(c["x"][s], c["y"][s]) for s in pieces(len(c["x"]), 3 * m.p ** 2)])}
+
+    return run
+
+
 def long_predictions(wide: DataFrame, values: list, responses: int, keep=("ix", "fold")) -> DataFrame:
     """(…, candidate, response, y, yhat) from the array form."""
     names = F.array(*[F.lit(float(v)) for v in values])
