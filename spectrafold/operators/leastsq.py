@@ -8,16 +8,19 @@ import numpy as np
 def nnls_rows(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     """min ½ xᵀGx - fᵀx, x ≥ 0, for every row f of ``rhs`` (Kim and Park 2011).
 
-    Block principal pivoting: rows that share a set of positive places share one solve.
+    Block principal pivoting: rows that share a set of positive places share one solve. With a stack of
+    matrices every row has its own; all of them are solved in one call, left-out places as identity rows.
     """
     n, r = rhs.shape
-    gram = gram + 1e-14 * max(np.trace(gram) / max(r, 1), 1e-300) * np.eye(r)
+    stacked = gram.ndim == 3
+    trace = np.trace(gram, axis1=-2, axis2=-1)
+    gram = gram + 1e-14 * np.maximum(trace / max(r, 1), 1e-300)[..., None, None] * np.eye(r)
     x = np.zeros((n, r))
     y = -rhs.copy()
     passive = np.zeros((n, r), dtype=bool)
     allowance = np.full(n, 3)
     least = np.full(n, r + 1)
-    scale = 1e-12 * (np.abs(rhs).max(initial=0) + 1e-300)
+    scale = 1e-12 * (np.abs(rhs).max(axis=1 if stacked else None, keepdims=True, initial=0) + 1e-300)
     for _ in range(100 * r + 100):
         bad = (passive & (x < 0)) | (~passive & (y < -scale))
         count = bad.sum(axis=1)
@@ -34,6 +37,12 @@ def nnls_rows(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
         if len(single):  # backup rule: exchange the last infeasible place only
             last = r - 1 - bad[single][:, ::-1].argmax(axis=1)
             passive[single, last] ^= True
+        if stacked:
+            on, own = passive[rows], gram[rows]
+            system = np.where(on[:, :, None] & on[:, None, :], own, np.eye(r))
+            x[rows] = np.linalg.solve(system, np.where(on, rhs[rows], 0.0)[:, :, None])[:, :, 0]
+            y[rows] = np.where(on, 0.0, np.einsum("jab,jb->ja", own, x[rows]) - rhs[rows])
+            continue
         codes = passive[rows] @ (1 << np.arange(r, dtype=np.int64))
         for code in np.unique(codes):
             group = rows[codes == code]
@@ -163,9 +172,9 @@ def constrained_rows(grams: np.ndarray, cross: np.ndarray, constraints: dict[str
                      rounds: int = 100, tol: float = 1e-8) -> np.ndarray:
     """``constrained_factor`` where every row has normal equations of its own, as with missing cells."""
     if not constraints:
-        return np.stack([np.linalg.pinv(g, hermitian=True) @ c for g, c in zip(grams, cross)])
+        return np.einsum("jab,jb->ja", np.linalg.pinv(grams, hermitian=True), cross)
     if set(constraints) == {"non_negative"}:
-        return np.vstack([nnls_rows(g, c[None, :]) for g, c in zip(grams, cross)])
+        return nnls_rows(grams, cross)
     k = grams.shape[1]
     rho = max(np.trace(grams.mean(axis=0)) / k, 1e-12)
     inverse = np.linalg.inv(grams + rho * np.eye(k))

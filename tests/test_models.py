@@ -9,7 +9,7 @@ from spectrafold.operators import (discriminant, ensemble, kernels, latent, line
 from spectrafold.operators.calibration import Calibration, candidates
 from spectrafold.operators.classification import Classifier
 from spectrafold.operators.folds import CV
-from spectrafold.operators.leastsq import nnls_rows
+from spectrafold.operators.leastsq import constrained_rows, nnls_rows
 from spectrafold.operators.moments import moments
 from spectrafold.operators.stats import cosine_matrix
 
@@ -261,6 +261,22 @@ def test_nnls_conditions():
     assert x.min() >= 0 and slope.min() > -1e-9 and np.abs(x * slope).max() < 1e-9
 
 
+@pytest.mark.parametrize("r", [1, 4])
+def test_rows_with_normal_equations_of_their_own(r):
+    g = RNG(128).normal(size=(60, 9, r))
+    grams, cross = g.transpose(0, 2, 1) @ g, RNG(129).normal(size=(60, r)) * 5
+    grams[7], cross[8] = np.eye(r), -1.0
+    x = constrained_rows(grams, cross, {"non_negative": 1.0}, cross)
+    slope = np.einsum("jab,jb->ja", grams, x) - cross
+    assert x.min() >= 0 and slope.min() > -1e-9 and np.abs(x * slope).max() < 1e-9
+    assert np.allclose(x, np.vstack([nnls_rows(g, c[None, :]) for g, c in zip(grams, cross)]), atol=1e-9)
+    assert not x[8].any() and np.allclose(x[7], np.maximum(cross[7], 0))
+    grams[9] = 0.0  # a row without cells
+    free = constrained_rows(grams, cross, {}, cross)
+    assert np.allclose(free[:9], np.stack([np.linalg.solve(g, c) for g, c in zip(grams[:9], cross[:9])])) and not free[9].any()
+    assert nnls_rows(grams[:0], cross[:0]).shape == (0, r)
+
+
 def test_mcr_recovers_a_mixture(spark):
     t = np.linspace(0, 1, 25)
     s = np.stack([np.exp(-((t - .3) / .08) ** 2), np.exp(-((t - .7) / .1) ** 2)])
