@@ -178,7 +178,7 @@ FROM long WINDOW w AS (PARTITION BY vec_id)""")
 def stream_scores(spark, folder):
     """SNV of arriving spectra as a stream; the table is the stream's backlog."""
     source = table(spark, folder, "embeddings")
-    stream = scoring.sample_stream(spark, folder, source.schema, "embeddings.parquet")
+    stream = scoring.table_stream(spark, f"{folder}/embeddings.parquet", source.schema)
     samples = stream.select(F.col("vec_id").alias("ix"), F.col("embedding").cast("array<double>").alias("x"))
     ds = spectra(spark, folder)
     scored = scoring.score_stream(samples, lambda df: preprocess.snv(ds.with_df(df)).df)
@@ -196,7 +196,7 @@ def saved_model_scores(spark, folder):
     path = _folder(spark, "saved")
     models.save_model(spark, [scale, latent.pca(scaled, 3)], path)
     scale, model = models.load_model(spark, path)
-    stream = scoring.sample_stream(spark, folder, table(spark, folder, "embeddings").schema, "embeddings.parquet")
+    stream = scoring.table_stream(spark, f"{folder}/embeddings.parquet", table(spark, folder, "embeddings").schema)
     samples = stream.select(F.col("vec_id").alias("ix"), F.col("embedding").cast("array<double>").alias("x"))
     out = _folder(spark, "scores")
     scoring.write_scores(scoring.score_stream(samples, scale.transform, model.transform), out, uuid.uuid4().hex,

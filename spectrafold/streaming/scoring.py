@@ -23,6 +23,13 @@ def sample_stream(spark: SparkSession, folder: str, schema, pattern: str | None
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
+    """A stream of a Parquet table, which is one file or a folder of files."""
+    # a pattern: the stream takes a plain path for a folder
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{{{name}}}")
+
+
 def score_stream(stream: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Chain fitted transforms: preprocessing first, the model last."""
     for step in steps:

@@ -56,3 +56,18 @@ def test_pca_curve_ends_at_the_rank(spark, cv):
     _, curve, _ = latent.pca_cv(samples(spark, x), 6, cv)
     found = [r["rmse_cv"] for r in curve.orderBy("component").collect()]
     assert len(found) == 3 and found[-1] < 1e-6 and found == sorted(found, reverse=True)
+
+
+def test_streams_of_tables_in_one_file_and_in_several(spark, tmp_path):
+    from spectrafold.plans import QUERIES
+
+    rows = [(i, [float((i * j) % 7) + 0.1 * j for j in range(64)], i % 3) for i in range(12)]
+    schema = "vec_id long, embedding array<float>, label int"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "many" / "embeddings.parquet"))
+    one = tmp_path / "one"
+    one.mkdir()
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("part-*.parquet")).rename(one / "embeddings.parquet")
+    for name, count in (("saved_model_scores", 12), ("stream_scores", 12 * 64)):
+        found = [sorted(map(tuple, QUERIES[name](spark, str(folder)).collect())) for folder in (tmp_path / "many", one)]
+        assert found[0] == found[1] and len(found[0]) == count
