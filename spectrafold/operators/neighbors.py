@@ -2,8 +2,8 @@
 
 No cross join and no pair table: tasks compare blocks with blocks and hand on the k best, or
 sums. A training side of checked size is broadcast. Beyond that it is cut into rings of bounded
-size around pivots, and the triangle inequality tells which rings a query must visit (after Lu
-et al. 2012, kNN joins in MapReduce). Both ways are exact.
+size around pivots, and the triangle inequality tells which groups of rings a query must visit
+(after Lu et al. 2012, kNN joins in MapReduce). Both ways are exact.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..arrays import block, column_of, map_blocks, vector
 from ..dataset import Dataset
+from ..session import durable
 from .moments import moments
 from .ordering import rank_within
 from .stats import exact_quantiles
@@ -28,8 +29,14 @@ BROADCAST_BYTES = 64 << 20   # largest training block a task may hold whole
 RING_ROWS = 2048             # training rows per ring
 MAX_RINGS = 1_000_000        # beyond, rings grow instead of their table
 QUERY_ROWS = 4096            # queries per (ring, chunk) group
+GROUP_ROWS = 65_536          # rows of either side in a cell of the block join
+_SIDE = 8                    # blocks a side is cut into at least, so that there are cells for many tasks
 _PIVOTS = 256
 _WORK_BYTES = 32 << 20       # temporary distance cells per step
+_TILE = 8192                 # training rows compared in one product
+_TILE_32 = 2048              # training rows compared variable by variable, with as many queries as stay in cache
+_QUERIES_32 = 128
+_EPS_32 = 1.2e-7
 _UNDERFLOW = 38.7            # exp(-t²/2) is 0 in double precision beyond this t
 
 
@@ -87,6 +94,28 @@ class Metric:
             out[a:a + step] = d
         return out
 
+    def paired(self, q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Distances of row i to row i by plain differences, in steps of bounded memory."""
+        out = np.empty(len(q))
+        step = max(1, _WORK_BYTES // (8 * max(1, q.shape[1])))
+        for a in range(0, len(q), step):
+            x, y = q[a:a + step], t[a:a + step]
+            if self.name == "chord" and self.raw_zero:
+                diff = x[:, :-1] - y[:, :-1]
+                d = np.sqrt((diff * diff).sum(1))
+                d = np.where((x[:, -1] == 0) | (y[:, -1] == 0), np.abs(x[:, -1] - y[:, -1]), d)
+            elif self.name == "manhattan":
+                d = np.abs(x - y).sum(1)
+            elif self.name == "chebyshev":
+                d = np.abs(x - y).max(1)
+            elif self.name == "minkowski":
+                d = (np.abs(x - y) ** self.p).sum(1) ** (1 / self.p)
+            else:
+                diff = x - y
+                d = np.sqrt((diff * diff).sum(1))
+            out[a:a + step] = d
+        return out
+
     @property
     def euclidean(self) -> bool:
         return self.name in ("euclidean", "mahalanobis") or (self.name == "chord" and not self.raw_zero)
@@ -109,44 +138,201 @@ def metric(train: DataFrame, name: str = "euclidean", p: float = 3.0, width: int
 
 # --- block kernels ------------------------------------------------------------------------
 
-def _nearest(m: Metric, q, q_not, t, t_ix, t_not, k: int):
+class _Rough:
+    """Quick keys that grow with the distances, and how far a key may be off.
+
+    Euclidean keys are squares from one matrix product, in single precision if ``single``; those of the other norms
+    are sums (or maxima) in single precision, variable by variable. What neither can bound is measured by differences.
+    """
+
+    def __init__(self, m: Metric, q: np.ndarray, t: np.ndarray, single: bool = False):
+        self.m, self.q, self.t = m, q, t
+        self.zero = m.name == "chord" and m.raw_zero
+        self.kind, self.power, self.lower = "direct", 1.0, None
+        largest = max(np.abs(q).max(initial=0), np.abs(t).max(initial=0)) if single else np.nan
+        if m.euclidean or self.zero:
+            self.kind, self.power = "product", 2.0
+            uq, ut = (q[:, :-1], t[:, :-1]) if self.zero else (q, t)
+            eps = 16e-16
+            if largest < 1e15:  # not so for NaN
+                centre = ut.mean(0)
+                uq, ut, eps = (uq - centre).astype(np.float32), (ut - centre).astype(np.float32), 4 * _EPS_32
+                eps *= 1 + np.abs(centre).max(initial=0) / max(np.abs(ut).max(initial=0), 1e-30)
+            self.uq, self.ut = uq, ut
+            self.qq, self.tt = (uq * uq).sum(1), (ut * ut).sum(1)
+            top = self.tt[np.isfinite(self.tt)].max(initial=0) + 1e-30
+            if self.zero:
+                self.q_zero, self.t_zero = q[:, -1] == 0, t[:, -1] == 0
+                if self.q_zero.any() or self.t_zero.any():
+                    top = top + np.square(np.abs(q[:, -1]) + np.abs(t[:, -1]).max(initial=0))
+            self.slack = eps * (uq.shape[1] + 4) * (self.qq.astype(float) + top)
+        elif (m.name != "minkowski" or 1 <= m.p <= 8) and largest < 1e4:
+            self.kind, self.power = "single", m.p if m.name == "minkowski" else 1.0
+            self.q32, self.t32 = q.astype(np.float32), np.ascontiguousarray(t.T.astype(np.float32))
+            # what is lost to rounding, and below the smallest single number
+            self.off = _EPS_32 * (np.abs(q).sum(1) + np.abs(t).sum(1).max(initial=0)) + (q.shape[1] * 1.2e-38) ** (1 / self.power)
+            self.rel = _EPS_32 * (q.shape[1] + 40) * 2
+            if m.name == "minkowski" and m.p >= 2:  # the plain distance bounds the others from below
+                self.lower, self.room = _Rough(Metric(), q, t, True), q.shape[1] ** (1 - 2 / m.p)
+
+    @property
+    def steps(self) -> tuple[int, int]:
+        """Queries and training rows that are compared at a time."""
+        most = _WORK_BYTES // (8 * max(1, len(self.t)))
+        if self.kind == "single":
+            return max(32, min(_QUERIES_32, most)), _TILE_32
+        return max(32, min(256, most)), _TILE if self.kind == "product" else _TILE_32
+
+    def _sums(self, a: int, to: int, b: int, end: int, limit: np.ndarray | None = None):
+        """Keys of all pairs, or, as soon as few pairs are within ``limit``, which ones, and their keys."""
+        out = np.zeros((to - a, end - b), np.float32)
+        gap = np.empty_like(out)
+        width = len(self.t32)
+        for j in range(width):
+            np.subtract(self.q32[a:to, j, None], self.t32[j, None, b:end], out=gap)
+            self._add(out, np.abs(gap, out=gap))
+            if limit is not None and j % 16 == 15 and j + 1 < width:
+                left = out <= limit[:, None]
+                if np.count_nonzero(left) * 16 < left.size:
+                    i, at = np.nonzero(left)
+                    own = out[i, at]
+                    for rest in range(j + 1, width):
+                        self._add(own, np.abs(self.q32[i + a, rest] - self.t32[rest, at + b]))
+                    return i, at, own
+        return out
+
+    def _add(self, out: np.ndarray, gap: np.ndarray) -> None:
+        if self.m.name == "chebyshev":
+            np.maximum(out, gap, out=out)
+        elif self.power == 1:
+            out += gap
+        elif self.power == int(self.power):
+            whole = gap * gap
+            for _ in range(int(self.power) - 2):
+                whole *= gap
+            out += whole
+        else:
+            out += np.power(gap, self.power)
+
+    def keys(self, a: int, to: int, b: int, end: int) -> np.ndarray:
+        if self.kind == "single":
+            return self._sums(a, to, b, end)
+        if self.kind == "direct":
+            return self.m.direct(self.q[a:to], self.t[b:end])
+        out = (-2 * self.uq[a:to]) @ self.ut[b:end].T
+        out += self.qq[a:to, None]
+        out += self.tt[None, b:end]
+        if self.zero and (self.q_zero[a:to].any() or self.t_zero[b:end].any()):
+            gap = np.square(self.q[a:to, -1][:, None] - self.t[b:end, -1][None, :])
+            out = np.where(self.q_zero[a:to, None] | self.t_zero[None, b:end], gap, out)
+        return out
+
+    def within(self, a: int, to: int, b: int, end: int, limit: np.ndarray):
+        """(query, training row, key) of the pairs whose key is at most ``limit``, and maybe of others beyond."""
+        if self.lower is not None:
+            far = limit ** (2 / self.power) * self.room
+            i, at, _ = self.lower.within(a, to, b, end, self.lower.wide(far, a, to))
+            if len(i) * 24 < (to - a) * (end - b):
+                own = np.zeros(len(i), np.float32)
+                for j in range(len(self.t32)):
+                    self._add(own, np.abs(self.q32[i + a, j] - self.t32[j, at + b]))
+                return i, at, own
+        found = self._sums(a, to, b, end, limit) if self.kind == "single" else self.keys(a, to, b, end)
+        if isinstance(found, tuple):
+            return found
+        with np.errstate(over="ignore"):
+            i, at = np.nonzero(found <= np.nextafter(limit.astype(found.dtype), np.array(np.inf, found.dtype))[:, None])
+        return i, at, found[i, at]
+
+    def wide(self, key: np.ndarray, a: int, to: int) -> np.ndarray:
+        """A bound on the keys of all pairs that are no farther than those of key ``key``."""
+        key = np.where(np.isnan(key), np.inf, key).astype(float)
+        if self.kind == "product":
+            return key + 2 * self.slack[a:to]
+        if self.kind == "direct":
+            return key
+        off = self.off[a:to]
+        far = ((np.maximum(key, 0) ** (1 / self.power) * (1 + self.rel) + off) * (1 + self.rel) + off)
+        return far ** self.power * (1 + self.rel)
+
+    def of(self, d: np.ndarray, a: int, to: int) -> np.ndarray:
+        """A bound on the keys of all pairs no farther than ``d``."""
+        return self.wide(d ** self.power, a, to)
+
+
+def _candidates(rough: _Rough, a: int, to: int, q_not, t_not, k: int, theta):
+    """(query, training row, key) of all pairs that may be among the k nearest of queries ``a`` to ``to``."""
+    tile, n = rough.steps[1], len(rough.t)
+    limit = np.full(to - a, np.inf) if theta is None else rough.of(theta[a:to], a, to)
+    parts = []
+    for b in range(0, n, tile):
+        end = min(b + tile, n)
+        if b == 0 and k <= end:
+            key = rough.keys(a, to, b, end)
+            if q_not is not None:
+                key = np.where(q_not[a:to, None] == t_not[None, :end], np.inf, key)
+            limit = np.minimum(limit, rough.wide(np.partition(key, k - 1, axis=1)[:, k - 1], a, to))
+            i, at = np.nonzero(key <= limit[:, None])
+            own = key[i, at]
+        else:
+            i, at, own = rough.within(a, to, b, end, limit)
+        keep = np.isfinite(own)
+        if q_not is not None:
+            keep &= q_not[i + a] != t_not[at + b]
+        parts.append((i[keep], at[keep] + b, own[keep]))
+        done = b // tile + 1
+        if done > 1 and done & (done - 1) == 0 and end < n:  # after 2, 4, 8 tiles the limit is drawn closer
+            parts = [_ordered(parts)]
+            limit = np.minimum(limit, rough.wide(_kth(parts[0][0], parts[0][2], to - a, k), a, to))
+            keep = parts[0][2] <= limit[parts[0][0]]
+            parts = [tuple(c[keep] for c in parts[0])]
+    return _ordered(parts)
+
+
+def _ordered(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, at, own = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((own, i))
+    return i[order], at[order], own[order].astype(float)
+
+
+def _kth(near_q: np.ndarray, key: np.ndarray, queries: int, k: int) -> np.ndarray:
+    """The k-th key of each query, infinite where there are fewer."""
+    start, end = (np.searchsorted(near_q, np.arange(queries), side=s) for s in ("left", "right"))
+    enough = end - start >= k
+    out = np.full(queries, np.inf)
+    out[enough] = key[start[enough] + k - 1]
+    return out
+
+
+def _nearest(m: Metric, q, q_not, t, t_ix, t_not, k: int, theta=None):
     """Per query the k nearest (distance, then training position) of a block.
 
-    A pair with equal ``q_not`` and ``t_not`` (None: no exclusion) does not count. Euclidean blocks are ranked by one matrix product; every pair within its rounding error of
+    A pair with equal ``q_not`` and ``t_not`` (None: no exclusion) does not count; ``theta`` is a distance per query
+    beyond which rows need not be found. Pairs are ranked by quick keys; every pair within their error of
     the k-th is then measured again by differences, so the result is that of plain distances.
     """
     rows_q, rows_t, dist = [], [], []
-    step = max(1, _WORK_BYTES // (8 * max(1, len(t))))
-    tt = (t * t).sum(1)
-    for a in range(0, len(q), step):
-        part = q[a:a + step]
-        same = None if q_not is None else q_not[a:a + step, None] == t_not[None, :]
-        if m.euclidean:
-            qq = (part * part).sum(1)
-            rough = qq[:, None] + tt[None, :] - 2 * part @ t.T
-            if same is not None:
-                rough = np.where(same, np.inf, rough)
-            kk = min(k, rough.shape[1])
-            edge = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
-            slack = 4e-16 * (part.shape[1] + 4) * (qq + tt.max(initial=0)) * 4
-            near_q, near_t = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
-            d = np.empty(len(near_q))
-            size = max(1, _WORK_BYTES // (8 * max(1, part.shape[1])))
-            for b in range(0, len(near_q), size):
-                diff = part[near_q[b:b + size]] - t[near_t[b:b + size]]
-                d[b:b + size] = np.sqrt((diff * diff).sum(1))
-        else:
-            full = m.direct(part, t)
-            if same is not None:
-                full = np.where(same, np.inf, full)
-            kk = min(k, full.shape[1])
-            edge = np.partition(full, kk - 1, axis=1)[:, kk - 1]
-            near_q, near_t = np.nonzero((full <= edge[:, None]) & np.isfinite(full))
-            d = full[near_q, near_t]
+    rough, fine = _Rough(m, q, t, True), None
+    step = rough.steps[0]
+    for a in range(0, len(q) if len(t) else 0, step):
+        to = min(a + step, len(q))
+        used = rough
+        for used in (rough, None):
+            if used is None:  # single precision tells too few pairs apart
+                used = fine = fine or _Rough(m, q, t)
+            near_q, near_t, key = _candidates(used, a, to, q_not, t_not, k, theta)
+            keep = key <= used.wide(_kth(near_q, key, to - a, k), a, to)[near_q]
+            if used is not rough or rough.kind != "product" or keep.sum() <= 16 * (k + 8) * (to - a):
+                break
+        near_q, near_t = near_q[keep], near_t[keep]
+        d = np.empty(len(near_q))
+        size = max(1, _WORK_BYTES // (8 * max(1, q.shape[1])))
+        for b in range(0, len(near_q), size):
+            d[b:b + size] = m.paired(q[near_q[b:b + size] + a], t[near_t[b:b + size]])
         order = np.lexsort((t_ix[near_t], d, near_q))
         near_q, near_t, d = near_q[order], near_t[order], d[order]
         start = np.searchsorted(near_q, near_q, side="left")
-        first = np.arange(len(near_q)) - start < k
+        first = (np.arange(len(near_q)) - start < k) & np.isfinite(d)
         rows_q.append(near_q[first] + a)
         rows_t.append(near_t[first])
         dist.append(d[first])
@@ -155,23 +341,55 @@ def _nearest(m: Metric, q, q_not, t, t_ix, t_not, k: int):
     return np.concatenate(rows_q), np.concatenate(rows_t), np.concatenate(dist)
 
 
+def _in_range(m: Metric, kind: str, d, par):
+    return d <= par if kind == "radius" else 1.0 / (1.0 + d) > par
+
+
 def _weighted(m: Metric, kind: str, q, q_not, q_par, t, t_not, t_y, h: float):
-    """Per query Σw and Σw·y of a block under a range or kernel weight."""
+    """Per query Σw and Σw·y of a block under a range or kernel weight.
+
+    Euclidean distances come from matrix products; pairs within the error of a limit are measured by differences.
+    """
     sw = np.zeros(len(q))
     swy = np.zeros((len(q), t_y.shape[1]))
-    step = max(1, _WORK_BYTES // (8 * max(1, len(t))))
+    rough = _Rough(m, q, t) if m.euclidean else None
+    if rough is not None and kind == "kernel" and not np.all(rough.slack < 1e-10 * h * h):
+        rough = None
+    tile = _TILE if rough is not None else max(1, len(t))
+    step = max(1, _WORK_BYTES // (8 * max(1, min(tile, len(t)))))
+    if kind != "kernel":
+        with np.errstate(divide="ignore"):
+            reach = q_par if kind == "radius" else np.where(q_par > 0, 1 / q_par - 1, np.inf)
     for a in range(0, len(q), step):
-        d = m.direct(q[a:a + step], t)
-        if kind == "radius":
-            w = (d <= q_par[a:a + step, None]).astype(float)
-        elif kind == "similarity":
-            w = (1.0 / (1.0 + d) > q_par[a:a + step, None]).astype(float)
-        else:
-            w = np.exp(-0.5 * np.square(np.maximum(d, 1e-12) / h))
-        if q_not is not None:
-            w = np.where(q_not[a:a + step, None] == t_not[None, :], 0.0, w)
-        sw[a:a + step] = w.sum(1)
-        swy[a:a + step] = w @ t_y
+        to = min(a + step, len(q))
+        for b in range(0, len(t), tile):
+            end = min(b + tile, len(t))
+            if rough is None:
+                d = m.direct(q[a:to], t[b:end])
+                w = np.exp(-0.5 * np.square(np.maximum(d, 1e-12) / h)) if kind == "kernel" else \
+                    _in_range(m, kind, d, q_par[a:to, None]).astype(float)
+            elif kind == "kernel":
+                w = rough.keys(a, to, b, end)
+                np.maximum(w, 0, out=w)
+                w *= -0.5 / (h * h)
+                np.exp(w, out=w)
+            else:
+                key = rough.keys(a, to, b, end)
+                # beyond any error of the limit itself
+                square = reach[a:to] * reach[a:to]
+                with np.errstate(invalid="ignore"):
+                    slack = rough.slack[a:to] + 1e-12 * np.where(np.isfinite(square), square + reach[a:to] + 1, 0)
+                w = (key <= square[:, None]).astype(float)
+                i, j = np.nonzero((key <= (square + slack)[:, None]) & (key >= (square - slack)[:, None]) & np.isfinite(square)[:, None])
+                if len(i):
+                    size = max(1, _WORK_BYTES // (8 * max(1, q.shape[1])))
+                    for c in range(0, len(i), size):
+                        x, y = i[c:c + size], j[c:c + size]
+                        w[x, y] = _in_range(m, kind, m.paired(q[x + a], t[y + b]), q_par[x + a])
+            if q_not is not None:
+                w = np.where(q_not[a:to, None] == t_not[None, b:end], 0.0, w)
+            sw[a:to] += w.sum(1)
+            swy[a:to] += w @ t_y[b:end]
     return sw, swy
 
 
@@ -234,10 +452,10 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, m: Metric, width: int
         return queries.mapInArrow(search, schema)
     rings = Rings(train, m, width, n, carry)
     first = rings.search(rings.home(queries), k, exclude)
-    # the k-th distance met at home bounds the search everywhere else
+    # the k-th distance met at home bounds the search everywhere
     bound = first.groupBy("q_ix").agg(F.when(F.count("*") >= k, F.max("d")).alias("theta"))
-    rest = rings.visits(queries.join(bound, queries["ix"] == bound["q_ix"], "left").drop("q_ix"), skip_home=True)
-    found = first.unionByName(rings.search(rest, k, exclude))
+    visits = rings.visits(queries.join(bound, queries["ix"] == bound["q_ix"], "left").drop("q_ix"))
+    found = rings.search(visits, k, exclude, grouped=True)
     w = W.partitionBy("q_ix").orderBy("d", "t_ix")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -284,7 +502,7 @@ def range_sums(queries: DataFrame, train: DataFrame, kind: str, m: Metric, width
                             m.prepare(block(right["x"])), _keys(right, exclude), block(right["y"]), h)
         return pa.table({"q_ix": left["ix"], "sw": column_of(sw), "swy": column_of(swy)})
 
-    parts = rings.pairs(visits, add, schema)
+    parts = rings.pairs(visits, add, schema, grouped=True)
     sums = [F.sum(F.get("swy", F.lit(i))).alias(f"_s{i}") for i in range(responses)]
     return (parts.groupBy("q_ix").agg(F.sum("sw").alias("sw"), *sums)
             .select("q_ix", "sw", F.array(*[F.col(f"_s{i}") for i in range(responses)]).alias("swy")))
@@ -314,6 +532,7 @@ class Rings:
 
     def __init__(self, train: DataFrame, m: Metric, width: int, n: int, carry: list[str]):
         self.m, self.carry = m, carry
+        self.side = max(RING_ROWS, min(GROUP_ROWS, -(-n // _SIDE)))
         spark = train.sparkSession
         count = max(1, min(_PIVOTS, n // RING_ROWS + 1))
         sample = train.select("x", "ix").orderBy(F.xxhash64("ix"), "ix").limit(count).toArrow()
@@ -332,22 +551,26 @@ class Rings:
 
         celled = map_blocks(train, assign, [("cell", "long"), ("dp", "double")], ["x"], train.columns)
         ranked = rank_within(celled, "cell", [F.col("dp"), F.col("ix")], "_r")
-        ringed = ranked.withColumn("_no", F.floor(F.col("_r") / max(RING_ROWS, -(-n // MAX_RINGS))))
+        ringed = durable(ranked.withColumn("_no", F.floor(F.col("_r") / max(RING_ROWS, -(-n // MAX_RINGS)))))
         table = (ringed.groupBy("cell", "_no").agg(F.min("dp").alias("lo"), F.max("dp").alias("hi"),
                                                    F.count("*").alias("n")).orderBy("cell", "_no").collect())
         ids = {(r["cell"], r["_no"]): i for i, r in enumerate(table)}
-        lookup = spark.createDataFrame([(c, b, i) for (c, b), i in ids.items()], "cell long, _no long, ring long")
-        self.rows = ringed.join(lookup, ["cell", "_no"]).select("ring", *train.columns)
+        # runs of rings, of about ``side`` rows
+        before = np.cumsum([0] + [r["n"] for r in table[:-1]])
+        group = np.unique(before // self.side, return_inverse=True)[1]
+        lookup = spark.createDataFrame([(c, b, i, int(group[i])) for (c, b), i in ids.items()], "cell long, _no long, ring long, group long")
+        self.rows = ringed.join(F.broadcast(lookup), ["cell", "_no"]).select("ring", "group", *train.columns)
         cell = np.array([r["cell"] for r in table])
         self.rings = spark.sparkContext.broadcast((
             cell, np.where(cell < 0, 0.0, [r["lo"] for r in table]),
             np.where(cell < 0, np.inf, [r["hi"] for r in table])))
+        self.starts = np.flatnonzero(np.diff(group, prepend=-1))
 
-    def _rows_for(self, queries: DataFrame, choose) -> DataFrame:
-        """One row per (query, ring) chosen by ``choose(distances to pivots, batch) -> mask``."""
+    def _rows_for(self, queries: DataFrame, choose, place: str) -> DataFrame:
+        """One row per (query, ring or group) chosen by ``choose(distances to pivots, batch) -> mask``."""
         m, held, rings = self.m, self.pivots, self.rings
         base = queries.schema
-        schema = T.StructType([T.StructField("ring", T.LongType())] + list(base.fields))
+        schema = T.StructType([T.StructField(place, T.LongType())] + list(base.fields))
 
         def run(batches):
             for batch in batches:
@@ -363,16 +586,16 @@ class Rings:
                     for a in range(0, len(q), 10_000):
                         taken = part.take(pa.array(q[a:a + 10_000]))
                         yield pa.RecordBatch.from_arrays([pa.array(r[a:a + 10_000]), *taken.columns],
-                                                         names=["ring", *base.names])
+                                                         names=[place, *base.names])
 
         return queries.mapInArrow(run, schema)
 
     def home(self, queries: DataFrame) -> DataFrame:
-        return self._rows_for(queries, lambda d, odd, batch, rings: _home_ring(d, rings))
+        return self._rows_for(queries, lambda d, odd, batch, rings: _home_ring(d, rings), "ring")
 
-    def visits(self, queries: DataFrame, skip_home: bool = False) -> DataFrame:
-        """Rings that may hold a row within ``theta`` (NULL: unbounded) of the query."""
-        bounded = self.m.bounded
+    def visits(self, queries: DataFrame) -> DataFrame:
+        """Groups of rings that may hold a row within ``theta`` (NULL: unbounded) of the query."""
+        bounded, starts = self.m.bounded, self.starts
 
         def choose(to_pivot, odd, batch, rings):
             cell, lo, hi = rings
@@ -387,27 +610,28 @@ class Rings:
                 least = np.maximum(least, (to - to_pivot.min(1)[:, None]) / 2)
                 least = np.where(cell[None, :] < 0, 0.0, least)
                 mask = least <= theta + 1e-9 * (1 + to)
-            return mask & ~_home_ring(to_pivot, rings) if skip_home else mask
+            return np.logical_or.reduceat(mask, starts, axis=1)
 
-        return self._rows_for(queries, choose)
+        return self._rows_for(queries, choose, "group")
 
-    def pairs(self, visits: DataFrame, fn, schema) -> DataFrame:
-        """Run ``fn(query table, ring table)`` on groups of bounded size on both sides."""
-        chunks = (visits.groupBy("ring").count()
-                  .select("ring", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("_chunks")))
-        left = (visits.join(chunks, "ring")
+    def pairs(self, visits: DataFrame, fn, schema, grouped: bool = False) -> DataFrame:
+        """Run ``fn(query table, table of a ring or group)`` on blocks of bounded size on both sides."""
+        place, most = ("group", self.side) if grouped else ("ring", QUERY_ROWS)
+        chunks = (visits.groupBy(place).count()
+                  .select(place, F.ceil(F.col("count") / most).cast("int").alias("_chunks")))
+        left = (visits.join(F.broadcast(chunks), place)
                 .withColumn("_chunk", F.pmod(F.xxhash64("ix", F.lit(17)), F.col("_chunks")).cast("int"))
                 .drop("_chunks"))
-        right = (self.rows.join(chunks, "ring")
+        right = (self.rows.drop("ring" if grouped else "group").join(F.broadcast(chunks), place)
                  .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks"))
 
         def run(a: pa.Table, b: pa.Table) -> pa.Table:
             return fn(a, b)
 
-        return (left.groupBy("ring", "_chunk").cogroup(right.groupBy("ring", "_chunk"))
+        return (left.groupBy(place, "_chunk").cogroup(right.groupBy(place, "_chunk"))
                 .applyInArrow(run, schema))
 
-    def search(self, visits: DataFrame, k: int, exclude: str | None) -> DataFrame:
+    def search(self, visits: DataFrame, k: int, exclude: str | None, grouped: bool = False) -> DataFrame:
         m, carry = self.m, self.carry
         schema = _schema(self.rows, carry, _PAIR)
         target = to_arrow_schema(schema)
@@ -416,13 +640,17 @@ class Rings:
             if left.num_rows == 0 or right.num_rows == 0:
                 return target.empty_table()
             q_ix, t_ix = vector(left["ix"]), vector(right["ix"])
+            theta = None
+            if grouped:
+                theta = vector(left["theta"]).astype(float)
+                theta = np.where(np.isnan(theta), np.inf, theta)
             a, b, d = _nearest(m, m.prepare(block(left["x"])), _keys(left, exclude), m.prepare(block(right["x"])), t_ix,
-                               _keys(right, exclude), k)
+                               _keys(right, exclude), k, theta)
             return pa.Table.from_arrays([pa.array(q_ix[a]), pa.array(t_ix[b]), pa.array(d),
                                          *[right[c].combine_chunks().take(pa.array(b)) for c in carry]],
                                         schema=target)
 
-        return self.pairs(visits, best, schema)
+        return self.pairs(visits, best, schema, grouped)
 
 
 # --- local regression ---------------------------------------------------------------------
@@ -430,16 +658,18 @@ class Rings:
 def local_predict(queries: DataFrame, train: DataFrame, method: str = "knn", k: int = 5, power: float = 1.0,
                   alpha: float = 1.0, radius: float = 1.0, bandwidth: float = 1.0, distance: str = "euclidean",
                   p: float = 3.0, width: int | None = None, responses: int | None = None,
-                  exclude: str | None = None, strategy: str | None = None) -> DataFrame:
+                  exclude: str | None = None, strategy: str | None = None, near: DataFrame | None = None) -> DataFrame:
     """(ix, yhat) by knn, idw, adaptive, radius or kernel averaging of the training responses.
 
-    ``exclude='ix'`` predicts each training row without itself, ``'fold'`` without its fold.
+    ``exclude='ix'`` predicts each training row without itself, ``'fold'`` without its fold. ``near``: the
+    ``shared_neighbors`` of these rows, of as many or more neighbours; knn and idw then need no join of their own.
     """
     if width is None or responses is None:
         first = train.select(F.size("x").alias("p"), F.size("y").alias("q")).first()
         width, responses = first["p"], first["q"]
-    m = metric(train, distance, p, width)
-    near = lambda kk: knn_join(queries, train, kk, m, width, ["y"], exclude, strategy)
+    shared = near if method in ("knn", "idw") else None
+    m = metric(train, distance, p, width) if shared is None else None
+    near = lambda kk: knn_join(queries, train, kk, m, width, ["y"], exclude, strategy) if shared is None else shared.filter(F.col("rank") <= kk)
     pick = lambda i: F.get("y", F.lit(i))
     power, alpha = max(power, 1e-12), max(alpha, 1e-12)
     radius, bandwidth = max(radius, 1e-12), max(bandwidth, 1e-12)
@@ -488,6 +718,12 @@ def local_predict(queries: DataFrame, train: DataFrame, method: str = "knn", k:
         for i in range(responses)]).alias("yhat"))
 
 
+def shared_neighbors(queries: DataFrame, train: DataFrame, k: int, width: int, exclude: str | None = None,
+                     distance: str = "euclidean", p: float = 3.0, strategy: str | None = None) -> DataFrame:
+    """The k nearest rows and their responses, written out for several calls of ``local_predict``."""
+    return durable(knn_join(queries, train, k, metric(train, distance, p, width), width, ["y"], exclude, strategy))
+
+
 def local_path(queries: DataFrame, train: DataFrame, method: str, values: list, width: int, responses: int,
                exclude: str | None = None, **hp) -> DataFrame:
     """Predictions of all candidates as one array (candidate-major).
