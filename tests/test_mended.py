@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from helpers import samples
+from pyspark.sql import functions as F
 
 from spectrafold.operators import ensemble, latent, parafac, splits, stats
 from spectrafold.operators.folds import CV
@@ -71,3 +72,61 @@ def test_streams_of_tables_in_one_file_and_in_several(spark, tmp_path):
     for name, count in (("saved_model_scores", 12), ("stream_scores", 12 * 64)):
         found = [sorted(map(tuple, QUERIES[name](spark, str(folder)).collect())) for folder in (tmp_path / "many", one)]
         assert found[0] == found[1] and len(found[0]) == count
+
+
+@pytest.mark.parametrize("name,p,raw", [("euclidean", 3.0, False), ("chord", 3.0, True), ("manhattan", 3.0, False), ("chebyshev", 3.0, False),
+                                        ("minkowski", 3.0, False), ("minkowski", 2.5, False), ("minkowski", 0.5, False)])
+def test_nearest_of_many_tiles_equals_plain_differences(monkeypatch, name, p, raw):
+    from spectrafold.operators import neighbors
+    monkeypatch.setattr(neighbors, "_TILE", 32)
+    monkeypatch.setattr(neighbors, "_TILE_32", 32)
+    rng = np.random.default_rng(31)
+    for offset, size in ((0.0, 1.0), (1e3, 1e-4), (0.0, 1e-9), (0.0, 1e30)):   # also what single precision cannot tell apart
+        x = offset + size * np.vstack([rng.normal(size=(220, 20)), np.repeat(rng.normal(size=(1, 20)), 60, axis=0)])
+        x[7] = x[9] = 0
+        m = neighbors.Metric(name, p, None, raw)
+        z, ix = m.prepare(x), np.arange(len(x))[::-1]
+        d = m.direct(z, z)
+        np.fill_diagonal(d, np.inf)
+        order = np.lexsort((np.broadcast_to(ix, d.shape), d), axis=1)[:, :5]
+        best = np.take_along_axis(d, order, axis=1)
+        for theta in (None, best[:, -1]):
+            q, t, found = neighbors._nearest(m, z, ix, z, ix, ix, 5, theta)
+            assert (q.reshape(-1, 5) == np.arange(len(x))[:, None]).all() and (t.reshape(-1, 5) == order).all()
+            assert (found.reshape(-1, 5) == best).all()
+
+
+@pytest.mark.parametrize("kind,par", [("radius", 4.0), ("similarity", 0.2), ("kernel", 1.0)])
+def test_range_sums_equal_plain_differences(monkeypatch, kind, par):
+    from spectrafold.operators import neighbors
+    monkeypatch.setattr(neighbors, "_TILE", 32)
+    rng = np.random.default_rng(32)
+    x = np.vstack([np.round(rng.normal(size=(150, 12))), np.zeros((20, 12))])   # distances that meet the limit exactly
+    y, ix, m = rng.normal(size=(len(x), 2)), np.arange(len(x)), neighbors.Metric()
+    d = m.direct(x, x)
+    w = {"radius": d <= par, "similarity": 1 / (1 + d) > par, "kernel": np.exp(-0.5 * d ** 2)}[kind].astype(float)
+    np.fill_diagonal(w, 0)
+    sw, swy = neighbors._weighted(m, kind, x, ix, np.full(len(x), par), x, ix, y, 1.0)
+    assert np.allclose(sw, w.sum(1), atol=1e-12) and np.allclose(swy, w @ y, atol=1e-12)
+
+
+def test_rows_visit_groups_of_rings_and_not_each_ring(spark, monkeypatch):
+    from spectrafold.operators import neighbors
+    monkeypatch.setattr(neighbors, "RING_ROWS", 16)
+    df = samples(spark, np.random.default_rng(33).normal(size=(1024, 20))).df.withColumn("theta", F.lit(None).cast("double")).persist()
+    rings = neighbors.Rings(df, neighbors.Metric(), 20, 1024, [])
+    assert rings.visits(df).count() <= 9 * 1024   # each of some 64 rings before
+
+
+def test_members_and_candidates_share_one_neighbour_join(spark, tmp_path, monkeypatch):
+    from spectrafold.operators import neighbors
+    from spectrafold.plans import QUERIES
+    x = np.random.default_rng(34).normal(size=(40, 64))
+    rows = [(i, [float(v) for v in x[i]], i % 3) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    joins, plain = [], neighbors.knn_join
+    monkeypatch.setattr(neighbors, "knn_join", lambda *a, **hp: joins.append(a[2]) or plain(*a, **hp))
+    for name in ("ensemble_mean", "sweep_neighbours"):
+        joins.clear()
+        assert QUERIES[name](spark, str(tmp_path)).count() in (40, 3)
+        assert joins == [9]   # three before
