@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..functions.specs import number_list
+from ..session import durable
 from . import kernels, linear, neighbors, trees
 from .folds import CV, assign, test_rows, training_rows
 from .linear import LinearFit, curve, long_predictions
@@ -195,7 +196,8 @@ class Calibration:
         method = self.hp.get("method", "knn")
         folds = assign(cal, cv, n).select("ix", "x", "y", "fold")
         held = neighbors.local_path(folds, folds, method, values, ds.width, responses, "fold", **hp)
-        held = long_predictions(folds.drop("x").join(held, "ix"), values, responses)
+        # read for the choice and again for the curve
+        held = durable(long_predictions(folds.drop("x").join(held, "ix"), values, responses))
         own = neighbors.local_path(ds.df, ds.cal, method, values, ds.width, responses, **hp)
         keep = ("ix", "split") if ds.has("split") else ("ix",)
         whole = long_predictions(ds.df.drop("x").join(own, "ix"), values, responses, keep)
