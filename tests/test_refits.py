@@ -84,3 +84,15 @@ def test_trilinear_refits_do_not_depend_on_the_batch(spark):
     assert len(p) == 70 and all(np.allclose(p[i][0], q[i][0]) for i in p) and similar.table.count() == 4900
     r = np.abs(np.corrcoef(np.array([p[i][0] for i in range(70)]).T, a[:70].T)[:2, 2:])
     assert r.max(1).min() > 0.999 and sorted(r.argmax(1)) == [0, 1]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_blocks_of_models_are_compared_at_once(monkeypatch, k):
+    a, b = RNG(3).normal(size=(7, k, 6)), RNG(4).normal(size=(5, k, 6))
+    a[2] = 0
+    want = [[refits.matched_similarity(p, q) for q in b] for p in a]
+    calls = []
+    plain = refits.assignment
+    monkeypatch.setattr(refits, "assignment", lambda s: calls.append(1) or plain(s))
+    assert np.allclose(refits.block_similarities(a, b), want, atol=1e-14)
+    assert len(calls) == (35 if k > 4 else 0)   # one call a pair before
