@@ -226,6 +226,21 @@ def test_license_scan_learns_from_distinct_lines(spark):
     assert license_scan._ordinary(docs, spark).count() == 8 + 1600
 
 
+def test_license_scan_learns_from_all_lines(spark):
+    """More distinct lines than the sample of 4,000 held."""
+    rows = [(i, f"{cases.prose(i, 4)} of the license n{i} a\nof the license n{i} b") for i in range(3000)]
+    learnt = license_scan._ordinary(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()
+    assert len(learnt) == 6000 and {tuple(r["all"]) for r in learnt} == {("of the", "the license")}
+
+
+def test_license_scan_known_runs(spark, docs):
+    known = license_scan._vocabulary(spark)
+    some = license_scan.lines(docs).unionByName(license_scan.notices(spark).select("paragraph"))
+    plain = F.array_sort(F.array_intersect(license_scan.word_runs(F.col("paragraph")), F.array(*map(F.lit, known))))
+    both = some.select(license_scan._known_runs(F.col("paragraph"), known).alias("a"), plain.alias("b"))
+    assert both.filter("a <> b or a is null").count() == 0 and both.filter("size(a) > 10").count() > 0
+
+
 def test_key_words_miss_no_notice():
     words = license_scan.key_words(0.6)
     assert all(any(w in t.lower() for w in words) for texts in license_scan.NOTICES.values() for t in texts)
