@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import latent, preprocess
 from ..session import ensure_checkpoint_dir
-from ..sources import models, tables, text
+from ..sources import files, models, tables, text
 from ..sources.text import Format
 from ..streaming import scoring
 from .registry import LONG, long_x, query, r6, spectra, table
@@ -54,7 +54,7 @@ def read_vector_files(spark, folder):
     path = _folder(spark, "vectors")
     lines = spectra(spark, folder).df.select(
         F.col("ix").alias("vec_id"), F.concat_ws("\n", F.transform("x", lambda v: v.cast("string"))).alias("value"))
-    lines.repartitionByRange(8, "vec_id").write.mode("overwrite").partitionBy("vec_id").text(path)
+    _written(lines, "vec_id", path)
     rows = F.filter(F.split("value", "\n"), lambda s: F.trim(s) != "")
     sample = F.transform(rows, lambda s: text.number(s))
     vec = F.regexp_extract("file_path", "vec_id=([0-9]+)", 1).cast("long")
@@ -63,10 +63,22 @@ def read_vector_files(spark, folder):
         F.size(sample).cast("long").alias("n"))
 
 
+_FILES = 1000  # files that a task writes
+
+
+def _written(df, key: str, path: str) -> None:
+    """A file for each key; as many tasks as the rows need."""
+    spread = df.repartitionByRange(max(8, -(-df.count() // _FILES)), key)
+    if files.known(path):
+        files.write_each(spread, key, path)
+    else:
+        spread.write.mode("overwrite").partitionBy(key).text(path)
+
+
 def _as_files(df, path: str, value) -> None:
     """A file for each sample, named by its id."""
     name = F.lpad(F.col("ix").cast("string"), 12, "0").alias("name")
-    df.select(name, value.alias("value")).repartitionByRange(8, "name").write.mode("overwrite").partitionBy("name").text(path)
+    _written(df.select(name, value.alias("value")), "name", path)
 
 
 def _named(ds):

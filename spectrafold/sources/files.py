@@ -1,19 +1,21 @@
 """Measurement files as a Spark data source: planned by file and slice, parsed where they are read.
 
 ``measurement_lines`` gives the lines of files of any length: a long file is cut into slices of bytes, and a slice
-begins with the first line that starts in it. ``measurement_tensors`` gives a row for each sample that is a file or an
+begins with the first line that starts in it. ``measurement_contents`` gives whole files. ``measurement_tensors`` gives a row for each sample that is a file or an
 equal number of files: the task that reads the files also builds the tensor, so neither cells nor files are shuffled.
-Small files share a task up to ``PACK`` bytes. Planning lists the files and nothing else.
+Small files share a task up to ``PACK`` bytes, each counted with ``OPEN`` bytes more for opening it. Planning lists the files
+and nothing else, and of a local folder only what leads to the first file where no other is asked for.
 
 Files are opened by the file systems of Arrow (local, hdfs, s3, gs, abfs); ``known`` says whether a path has one.
+``write_each`` writes such files in tasks of Spark by the same file systems.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import heapq
 import json
 import os
-import posixpath
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SLICE = 64 << 20  # bytes of a long file that one task reads
 PACK = 32 << 20  # bytes of small files in one task
+OPEN = 64 << 10  # bytes that could be read while a file is opened: 512 small files in one task
+BATCH = 4 << 20  # bytes of small files in one batch of rows
 PIECE = 4 << 20  # bytes read at once
 SLICES = 200_000  # line counts that may be broadcast, some 10 MB
 BEYOND = 1 << 40  # line numbers after a file's first slice: this and the byte at which the line starts
@@ -67,6 +71,48 @@ class Found:
     created: float | None
 
 
+def _first_inside(folder: str) -> str | None:
+    """The first file of a local folder in path order."""
+    with os.scandir(folder) as entries:
+        inside = [(e.name + "/" * e.is_dir(), e.path) for e in entries if e.name[:1] not in "._"]
+    heapq.heapify(inside)
+    while inside:
+        name, path = heapq.heappop(inside)
+        first = _first_inside(path) if name.endswith("/") else path if os.path.isfile(path) else None
+        if first:
+            return first
+    return None
+
+
+def first_found(paths) -> list[Found]:
+    """The first of the files of the paths, if there is one."""
+    for given in listed(paths):
+        store, path = _opened(given)
+        if isinstance(store, fs.LocalFileSystem) and os.path.isdir(path):
+            first = _first_inside(path)
+            if first is None:
+                continue
+            info, times = store.get_file_info(first), os.stat(first)
+            return [Found(0, given, first, info.size, info.mtime.timestamp(), times.st_ctime)]
+        files = found([given])
+        if files:
+            return [files[0]]
+    return []
+
+
+def packed(items: list, size) -> list[Part]:
+    """Small items in parts of up to ``PACK`` bytes with those for opening; ``size`` gives an item's files and bytes."""
+    parts, pack, held = [], [], 0
+    for item in items:
+        n, own = size(item)
+        if pack and held + own + n * OPEN > PACK:
+            parts.append(Part(pack))
+            pack, held = [], 0
+        pack.append(item)
+        held += own + n * OPEN
+    return parts + ([Part(pack)] if pack or not parts else [])
+
+
 def found(paths) -> list[Found]:
     """The files of the paths in the given order; those of a folder or a pattern in path order."""
     out: list[Found] = []
@@ -84,7 +130,7 @@ def found(paths) -> list[Found]:
                     raise FileNotFoundError(given)
                 base, pattern = "/".join(parts[:k]) or "/", path
             inside = store.get_file_info(fs.FileSelector(base, recursive=True))
-            hidden = lambda p: any(n[:1] in "._" for n in posixpath.relpath(p, base).split("/"))
+            hidden = lambda p: re.search(r"/[._]", p[len(base.rstrip("/")):]) is not None
             infos = sorted((i for i in inside if i.type == fs.FileType.File and not hidden(i.path)
                             and (pattern is None or fnmatch.fnmatch(i.path, pattern) or fnmatch.fnmatch(i.path, pattern.rstrip("/") + "/*"))),
                            key=lambda i: i.path)
@@ -224,20 +270,10 @@ class LineReader(DataSourceReader):
         self.head = options.get("head", "false") == "true"
 
     def partitions(self):
-        files = found(self.paths)
-        if self.head:
-            files = files[:1]
-        parts, pack, size = [], [], 0
-        for f in files:
-            if f.size > self.slice:
-                parts += [Part([(f, a, min(a + self.slice, f.size))]) for a in range(0, f.size, self.slice)]
-                continue
-            pack.append((f, 0, f.size))
-            size += f.size
-            if size >= PACK:
-                parts.append(Part(pack))
-                pack, size = [], 0
-        return parts + ([Part(pack)] if pack or not parts else [])
+        files = first_found(self.paths) if self.head else found(self.paths)
+        long = [Part([(f, a, min(a + self.slice, f.size))]) for f in files if f.size > self.slice for a in range(0, f.size, self.slice)]
+        small = [(f, 0, f.size) for f in files if f.size <= self.slice]
+        return long + packed(small, lambda part: (1, part[2])) if small or not long else long
 
     def read(self, partition):
         for f, first, last in partition.files:
@@ -253,6 +289,60 @@ class LineReader(DataSourceReader):
                     schema=LINES)
 
 
+# -- whole files -------------------------------------------------------------------------
+
+CONTENTS = pa.schema([LINES.field(k) for k in ("file_no", "file_path", "file_size", "modified", "created", "value")])
+_CONTENTS_DDL = "file_no int, file_path string, file_size long, modified timestamp, created timestamp, value string"
+
+
+def _facts(files: list[Found], schema: pa.Schema) -> list[pa.Array]:
+    """file_no, file_path, file_size, modified and created of files."""
+    return [pa.array([f.number for f in files], pa.int32()), pa.array([f.path for f in files]), pa.array([f.size for f in files], pa.int64()),
+            pa.array([_time(f.modified) for f in files], schema.field("modified").type),
+            pa.array([_time(f.created) for f in files], schema.field("created").type)]
+
+
+def _content(file: Found) -> str:
+    store, _ = _opened(file.given if not re.search(r"[*?\[]", file.given) else file.path)
+    with store.open_input_file(file.path) as source:
+        return source.read().decode("utf-8", "replace")
+
+
+class ContentSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "measurement_contents"
+
+    def schema(self):
+        return _CONTENTS_DDL
+
+    def reader(self, schema):
+        return ContentReader(self.options)
+
+
+class ContentReader(DataSourceReader):
+    def __init__(self, options):
+        self.paths = json.loads(options["paths"])
+
+    def partitions(self):
+        return packed(found(self.paths), lambda f: (1, f.size))
+
+    def read(self, partition):
+        held, size = [], 0
+        for f in partition.files:
+            held.append((f, _content(f)))
+            size += f.size
+            if size >= BATCH:
+                yield self._rows(held)
+                held, size = [], 0
+        if held:
+            yield self._rows(held)
+
+    @staticmethod
+    def _rows(held):
+        return pa.RecordBatch.from_arrays([*_facts([f for f, _ in held], CONTENTS), pa.array([v for _, v in held], pa.string())], schema=CONTENTS)
+
+
 # -- tensors -----------------------------------------------------------------------------
 
 TENSORS = pa.schema([("ix", pa.int64()), ("file_no", pa.int32()), ("file_path", pa.string()), ("file_size", pa.int64()),
@@ -316,29 +406,57 @@ class TensorReader(DataSourceReader):
         files, each = found(self.paths), self.spec["files"]
         if len(files) % each:
             raise ValueError(f"{len(files)} files do not divide into groups of {each}")
-        parts, pack, size = [], [], 0
-        for k in range(0, len(files), each):
-            pack.append((k // each, files[k:k + each]))
-            size += sum(f.size for f in files[k:k + each])
-            if size >= PACK:
-                parts.append(Part(pack))
-                pack, size = [], 0
-        return parts + ([Part(pack)] if pack or not parts else [])
+        groups = [(k // each, files[k:k + each]) for k in range(0, len(files), each)]
+        return packed(groups, lambda group: (each, sum(f.size for f in group[1])))
 
     def read(self, partition):
+        held, size = [], 0
         for ix, files in partition.files:
             parts, real = [], None
             for f in files:
-                store, _ = _opened(f.given if not re.search(r"[*?\[]", f.given) else f.path)
-                with store.open_input_file(f.path) as source:
-                    own, real = file_matrix(source.read().decode("utf-8", "replace"), self.spec)
+                own, real = file_matrix(_content(f), self.spec)
                 parts.append(own)
-            tensor, f = stacked(parts, self.spec), files[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ix], pa.int64()), pa.array([f.number], pa.int32()), pa.array([f.path]), pa.array([f.size], pa.int64()),
-                 pa.array([_time(f.modified)], TENSORS.field("modified").type), pa.array([_time(f.created)], TENSORS.field("created").type),
-                 pa.array([list(tensor.shape)], pa.list_(pa.int32())), pa.array([tensor.reshape(-1)], pa.list_(pa.float64())),
-                 pa.array([None if real is None or len(files) > 1 else real.reshape(-1)], pa.list_(pa.bool_()))], schema=TENSORS)
+            tensor = stacked(parts, self.spec)
+            held.append((ix, files[0], list(tensor.shape), tensor.reshape(-1), None if real is None or len(files) > 1 else real.reshape(-1)))
+            size += tensor.nbytes
+            if size >= BATCH:
+                yield self._rows(held)
+                held, size = [], 0
+        if held:
+            yield self._rows(held)
+
+    @staticmethod
+    def _rows(held):
+        ix, files, shapes, tensors_, real = map(list, zip(*held))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ix, pa.int64()), *_facts(files, TENSORS), pa.array(shapes, pa.list_(pa.int32())),
+             pa.array(tensors_, pa.list_(pa.float64())), pa.array(real, pa.list_(pa.bool_()))], schema=TENSORS)
+
+
+def write_each(df: DataFrame, key: str, folder: str) -> None:
+    """The lines ``value`` of each key as a file ``key=.../part-0.txt``, written by the tasks that hold them (all rows of a key in one)."""
+    store, base = _opened(folder)
+    store.create_dir(base, recursive=True)
+    null = "__HIVE_DEFAULT_PARTITION__"
+
+    def run(batches):
+        last, out = None, None
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None or name != last:
+                    if out is not None:
+                        out.close()
+                    own, root = _opened(folder)
+                    place = f"{root}/{key}={null if name is None else name}"
+                    own.create_dir(place, recursive=True)
+                    last, out = name, own.open_output_stream(f"{place}/part-0.txt")
+                out.write(((value or "") + "\n").encode())
+        if out is not None:
+            out.close()
+        yield from ()
+
+    rows = df.sortWithinPartitions(key).select(F.col(key).cast("string").alias("k"), "value")
+    rows.mapInArrow(run, "k string").write.format("noop").mode("overwrite").save()
 
 
 def _session_slice(spark: SparkSession) -> int:
@@ -365,7 +483,7 @@ def numbered_lines(spark: SparkSession, paths, head: bool = False) -> DataFrame:
     The counts, a row a slice, are broadcast while there are no more than ``SLICES``; the lines are then not shuffled.
     """
     rows, size = lines(spark, paths, head), _session_slice(spark)
-    slices = [-(-f.size // size) for f in found(paths)]
+    slices = [-(-f.size // size) for f in (first_found(paths) if head else found(paths))]
     if max(slices, default=0) <= 1:
         return rows
     counts = rows.groupBy("file_no", "slice").agg(F.count(F.lit(1)).alias("_n"))
@@ -376,6 +494,12 @@ def numbered_lines(spark: SparkSession, paths, head: bool = False) -> DataFrame:
     return rows.join(shift, ["file_no", "slice"]).withColumn("line_no", F.col("place") + F.col("_before")).drop("_before")
 
 
+def contents(spark: SparkSession, paths) -> DataFrame:
+    """A row for each file: file facts and its whole text as ``value``."""
+    spark.dataSource.register(ContentSource)
+    return spark.read.format("measurement_contents").option("paths", json.dumps(listed(paths))).load()
+
+
 def tensors(spark: SparkSession, paths, spec: dict) -> DataFrame:
     """A row for each sample: ix, file facts, shape, x (C order) and, where cells are missing, real."""
     spark.dataSource.register(TensorSource)

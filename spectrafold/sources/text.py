@@ -126,6 +126,8 @@ def _spark_lines(spark: SparkSession, paths) -> DataFrame:
 
 def scan_files(spark: SparkSession, paths) -> DataFrame:
     """(file_path, file_no, value) with the whole content of each file."""
+    if source.known(paths):
+        return source.contents(spark, paths).drop("created")
     paths = _listed(paths)
     raw = spark.read.text(paths, wholetext=True).select(
         "value", _local_path(F.col("_metadata.file_path")).alias("file_path"),

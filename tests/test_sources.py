@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import samples, wide
 from spectrafold.operators import latent, mcr, preprocess, trees
-from spectrafold.sources import models, tables, text
+from spectrafold.sources import files, models, tables, text
 from spectrafold.sources.text import Format
 
 
@@ -180,3 +180,26 @@ def test_tensors_by_sparks_own_files(spark, tmp_path, monkeypatch):
     assert a.shape == b.shape == (6, 3) and a.info["format"] == b.info["format"]
     for c in ("x", "mask", "label"):
         assert wide(a.df, c).tolist() == wide(b.df, c).tolist()
+
+
+def test_small_files_are_spread_over_tasks(spark, tmp_path):
+    """1,500 small files: written as they are named, read by several tasks; detection lists what leads to the first file."""
+    rows = [(i, f"{i}\n{i + 0.5}") for i in range(1500)] + [(3, "7")]
+    files.write_each(spark.createDataFrame(rows, "name int, value string").repartitionByRange(3, "name"), "name", str(tmp_path))
+    assert files.first_found(str(tmp_path)) == files.found(str(tmp_path))[:1]
+    whole = text.scan_files(spark, str(tmp_path))
+    assert whole.rdd.getNumPartitions() == 3
+    got = {r["file_path"]: r["value"] for r in whole.collect()}
+    assert len(got) == 1500 and got[f"{tmp_path}/name=5/part-0.txt"] == "5\n5.5\n" and sorted(got[f"{tmp_path}/name=3/part-0.txt"].split()) == ["3", "3.5", "7"]
+    spec = {"separator": "comma", "header_rows": 0, "header_columns": 0, "layout": "x_vector", "transpose": False, "dims": None, "order": "F", "files": 1}
+    read = files.tensors(spark, str(tmp_path), spec)
+    assert read.rdd.getNumPartitions() == 3 and read.count() == 1500
+
+
+def test_first_file_in_path_order(tmp_path):
+    for name in ("a/z.txt", "a-b/y.txt", "_a/x.txt", "b.txt", "a/.c"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("1\n")
+    (tmp_path / "a-a").mkdir()
+    assert files.first_found([str(tmp_path)]) == files.found([str(tmp_path)])[:1]
+    assert files.first_found([str(tmp_path)])[0].path.endswith("a-b/y.txt")
