@@ -6,17 +6,19 @@ are moments and exact quantiles; scoring is row-local.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..arrays import few_tasks, map_blocks, sum_blocks
+from ..arrays import SALTS, block, few_tasks, lists, map_blocks, sum_blocks, vector
 from ..functions.distributions import chi2_quantile, f_quantile, normal_quantile
-from . import kernels, neighbors, ranks
+from . import kernels, neighbors
 from .folds import CV, assign, test_rows, training_rows
 from .linear import principal_axes
 from .moments import Moments, moments, total
@@ -386,7 +388,8 @@ def elliptic_envelope(df: DataFrame, n: int, width: int, contamination: float =
     """Minimum covariance determinant: C-steps of all starts over the whole table.
 
     Starts are ``_STARTS`` sets of ``width`` + 1 rows, drawn by hash over the whole table. A step finds the h-th
-    smallest distance of every start at once and takes the moments of the rows within it. After ``_TRIED`` steps, over all
+    smallest distance of every start at once and takes the moments of the rows within it, mostly in two passes over
+    packed rows (``_c_step``). After ``_TRIED`` steps, over all
     rows, the ``_BEST`` starts go on (Rousseeuw and Van Driessen, 1999); the smallest
     determinant is kept. The result is corrected for consistency and reweighted.
     """
@@ -437,8 +440,10 @@ def _elemental(df: DataFrame, n: int, width: int, centered: bool, seed: int) ->
 
 def _least_determinant(df: DataFrame, n: int, width: int, h: int, centered: bool, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Centre and covariance of the start whose C-steps end at the smallest determinant."""
-    few = few_tasks(df)
     state = _elemental(df, n, width, centered, seed)
+    guide = _guide(df, n, width), h / n
+    packed = _packed(df, width).persist()
+    few = few_tasks(packed)
     last = np.full(len(state), np.inf)
     active = list(range(len(state)))
     step = max(1, _HELD_MOMENTS // (1 + width + width * width))
@@ -448,7 +453,7 @@ def _least_determinant(df: DataFrame, n: int, width: int, h: int, centered: bool
         moving = []
         for at in range(0, len(active), step):
             group = active[at:at + step]
-            for k, (center, cov) in zip(group, _c_step(df, width, [state[k] for k in group], h, centered, few)):
+            for k, (center, cov) in zip(group, _c_step(packed, width, [state[k] for k in group], h, centered, few, guide)):
                 size = np.linalg.slogdet(cov + 1e-12 * np.trace(cov) / width * np.eye(width))[1]
                 state[k] = center, cov
                 if size < last[k] - 1e-7:
@@ -457,32 +462,195 @@ def _least_determinant(df: DataFrame, n: int, width: int, h: int, centered: bool
         active = moving
         if not active:
             break
+    packed.unpersist()
     return state[int(np.argmin(last))]
 
 
-def _c_step(df: DataFrame, width: int, starts: list[tuple[np.ndarray, np.ndarray]], h: int, centered: bool, few: bool):
-    """Centre and covariance of the h rows (and ties) that are nearest to each start."""
-    centers = [c for c, _ in starts]
-    inverses = [np.linalg.pinv(v, hermitian=True) for _, v in starts]
+_PACKED_BYTES = 1 << 20  # of rows that are packed as one
+_TILE = 4096             # rows whose distances are taken at once, so that they stay in cache
+_GUIDE = 16_384          # rows that tell about where a rank lies
+_BINS = 256              # cells that a pass cuts a range of distances into
+_LOOSE = 1 << 21         # numbers of single rows that may reach the driver in one pass
 
-    def distances(x):
-        return [np.maximum(np.einsum("ij,ij->i", (x - c) @ p, x - c), 0.0) for c, p in zip(centers, inverses)]
 
-    cuts = ranks.select(df, ["x"], lambda b: distances(b["x"]), {(k, h - 1) for k in range(len(starts))}, few, separate=True)
-    high = [cuts[k, h - 1] for k in range(len(starts))]
+def _packed(df: DataFrame, width: int) -> DataFrame:
+    """The rows as blocks of bytes (variables x rows), which passes read without converting rows."""
+    most = max(1, _PACKED_BYTES // (8 * width))
 
-    def sums(b):
-        out = []
-        for c, d, cut in zip(centers, distances(b["x"]), high):
-            z = b["x"][d <= cut] - c
-            out += [[float(len(z))], z.sum(axis=0), (z.T @ z).ravel()]
-        return np.concatenate(out)
-
-    found = sum_blocks(df, ["x"], sums, few).reshape(len(starts), -1)
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = block(batch.column("x"))
+            for a in range(0, len(x), most):
+                held = np.ascontiguousarray(x[a:a + most].T).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([held], pa.binary())], names=["block"])
+
+    return df.select("x").mapInArrow(pack, "block binary")
+
+
+def _guide(df: DataFrame, n: int, width: int) -> np.ndarray:
+    """Some rows by hash. They only say where to look first for a rank, which all rows decide."""
+    size = max(1, min(_GUIDE, (_GUIDE << 8) // width))
+    drawn = df.filter(F.pmod(F.xxhash64("ix", F.lit("guide")), F.lit(n // size + 1)) == 0).select("x").limit(2 * size).toArrow()
+    return block(drawn["x"]) if drawn.num_rows else np.empty((0, width))
+
+
+def _about(center: np.ndarray, p: np.ndarray, rows: np.ndarray, share: float) -> tuple[float, float]:
+    """A range of distances that probably holds that of rank ``share``."""
+    d = np.sort(_distances(rows.T - center[:, None], p))
+    d = d[~np.isnan(d)]
+    slack = 4.5 * np.sqrt(share * (1 - share) * len(d)) + 4
+    low, high = int(np.floor(share * len(d) - slack)), int(np.ceil(share * len(d) + slack))
+    return float(d[low]) if low >= 0 and len(d) else 0.0, float(d[high]) if high < len(d) else np.inf
+
+
+def _distances(z: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The quadratic form of every column; of few variables without a product whose rounding depends on the place of a row."""
+    if len(z) > 8:
+        return np.maximum(np.einsum("ij,ij->j", p @ z, z), 0.0) + 0.0
+    out = np.zeros(z.shape[1])
+    for i in range(len(z)):
+        own = p[i, i] * z[i]
+        for j in range(i):
+            own += (p[i, j] + p[j, i]) * z[j]
+        own *= z[i]
+        out += own
+    return np.maximum(out, 0.0, out=out) + 0.0
+
+
+def _bits(value: float) -> int:
+    """The image of a distance: whole numbers that sort as the distances do."""
+    return int(np.array([value]).view(np.int64)[0])
+
+
+def _tiles(blocks, width: int):
+    for held in blocks:
+        x = np.frombuffer(held, np.float64).reshape(width, -1)
+        for a in range(0, x.shape[1], _TILE):
+            yield x[:, a:a + _TILE]
+
+
+def _cells(packed: DataFrame, width: int, wanted: list[tuple], few: bool) -> list[tuple]:
+    """Per (centre, form, lowest, highest) the least and greatest distance and the count of every cell, and how many
+    distances lie below all cells and how many are numbers."""
+    cuts = []
+    for _, _, low, high in wanted:
+        first, span = _bits(low), _bits(high) - _bits(low)
+        cuts.append((first, max(0, span.bit_length() - _BINS.bit_length() + 1)))
+
+    def count(b):
+        least = np.full((len(wanted), 2, _BINS), np.inf)
+        sums = np.zeros((len(wanted), _BINS + 2))
+        for held in b["block"]:
+            inside = [[] for _ in wanted]
+            for x in _tiles([held], width):
+                for k, (c, p, low, high) in enumerate(wanted):
+                    d = _distances(x - c[:, None], p)
+                    sums[k, -2] += np.count_nonzero(d < low)
+                    sums[k, -1] += np.count_nonzero(d == d)
+                    inside[k].append(d[(d >= low) & (d <= high)])
+            for k, (first, shift) in enumerate(cuts):
+                d = np.sort(np.concatenate(inside[k]))
+                cell = (d.view(np.int64) - first) >> shift
+                start, end = (np.searchsorted(cell, np.arange(_BINS), side=s) for s in ("left", "right"))
+                some = end > start
+                sums[k, :_BINS] += end - start
+                least[k, 0, some] = np.minimum(least[k, 0, some], d[start[some]])
+                least[k, 1, some] = np.minimum(least[k, 1, some], -d[end[some] - 1])
+        return np.concatenate([least.ravel(), sums.ravel()])
+
+    edge = len(wanted) * 2 * _BINS
+    found = sum_blocks(packed, ["block"], count, few, minima=edge)
+    least, sums = found[:edge].reshape(len(wanted), 2, _BINS), found[edge:].reshape(len(wanted), -1)
+    return [(e[0], -e[1], s[:_BINS], s[-2], s[-1]) for e, s in zip(least, sums)]
+
+
+def _within(packed: DataFrame, width: int, wanted: list[tuple], few: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per (centre, form, lowest, highest) the moments of the rows below the range, and the (distance, row) of those in it.
+
+    Rows of one single distance count as below.
+    """
+    size = 1 + width + width * width
+
+    def run(batches):
+        sums, loose = np.zeros((len(wanted), size)), []
+        for batch in batches:
+            for x in _tiles(vector(batch.column("block")), width):
+                for k, (c, p, low, high) in enumerate(wanted):
+                    z = x - c[:, None]
+                    d = _distances(z, p)
+                    own = np.compress(d <= high if low == high else d < low, z, axis=1)
+                    sums[k, 0] += own.shape[1]
+                    sums[k, 1:1 + width] += own.sum(axis=1)
+                    sums[k, 1 + width:] += (own @ own.T).ravel()
+                    if low < high:
+                        at = np.flatnonzero((d >= low) & (d <= high))
+                        loose.append(np.column_stack([np.full(len(at), k), d[at], z[:, at].T]).ravel())
+        context = TaskContext.get()
+        salt = (context.partitionId() if context else 0) % SALTS
+        loose = np.concatenate(loose) if loose else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([pa.array([salt], pa.int32()), lists(sums.reshape(1, -1)), lists(loose[None, :])],
+                                         names=["salt", "v", "loose"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, loose = 0.0, []
+        for batch in batches:
+            sums = sums + block(batch.column("v")).sum(axis=0)
+            loose.append(batch.column("loose").flatten().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([lists(sums[None, :]), lists(np.concatenate(loose)[None, :])], names=["v", "loose"])
+
+    parts = packed.mapInArrow(run, "salt int, v array<double>, loose array<double>")
+    if not few:
+        parts = parts.groupBy("salt").applyInArrow(merged, "v array<double>, loose array<double>")
+    table = parts.select("v", "loose").toArrow()
+    sums = block(table["v"]).sum(axis=0).reshape(len(wanted), size)
+    rows = table["loose"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width + 2)
+    return sums, [rows[rows[:, 0] == k, 1:] for k in range(len(wanted))]
+
+
+def _c_step(df: DataFrame, width: int, starts: list[tuple[np.ndarray, np.ndarray]], h: int, centered: bool, few: bool,
+            guide: tuple[np.ndarray, float] | None = None):
+    """Centre and covariance of the h rows (and ties) that are nearest to each start.
+
+    The first pass counts distances in the cells of a range about the h-th, as the rows of ``guide`` tell; it is
+    repeated over the cell of the h-th as long as that holds many rows of several distances, or over what lies
+    beyond the range should the rank be there. ``guide``: some rows, and the share of rows that are to be found. The second takes the moments of what lies below the cell and brings its rows.
+    """
+    packed = df if "block" in df.columns else _packed(df, width)
+    centers = [c for c, _ in starts]
+    inverses = [np.linalg.pinv(v, hermitian=True) for _, v in starts]
+    most = max(1, _LOOSE // (len(starts) * (width + 2)))
+    ranges = [_about(c, p, *guide) if guide else (0.0, np.inf) for c, p in zip(centers, inverses)]
+    cells: dict[int, tuple] = {}  # start: lowest and highest distance of the cell, rows below it, rank of the last row
+    while len(cells) < len(starts):
+        open_ = [k for k in range(len(starts)) if k not in cells]
+        found = _cells(packed, width, [(centers[k], inverses[k], *ranges[k]) for k in open_], few)
+        for k, (low, high, count, below, numbers) in zip(open_, found):
+            rank = min(h, int(numbers)) - 1
+            upto = below + np.cumsum(count)
+            if rank < 0:
+                cells[k] = (np.nan, np.nan, 0, rank)
+            elif rank < below:
+                ranges[k] = 0.0, float(np.nextafter(ranges[k][0], -np.inf))
+            elif rank >= upto[-1]:
+                ranges[k] = float(np.nextafter(ranges[k][1], np.inf)), np.inf
+            else:
+                at = int(np.searchsorted(upto, rank, "right"))
+                ranges[k] = float(low[at]), float(high[at])
+                if low[at] == high[at] or count[at] <= most:
+                    cells[k] = (*ranges[k], int(upto[at] - count[at]), rank)
+    sums, loose = _within(packed, width, [(c, p, *cells[k][:2]) for k, (c, p) in enumerate(zip(centers, inverses))], few)
     made = []
-    for c, own in zip(centers, found):
-        m, total = own[1:1 + width] / own[0], own[1 + width:].reshape(width, width) / own[0]
-        made.append((np.zeros(width), total) if centered else (c + m, total - np.outer(m, m)))
+    for k, c in enumerate(centers):
+        low, high, below, rank = cells[k]
+        own = sums[k]
+        if len(loose[k]):
+            d = loose[k][:, 0]
+            z = loose[k][d <= np.sort(d)[rank - below], 1:]
+            own = own + np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
+        m, total_ = own[1:1 + width] / own[0], own[1 + width:].reshape(width, width) / own[0]
+        made.append((np.zeros(width), total_) if centered else (c + m, total_ - np.outer(m, m)))
     return made
 
 
