@@ -56,7 +56,7 @@ class FileTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self._own = Tokenizer.from_file(path)
+        self._path, self._library = path, None
         self._special = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = _ranks(spec)
         self._near = self._far = None
@@ -64,6 +64,13 @@ class FileTokens:
             self._far = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             self._near = tiktoken.Encoding("file", pat_str=PATTERN.replace(_AHEAD, ""), mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def _own(self) -> Tokenizer:
+        """The file's own library, read when a text needs it: workers keep what they have read."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self._path)
+        return self._library
+
     def encode(self, text: str) -> bytes:
         if self._near is None or any(s in text for s in self._special):
             return np.asarray(self._own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from spectrafold.llm import (
     quality,
     secret_scan,
     source_mix,
+    textblocks,
     toxicity,
 )
 
@@ -106,6 +108,38 @@ def test_sketches_lose_no_link():
     assert kept > 100 and lost == 0 and far == 0
 
 
+def _peak(work) -> int:
+    """Bytes held at once by what ``work`` returns and makes on the way."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_text_blocks_and_sketches_need_little_memory():
+    """An executor runs two workers and more beside a full heap."""
+    texts = pa.array([f"{i} " * 900 for i in range(2000)])
+    assert _peak(lambda: [ngram_join.shingle_sets(d, o, 3).__next__() for _, _, d, o in textblocks.blocks(texts)]) < 16 << 20
+    rng = np.random.default_rng(5)
+    bits = [rng.integers(0, 256, 128, dtype=np.uint8) for _ in range(2048)]
+    assert _peak(lambda: ngram_join.near_sketches(bits, np.full(len(bits), 500), 90)) < 96 << 20
+
+
+def test_ties_over_range_ends_start_no_other_workers(spark):
+    """The ends of ranges are tied by a local table; one read through Python would start a second kind of worker on every executor."""
+    rows = [(b"", 7, 100, b"%04d" % i) for i in range(3000)]
+    ties = ngram_join._ties(spark.createDataFrame(rows, "cluster binary, token long, n int, e binary").repartition(8), 90)
+    plan = ties._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and plan.count("LogicalRDD") == 1  # what was written
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in ties.collect()}
+    names = sorted(e for *_, e in rows)
+    assert cases.roots(3000, [(names.index(a), names.index(b)) for a, b in got]) == [0] * 3000
+
+
 def test_ngram_join_thins_large_clusters(spark):
     """Documents that share a rare passage form one cluster; sketches part those that are not alike."""
     rng = random.Random(8)

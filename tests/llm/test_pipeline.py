@@ -5,6 +5,9 @@ from collections import Counter, defaultdict
 import cases
 import corpus_pipeline
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from spectrafold.llm import packing
 
 SMALL = "/root/testdata/sf0.001"
@@ -66,5 +69,19 @@ def test_odd_rows(spark, tmp_path):
     assert docs.count() > 0
 
 
+def test_stages_take_texts_in_small_batches(spark):
+    """A batch of texts is held several times by the executor and its worker, so 33 MB at once are too many."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a word "), 1200).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    corpus_pipeline.drop_repeated_lines(spark, docs, SMALL)
+    made = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(made) > 4000 * 8400 and max(made) < 6 << 20
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
