@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..arrays import few_tasks, map_blocks, sum_blocks
 from ..dataset import Dataset
-from . import refits
+from . import nearby, refits
 from .leastsq import constrained_factor, constrained_rows, khatri_rao, nnls_rows
 
 # constraints that act on each sample's row alone
@@ -179,8 +179,7 @@ def _initial(df, shape, rank, init, seed, custom=None) -> list[np.ndarray]:
 
 def _alternate(df, shape, starts, constraints, max_iter, tol, weighted=False, orthogonalise=False,
                line_search=False, extra=None):
-    state = [dict(f=f, good=f, before=f, error=np.inf, history=[], stats=None, done=False, rounds=0, jumped=False)
-             for f in starts]
+    state = [_begin(f) for f in starts]
     rule = constraints[0]
     few = few_tasks(df)
     while any(not s["done"] for s in state):
@@ -189,31 +188,39 @@ def _alternate(df, shape, starts, constraints, max_iter, tol, weighted=False, or
         sums = sum_blocks(df, ["x"], lambda c: np.concatenate(
             [_statistics(c["x"], f, rule, weighted) for f in tried]), few).reshape(len(live), -1)
         for stats, i in zip(sums, live):
-            s = state[i]
             if extra is not None:
-                stats = stats + _statistics(extra[i], s["f"], rule, weighted)
-            error = stats[-3]
-            s["rounds"] += 1
-            if s["jumped"] and error > s["error"]:
-                # the extrapolation made it worse: return to the plain update
-                s["f"], s["jumped"] = s["plain"], False
-                if s["rounds"] > max_iter:
-                    s["done"] = True
-                continue
-            s["history"].append(float(error))
-            change = abs(s["error"] - error) / max(stats[-4], 1e-300)
-            s.update(error=error, before=s["good"], good=s["f"], stats=stats)
-            if change < tol or s["rounds"] > max_iter:
-                s["done"] = True
-                continue
-            plain = _update(stats, s["f"], shape, constraints, weighted, orthogonalise and s["rounds"] <= 5)
-            s["jumped"] = line_search and s["rounds"] >= 5 and s["rounds"] % 2 == 0
-            s["plain"] = plain
-            reach = s["rounds"] ** (1 / 3)
-            s["f"] = [a + (b - a) * reach for a, b in zip(s["good"], plain)] if s["jumped"] else plain
+                stats = stats + _statistics(extra[i], state[i]["f"], rule, weighted)
+            _advance(state[i], stats, shape, constraints, max_iter, tol, weighted, orthogonalise, line_search)
     return state
 
 
+def _begin(f) -> dict:
+    return dict(f=f, good=f, before=f, error=np.inf, history=[], stats=None, done=False, rounds=0, jumped=False)
+
+
+def _advance(s, stats, shape, constraints, max_iter, tol, weighted=False, orthogonalise=False, line_search=False) -> None:
+    """One step of an alternation whose statistics are those of all its rows."""
+    error = stats[-3]
+    s["rounds"] += 1
+    if s["jumped"] and error > s["error"]:
+        # the extrapolation made it worse: return to the plain update
+        s["f"], s["jumped"] = s["plain"], False
+        if s["rounds"] > max_iter:
+            s["done"] = True
+        return
+    s["history"].append(float(error))
+    change = abs(s["error"] - error) / max(stats[-4], 1e-300)
+    s.update(error=error, before=s["good"], good=s["f"], stats=stats)
+    if change < tol or s["rounds"] > max_iter:
+        s["done"] = True
+        return
+    plain = _update(stats, s["f"], shape, constraints, weighted, orthogonalise and s["rounds"] <= 5)
+    s["jumped"] = line_search and s["rounds"] >= 5 and s["rounds"] % 2 == 0
+    s["plain"] = plain
+    reach = s["rounds"] ** (1 / 3)
+    s["f"] = [a + (b - a) * reach for a, b in zip(s["good"], plain)] if s["jumped"] else plain
+
+
 def parafac(ds: Dataset, rank: int, constraints: dict[int, dict[str, float]] | None = None,
             init: str = "svd", starts: int = 1, seed: int = 42, max_iter: int = 500, tol: float = 1e-8,
             missing: str = "em", orthogonalise: bool = False, line_search: bool = False, custom=None,
@@ -305,23 +312,58 @@ def rank_sweep(ds: Dataset, ranks, **hp) -> DataFrame:
 
 
 def sample_refits(ds: Dataset, model: CPModel, max_iter: int = 100, tol: float = 1e-8, batch: int = refits.BATCH):
-    """Refit calibration plus one validation sample at a time, batches sharing each scan.
+    """Refit calibration plus one validation sample at a time.
 
-    Returns (ix, scores, sfit, core_consistency) with components aligned to the medoid of all models,
-    scores of profiles that run against it turned, and the similarities of the models.
+    The calibration rows are summed once per iteration for all validation samples near the model of these rows alone, and
+    scanned once per iteration and batch for the others. Returns (ix, scores, sfit, core_consistency) with components aligned
+    to the medoid of all models, scores of profiles that run against it turned, and the similarities of the models.
     """
     cal = ds.cal.select("x").persist()
     k = model.factors[0].shape[1]
+    rule, shape = model.constraints[0], ds.shape
+
+    def made(x, s):
+        f = _model(s, shape, model.constraints, 0, model.missing)
+        return np.vstack(f.factors).T, _rows(x, khatri_rao(f.factors), f.constraints[0])[0][0], [f.sfit, f.core_consistency]
 
     def fit(rows):
-        extra = [np.asarray(r["x"])[None, :] for r in rows]
-        state = _alternate(cal, ds.shape, [model.factors] * len(rows), model.constraints, max_iter, tol, extra=extra)
+        extra = [np.asarray(r["x"], dtype=float)[None, :] for r in rows]
+        state = _alternate(cal, shape, [model.factors] * len(rows), model.constraints, max_iter, tol, extra=extra)
         for r, x, s in zip(rows, extra, state):
-            f = _model(s, ds.shape, model.constraints, 0, model.missing)
-            yield r["ix"], np.vstack(f.factors).T, _rows(x, khatri_rao(f.factors), f.constraints[0])[0][0], [f.sfit, f.core_consistency]
+            yield r["ix"], *made(x, s)
+
+    def summed(here, factors):
+        known = here.statistics(khatri_rao(factors).T)
+        if known is None:
+            return None
+        aa, ax, sums, error = known
+        stats = np.concatenate([aa.ravel(), ax.ravel(), sums, [here.total, error, here.cells, here.total]])
+        return stats + _statistics(here.rows, factors, rule, False)
+
+    def step(s, here):
+        s["done"] = False
+        _advance(s, summed(here, s["f"]), shape, model.constraints, max_iter, tol)
+        if s["done"]:  # the next round may still serve others
+            s["f"] = _update(s["stats"], s["f"], shape, model.constraints, False, False)
+        return s["done"]
 
     try:
-        fits = refits.refit_table(ds.val.select("ix", "x"), fit, batch)
+        held = nearby.walk(cal, lambda x: x, _begin(model.factors), lambda s: khatri_rao(s["f"]).T, bool(rule), step,
+                           max_iter + 1) if set(rule) <= {"non_negative"} else []
+        held = cal.sparkSession.sparkContext.broadcast(held) if held else None
+
+        def quick(x):
+            s, x = _begin(model.factors), x[None, :]
+            for here in held.value:
+                stats = summed(here, s["f"])
+                if stats is None or not stats[-3] > nearby.LEAST_ERROR * stats[-4]:
+                    return None
+                _advance(s, stats + _statistics(x, s["f"], rule, False), shape, model.constraints, max_iter, tol)
+                if s["done"]:
+                    return made(x, s)
+            return None
+
+        fits = refits.refit_table(ds.val.select("ix", "x"), fit, batch, quick if held else None)
     finally:
         cal.unpersist()
     similar = refits.similarities(fits, k)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from helpers import samples, wide
-from spectrafold.operators import mcr, parafac, refits
+from spectrafold.operators import mcr, nearby, parafac, refits
 from spectrafold.operators.stats import cosine_matrix
 
 RNG = np.random.default_rng
@@ -96,3 +96,67 @@ def test_blocks_of_models_are_compared_at_once(monkeypatch, k):
     monkeypatch.setattr(refits, "assignment", lambda s: calls.append(1) or plain(s))
     assert np.allclose(refits.block_similarities(a, b), want, atol=1e-14)
     assert len(calls) == (35 if k > 4 else 0)   # one call a pair before
+
+
+def rough(spark, seed, shape, n=900, val=60):
+    """Rows of two components, some of which a row lacks, with noise."""
+    rng = RNG(seed)
+    factors = [rng.random((m, 2)) for m in shape]
+    c = np.where(rng.random((n, 2)) < 0.3, 0, rng.random((n, 2)))
+    parts = "abcd"[:len(shape)]
+    x = np.einsum("nr," + ",".join(f"{p}r" for p in parts) + "->n" + parts, c, *factors)
+    return split(spark, x + 0.05 * rng.random(x.shape), shape if len(shape) > 1 else None, val)
+
+
+@pytest.mark.parametrize("kind", ["bilinear", "augmented", "trilinear", "free"])
+def test_refits_near_a_centre_need_no_pass_of_their_own(spark, monkeypatch, kind):
+    if kind in ("trilinear", "free"):
+        ds, at = rough(spark, 7, (5, 4)), parafac
+        rules = {} if kind == "free" else {m: {"non_negative": 1} for m in range(3)}
+        model = parafac.parafac(ds.with_df(ds.cal), 2, rules, max_iter=6)
+    else:
+        ds, at = rough(spark, 8, (12,) if kind == "bilinear" else (4, 5)), mcr
+        model = mcr.mcr_als(ds, 2, spectral_way=2 if kind == "augmented" else None, max_iter=6, joint=False)
+    monkeypatch.setattr(nearby, "NEAR_ROWS", 200)
+    calls = []
+    plain = at._alternate
+    monkeypatch.setattr(at, "_alternate", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    one = both(at.sample_refits(ds, model, max_iter=3)[0])
+    assert not calls and len(one) == 60   # a batch of passes before
+    monkeypatch.setattr(nearby, "ALL_CELLS", 0)
+    other = both(at.sample_refits(ds, model, max_iter=3)[0])
+    assert calls and one.keys() == other.keys()
+    assert all(np.allclose(one[i][0], other[i][0], rtol=1e-7, atol=1e-9) and np.isclose(one[i][1], other[i][1], rtol=1e-7) for i in one)
+
+
+def test_refits_beyond_the_reach_take_the_passes(spark, monkeypatch):
+    ds = rough(spark, 9, (12,), n=300, val=8)
+    x = np.array([r["x"] for r in ds.df.orderBy("ix").collect()])
+    x[3, 2:5] *= 1e4
+    ds = split(spark, x, val=8)
+    model = mcr.mcr_als(ds, 2, max_iter=6, joint=False)
+    monkeypatch.setattr(nearby, "NEAR_ROWS", 40)
+    seen = []
+    plain = mcr._alternate
+    monkeypatch.setattr(mcr, "_alternate", lambda *a, **k: seen.append(len(a[2])) or plain(*a, **k))
+    one, similar = mcr.sample_refits(ds, model, max_iter=3)
+    one = both(one)
+    assert 1 <= sum(seen) < 8 and len(one) == 8 and similar.totals.count() == 8
+    monkeypatch.setattr(nearby, "ALL_CELLS", 0)
+    other = both(mcr.sample_refits(ds, model, max_iter=3)[0])
+    assert all(np.allclose(one[i][0], other[i][0], rtol=1e-7, atol=1e-9) for i in one)
+
+
+def test_totals_are_those_of_the_whole_table(spark):
+    models = np.abs(RNG(4).normal(size=(90, 2, 5)))
+    rows = [(i // 2, [float(v) for v in m.ravel()], [1.0, 2.0], [0.5]) for i, m in enumerate(models)]   # each id twice
+    fits = spark.createDataFrame(rows, "ix long, profiles array<double>, scores array<double>, facts array<double>")
+    for size in (None, 16):
+        got = refits.similarities(fits, 2, size)
+        want = {}
+        for r in got.table.collect():
+            want.setdefault(r["ix_a"], []).append(r["similarity"])
+        found = {r["ix"]: r for r in got.totals.collect()}
+        assert found.keys() == want.keys() and got.table.count() == 90 * 90
+        assert all(found[k]["models"] == len(v) == 180 and np.isclose(found[k]["total"], sum(v)) and np.isclose(found[k]["least"], min(v))
+                   for k, v in want.items())
