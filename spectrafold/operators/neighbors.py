@@ -31,12 +31,16 @@ MAX_RINGS = 1_000_000        # beyond, rings grow instead of their table
 QUERY_ROWS = 4096            # queries per (ring, chunk) group
 GROUP_ROWS = 65_536          # rows of either side in a cell of the block join
 _SIDE = 8                    # blocks a side is cut into at least, so that there are cells for many tasks
+_TASKS, _SPARE = 2000, 3     # tasks of the block join at most, and for each cell
 _PIVOTS = 256
 _WORK_BYTES = 32 << 20       # temporary distance cells per step
-_TILE = 8192                 # training rows compared in one product
-_TILE_32 = 2048              # training rows compared variable by variable, with as many queries as stay in cache
-_QUERIES_32 = 128
+_TILE = 8192                 # training rows compared at a time
+_FIRST = 2048                # training rows all of whose distances are taken where no bound is known
+_QUERIES_32 = 32             # queries compared variable by variable with a tile; both stay in cache
+_MANY = 8                    # one pair in so many is too many to be measured one by one
+_LEVELS = 64                 # whole numbers of a variable, at least
 _EPS_32 = 1.2e-7
+_STEP_BYTES = 1 << 20        # differences of pairs measured one by one, per step
 _UNDERFLOW = 38.7            # exp(-t²/2) is 0 in double precision beyond this t
 
 
@@ -138,17 +142,34 @@ def metric(train: DataFrame, name: str = "euclidean", p: float = 3.0, width: int
 
 # --- block kernels ------------------------------------------------------------------------
 
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns that are set, row by row."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
+
+
+def _up(limit: np.ndarray, kind, towards: float = np.inf) -> np.ndarray:
+    """A limit in the precision of keys, not rounded down (or, ``towards`` -inf, not up)."""
+    with np.errstate(over="ignore"):
+        return np.nextafter(limit.astype(kind), np.array(towards, kind))
+
+
+def _below(keys: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Where keys are at most the limit of their row."""
+    return keys <= _up(limit, keys.dtype)[:, None]
+
+
 class _Rough:
     """Quick keys that grow with the distances, and how far a key may be off.
 
     Euclidean keys are squares from one matrix product, in single precision if ``single``; those of the other norms
     are sums (or maxima) in single precision, variable by variable. What neither can bound is measured by differences.
+    Pairs that are too far by whole numbers (Manhattan, Chebyshev) or by their plain distance (Minkowski) need no key.
     """
 
     def __init__(self, m: Metric, q: np.ndarray, t: np.ndarray, single: bool = False):
         self.m, self.q, self.t = m, q, t
         self.zero = m.name == "chord" and m.raw_zero
-        self.kind, self.power, self.lower = "direct", 1.0, None
+        self.kind, self.power, self.lower, self.unit = "direct", 1.0, None, 0.0
         largest = max(np.abs(q).max(initial=0), np.abs(t).max(initial=0)) if single else np.nan
         if m.euclidean or self.zero:
             self.kind, self.power = "product", 2.0
@@ -168,20 +189,57 @@ class _Rough:
             self.slack = eps * (uq.shape[1] + 4) * (self.qq.astype(float) + top)
         elif (m.name != "minkowski" or 1 <= m.p <= 8) and largest < 1e4:
             self.kind, self.power = "single", m.p if m.name == "minkowski" else 1.0
-            self.q32, self.t32 = q.astype(np.float32), np.ascontiguousarray(t.T.astype(np.float32))
+            self.q32, self.own32 = q.astype(np.float32), t.astype(np.float32)
+            self.t32 = np.ascontiguousarray(self.own32.T)
             # what is lost to rounding, and below the smallest single number
             self.off = _EPS_32 * (np.abs(q).sum(1) + np.abs(t).sum(1).max(initial=0)) + (q.shape[1] * 1.2e-38) ** (1 / self.power)
             self.rel = _EPS_32 * (q.shape[1] + 40) * 2
             if m.name == "minkowski" and m.p >= 2:  # the plain distance bounds the others from below
                 self.lower, self.room = _Rough(Metric(), q, t, True), q.shape[1] ** (1 - 2 / m.p)
+            elif m.name in ("manhattan", "chebyshev") and len(q) >= _QUERIES_32 and len(t):
+                self.unit = None
+
+    def _count(self, limit: np.ndarray) -> None:
+        """Rows in whole numbers: variables drawn into one range, which brings no pair farther apart, and what rounding leaves."""
+        self.unit, self.held = 0.0, None
+        centre = self.t.mean(0)
+        off = self.t - centre
+        top = min(max(np.abs(off).max(), np.abs(self.q - centre).max()), 6 * np.sqrt(np.square(off).mean()))
+        if not top > 0:
+            return
+        # bytes where they resolve the limit
+        kind = np.int8 if self.m.name == "chebyshev" and limit.max() * 63 > _LEVELS / 8 * top else np.int16
+        levels = np.iinfo(kind).max // (self.q.shape[1] if self.m.name == "manhattan" else 1)
+        if levels < _LEVELS:
+            return
+        self.unit = 2 * top / (levels - 1)
+        whole, self.left = [], []
+        for x in (self.q, self.t):
+            at = (np.clip(x - centre, -top, top) + top) / self.unit
+            near = np.rint(at)
+            whole.append(near.astype(kind))
+            gap = np.abs(at - near)
+            self.left.append(gap.sum(1) if self.m.name == "manhattan" else gap.max(1, initial=0))
+        self.q_whole, self.t_whole = whole[0], np.ascontiguousarray(whole[1].T)
+
+    def _near(self, a: int, to: int, b: int, end: int, limit: np.ndarray) -> np.ndarray:
+        """Which pairs are, in whole numbers, not beyond the distances ``limit``."""
+        if self.held is None or self.held[0].shape != (to - a, end - b):
+            self.held = tuple(np.empty((to - a, end - b), self.q_whole.dtype) for _ in range(2))
+        out, gap = self.held
+        out[:] = 0
+        join = np.maximum if self.m.name == "chebyshev" else np.add
+        for j in range(len(self.t_whole)):
+            np.subtract(self.q_whole[a:to, j, None], self.t_whole[j, None, b:end], out=gap)
+            join(out, np.abs(gap, out=gap), out=out)
+        far = (limit / self.unit + self.left[0][a:to] + self.left[1][b:end].max()) * (1 + 1e-9) + 1e-6
+        return out <= np.minimum(far, np.iinfo(out.dtype).max).astype(out.dtype)[:, None]
 
     @property
     def steps(self) -> tuple[int, int]:
         """Queries and training rows that are compared at a time."""
         most = _WORK_BYTES // (8 * max(1, len(self.t)))
-        if self.kind == "single":
-            return max(32, min(_QUERIES_32, most)), _TILE_32
-        return max(32, min(256, most)), _TILE if self.kind == "product" else _TILE_32
+        return _QUERIES_32 if self.kind == "single" else max(32, min(256, most)), _FIRST if self.kind == "direct" else _TILE
 
     def _sums(self, a: int, to: int, b: int, end: int, limit: np.ndarray | None = None):
         """Keys of all pairs, or, as soon as few pairs are within ``limit``, which ones, and their keys."""
@@ -227,23 +285,51 @@ class _Rough:
             out = np.where(self.q_zero[a:to, None] | self.t_zero[None, b:end], gap, out)
         return out
 
+    def _each(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Keys of single pairs."""
+        out, ones = np.empty(len(i), np.float32), np.ones(len(self.t32), np.float32)
+        size = max(1, _STEP_BYTES // (4 * max(1, len(self.t32))))
+        for c in range(0, len(i), size):
+            gap = np.take(self.own32, at[c:c + size], axis=0)
+            gap -= np.take(self.q32, i[c:c + size], axis=0)
+            np.abs(gap, out=gap)
+            if self.m.name == "chebyshev":
+                out[c:c + size] = gap.max(1, initial=0)
+                continue
+            whole = gap
+            if self.power != int(self.power):
+                whole = np.power(gap, self.power)
+            elif self.power > 1:
+                whole = gap * gap
+                for _ in range(int(self.power) - 2):
+                    whole *= gap
+            out[c:c + size] = whole @ ones
+        return out
+
     def within(self, a: int, to: int, b: int, end: int, limit: np.ndarray):
         """(query, training row, key) of the pairs whose key is at most ``limit``, and maybe of others beyond."""
+        mask = None
         if self.lower is not None:
-            far = limit ** (2 / self.power) * self.room
-            i, at, _ = self.lower.within(a, to, b, end, self.lower.wide(far, a, to))
-            if len(i) * 24 < (to - a) * (end - b):
-                own = np.zeros(len(i), np.float32)
-                for j in range(len(self.t32)):
-                    self._add(own, np.abs(self.q32[i + a, j] - self.t32[j, at + b]))
-                return i, at, own
+            mask = self.lower.mask(a, to, b, end, self.lower.wide(limit ** (2 / self.power) * self.room, a, to))
+        else:
+            if self.unit is None:
+                self._count(limit)
+            if self.unit:
+                mask = self._near(a, to, b, end, limit)
+        if mask is not None and np.count_nonzero(mask) * _MANY < mask.size:
+            i, at = _where(mask)
+            own = self._each(i + a, at + b)
+            keep = own <= _up(limit, own.dtype)[i]
+            return i[keep], at[keep], own[keep]
         found = self._sums(a, to, b, end, limit) if self.kind == "single" else self.keys(a, to, b, end)
         if isinstance(found, tuple):
             return found
-        with np.errstate(over="ignore"):
-            i, at = np.nonzero(found <= np.nextafter(limit.astype(found.dtype), np.array(np.inf, found.dtype))[:, None])
+        i, at = _where(_below(found, limit))
         return i, at, found[i, at]
 
+    def mask(self, a: int, to: int, b: int, end: int, limit: np.ndarray) -> np.ndarray:
+        return _below(self.keys(a, to, b, end), limit)
+
     def wide(self, key: np.ndarray, a: int, to: int) -> np.ndarray:
         """A bound on the keys of all pairs that are no farther than those of key ``key``."""
         key = np.where(np.isnan(key), np.inf, key).astype(float)
@@ -264,15 +350,18 @@ def _candidates(rough: _Rough, a: int, to: int, q_not, t_not, k: int, theta):
     """(query, training row, key) of all pairs that may be among the k nearest of queries ``a`` to ``to``."""
     tile, n = rough.steps[1], len(rough.t)
     limit = np.full(to - a, np.inf) if theta is None else rough.of(theta[a:to], a, to)
-    parts = []
-    for b in range(0, n, tile):
+    if rough.lower is not None and k <= n:
+        limit = np.minimum(limit, rough.of(_reached(rough, a, to, q_not, t_not, k), a, to))
+    parts, b, done = [], 0, 0
+    while b < n:
         end = min(b + tile, n)
-        if b == 0 and k <= end:
+        if b == 0 and not np.isfinite(limit).all() and k <= n:
+            end = min(max(k, _FIRST), n)
             key = rough.keys(a, to, b, end)
             if q_not is not None:
                 key = np.where(q_not[a:to, None] == t_not[None, :end], np.inf, key)
             limit = np.minimum(limit, rough.wide(np.partition(key, k - 1, axis=1)[:, k - 1], a, to))
-            i, at = np.nonzero(key <= limit[:, None])
+            i, at = _where(key <= limit[:, None])
             own = key[i, at]
         else:
             i, at, own = rough.within(a, to, b, end, limit)
@@ -280,7 +369,7 @@ def _candidates(rough: _Rough, a: int, to: int, q_not, t_not, k: int, theta):
         if q_not is not None:
             keep &= q_not[i + a] != t_not[at + b]
         parts.append((i[keep], at[keep] + b, own[keep]))
-        done = b // tile + 1
+        b, done = end, done + 1
         if done > 1 and done & (done - 1) == 0 and end < n:  # after 2, 4, 8 tiles the limit is drawn closer
             parts = [_ordered(parts)]
             limit = np.minimum(limit, rough.wide(_kth(parts[0][0], parts[0][2], to - a, k), a, to))
@@ -289,6 +378,16 @@ def _candidates(rough: _Rough, a: int, to: int, q_not, t_not, k: int, theta):
     return _ordered(parts)
 
 
+def _reached(rough: _Rough, a: int, to: int, q_not, t_not, k: int) -> np.ndarray:
+    """A distance within which each query has k rows: that of the farthest of the k nearest by plain distance."""
+    i, at, _ = _candidates(rough.lower, a, to, q_not, t_not, k, None)
+    first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+    i, at = i[first], at[first]
+    out = np.zeros(to - a)
+    np.maximum.at(out, i, rough.m.paired(rough.q[i + a], rough.t[at]))
+    return np.where(np.bincount(i, minlength=to - a) >= k, out, np.inf)
+
+
 def _ordered(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     i, at, own = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((own, i))
@@ -350,16 +449,15 @@ def _weighted(m: Metric, kind: str, q, q_not, q_par, t, t_not, t_y, h: float):
 
     Euclidean distances come from matrix products; pairs within the error of a limit are measured by differences.
     """
+    if kind != "kernel" and m.euclidean:
+        return _ranged(m, kind, q, q_not, q_par, t, t_not, t_y)
     sw = np.zeros(len(q))
     swy = np.zeros((len(q), t_y.shape[1]))
     rough = _Rough(m, q, t) if m.euclidean else None
-    if rough is not None and kind == "kernel" and not np.all(rough.slack < 1e-10 * h * h):
+    if rough is not None and not np.all(rough.slack < 1e-10 * h * h):
         rough = None
     tile = _TILE if rough is not None else max(1, len(t))
     step = max(1, _WORK_BYTES // (8 * max(1, min(tile, len(t)))))
-    if kind != "kernel":
-        with np.errstate(divide="ignore"):
-            reach = q_par if kind == "radius" else np.where(q_par > 0, 1 / q_par - 1, np.inf)
     for a in range(0, len(q), step):
         to = min(a + step, len(q))
         for b in range(0, len(t), tile):
@@ -368,24 +466,11 @@ def _weighted(m: Metric, kind: str, q, q_not, q_par, t, t_not, t_y, h: float):
                 d = m.direct(q[a:to], t[b:end])
                 w = np.exp(-0.5 * np.square(np.maximum(d, 1e-12) / h)) if kind == "kernel" else \
                     _in_range(m, kind, d, q_par[a:to, None]).astype(float)
-            elif kind == "kernel":
+            else:
                 w = rough.keys(a, to, b, end)
                 np.maximum(w, 0, out=w)
                 w *= -0.5 / (h * h)
                 np.exp(w, out=w)
-            else:
-                key = rough.keys(a, to, b, end)
-                # beyond any error of the limit itself
-                square = reach[a:to] * reach[a:to]
-                with np.errstate(invalid="ignore"):
-                    slack = rough.slack[a:to] + 1e-12 * np.where(np.isfinite(square), square + reach[a:to] + 1, 0)
-                w = (key <= square[:, None]).astype(float)
-                i, j = np.nonzero((key <= (square + slack)[:, None]) & (key >= (square - slack)[:, None]) & np.isfinite(square)[:, None])
-                if len(i):
-                    size = max(1, _WORK_BYTES // (8 * max(1, q.shape[1])))
-                    for c in range(0, len(i), size):
-                        x, y = i[c:c + size], j[c:c + size]
-                        w[x, y] = _in_range(m, kind, m.paired(q[x + a], t[y + b]), q_par[x + a])
             if q_not is not None:
                 w = np.where(q_not[a:to, None] == t_not[None, b:end], 0.0, w)
             sw[a:to] += w.sum(1)
@@ -393,6 +478,49 @@ def _weighted(m: Metric, kind: str, q, q_not, q_par, t, t_not, t_y, h: float):
     return sw, swy
 
 
+def _ranged(m: Metric, kind: str, q, q_not, q_par, t, t_not, t_y):
+    """``_weighted`` of a Euclidean range: keys in single precision where they tell pairs apart."""
+    sw = np.zeros(len(q))
+    swy = np.zeros((len(q), t_y.shape[1]))
+    rough = _Rough(m, q, t, True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        reach = q_par if kind == "radius" else np.where(q_par > 0, 1 / q_par - 1, np.inf)
+        square = reach * reach
+        # beyond any error of the limit itself
+        slack = rough.slack + 1e-12 * np.where(np.isfinite(square), square + reach + 1, 0)
+    if not np.all(slack < 1e-3 * square):
+        rough = _Rough(m, q, t)
+        with np.errstate(invalid="ignore"):
+            slack = rough.slack + 1e-12 * np.where(np.isfinite(square), square + reach + 1, 0)
+    step, tile = rough.steps
+    size = max(1, _WORK_BYTES // (8 * max(1, q.shape[1])))
+    for a in range(0, len(q), step):
+        to = min(a + step, len(q))
+        for b in range(0, len(t), tile):
+            end = min(b + tile, len(t))
+            key = rough.keys(a, to, b, end)
+            far = _below(key, square[a:to] + slack[a:to])
+            i, j = _where(far)
+            sure = key[i, j] <= _up(square[a:to] - slack[a:to], key.dtype, -np.inf)[i]
+            verge = np.flatnonzero(~sure & np.isfinite(square[i + a]))
+            for c in range(0, len(verge), size):
+                at = verge[c:c + size]
+                sure[at] = _in_range(m, kind, m.paired(q[i[at] + a], t[j[at] + b]), q_par[i[at] + a])
+            if q_not is not None:
+                sure &= q_not[i + a] != t_not[j + b]
+            if len(i) * _MANY < far.size:
+                i, j = i[sure], j[sure]
+                sw[a:to] += np.bincount(i, minlength=to - a)
+                for r in range(t_y.shape[1]):
+                    swy[a:to, r] += np.bincount(i, weights=t_y[b:end, r][j], minlength=to - a)
+                continue
+            far[i, j] = sure
+            w = far.astype(float)
+            sw[a:to] += w.sum(1)
+            swy[a:to] += w @ t_y[b:end]
+    return sw, swy
+
+
 # --- joins --------------------------------------------------------------------------------
 
 _PAIR = [("q_ix", T.LongType()), ("t_ix", T.LongType()), ("d", T.DoubleType())]
@@ -532,7 +660,8 @@ class Rings:
 
     def __init__(self, train: DataFrame, m: Metric, width: int, n: int, carry: list[str]):
         self.m, self.carry = m, carry
-        self.side = max(RING_ROWS, min(GROUP_ROWS, -(-n // _SIDE)))
+        # products are quick, other cells are made smaller
+        self.side = max(RING_ROWS, min(GROUP_ROWS if m.euclidean else GROUP_ROWS // 2, -(-n // _SIDE)))
         spark = train.sparkSession
         count = max(1, min(_PIVOTS, n // RING_ROWS + 1))
         sample = train.select("x", "ix").orderBy(F.xxhash64("ix"), "ix").limit(count).toArrow()
@@ -625,6 +754,10 @@ class Rings:
         right = (self.rows.drop("ring" if grouped else "group").join(F.broadcast(chunks), place)
                  .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks"))
 
+        if grouped:  # a cell is much work for few rows: few cells share a task
+            tasks = min(_TASKS, _SPARE * len(self.starts) ** 2)
+            left, right = (side.repartition(tasks, place, "_chunk") for side in (left, right))
+
         def run(a: pa.Table, b: pa.Table) -> pa.Table:
             return fn(a, b)
 
