@@ -818,8 +818,8 @@ def local_predict(queries: DataFrame, train: DataFrame, method: str = "knn", k:
     if method == "kernel":
         sums = range_sums(asked, train, "kernel", m, width, responses, bandwidth, exclude, strategy)
     else:
-        # the nearest row decides the adaptive threshold and is the radius fallback
-        nearest = near(1).select(F.col("q_ix").alias("ix"), F.col("d").alias("_d1"), F.col("y").alias("_y1"))
+        # the nearest row decides the adaptive threshold and is the radius fallback; several steps read it
+        nearest = durable(near(1).select(F.col("q_ix").alias("ix"), F.col("d").alias("_d1"), F.col("y").alias("_y1")))
         asked = asked.join(nearest, "ix", "left")
         if method == "adaptive":
             top = 1 / (1 + F.col("_d1"))

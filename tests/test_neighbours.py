@@ -105,3 +105,15 @@ def test_ranges_use_single_precision(monkeypatch):
     q, t = rows("units", 40, 64, rng), rows("units", 3000, 64, rng)
     neighbors._weighted(Metric(), "radius", q, None, np.full(40, 1.2), t, None, np.ones((3000, 1)), 1.0)
     assert set(kinds) == {np.dtype(np.float32)}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "rings"])
+def test_the_nearest_row_is_searched_once(spark, strategy):
+    """Three steps read it, and each of them searched again before."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, [float(v) for v in r], [float(i)]) for i, r in enumerate(rng.normal(size=(60, 3)))],
+                               "ix long, x array<double>, y array<double>")
+    done = neighbors.local_predict(df, df, "adaptive", alpha=0.5, width=3, responses=1, exclude="ix", strategy=strategy)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    searches = plan.count("search(") + plan.count("t_ix#")
+    assert searches == 0 and done.count() == 60
