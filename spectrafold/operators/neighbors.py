@@ -35,7 +35,7 @@ _TASKS, _SPARE = 2000, 3     # tasks of the block join at most, and for each cel
 _PIVOTS = 256
 _WORK_BYTES = 32 << 20       # temporary distance cells per step
 _TILE = 8192                 # training rows compared at a time
-_FIRST = 2048                # training rows all of whose distances are taken where no bound is known
+_TILE_32 = 2048              # training rows all of whose distances are taken where no bound is known
 _QUERIES_32 = 32             # queries compared variable by variable with a tile; both stay in cache
 _MANY = 8                    # one pair in so many is too many to be measured one by one
 _LEVELS = 64                 # whole numbers of a variable, at least
@@ -239,7 +239,7 @@ class _Rough:
     def steps(self) -> tuple[int, int]:
         """Queries and training rows that are compared at a time."""
         most = _WORK_BYTES // (8 * max(1, len(self.t)))
-        return _QUERIES_32 if self.kind == "single" else max(32, min(256, most)), _FIRST if self.kind == "direct" else _TILE
+        return _QUERIES_32 if self.kind == "single" else max(32, min(256, most)), _TILE_32 if self.kind == "direct" else _TILE
 
     def _sums(self, a: int, to: int, b: int, end: int, limit: np.ndarray | None = None):
         """Keys of all pairs, or, as soon as few pairs are within ``limit``, which ones, and their keys."""
@@ -356,7 +356,7 @@ def _candidates(rough: _Rough, a: int, to: int, q_not, t_not, k: int, theta):
     while b < n:
         end = min(b + tile, n)
         if b == 0 and not np.isfinite(limit).all() and k <= n:
-            end = min(max(k, _FIRST), n)
+            end = min(max(k, _TILE_32), n)
             key = rough.keys(a, to, b, end)
             if q_not is not None:
                 key = np.where(q_not[a:to, None] == t_not[None, :end], np.inf, key)

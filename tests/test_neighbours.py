@@ -44,7 +44,7 @@ def brute(m, q, q_not, t, t_not, k):
 @pytest.mark.filterwarnings("ignore::RuntimeWarning")
 def test_nearest_of_many_tiles(monkeypatch, m, kind):
     monkeypatch.setattr(neighbors, "_TILE", 64)
-    monkeypatch.setattr(neighbors, "_FIRST", 16)
+    monkeypatch.setattr(neighbors, "_TILE_32", 16)
     rng = np.random.default_rng(3)
     q, t = m.prepare(rows(kind, 70, 24, rng)), m.prepare(rows(kind, 401, 24, rng))
     t[5] = q[3]
@@ -71,7 +71,7 @@ def test_few_pairs_are_measured_variable_by_variable(monkeypatch, name):
     m, ix = Metric(name), np.arange(len(t))
     a, b, _ = neighbors._nearest(m, q, None, t, ix, None, 5)
     assert [(i, j) for i, j, _ in brute(m, q, np.full(64, -1), t, ix, 5)] == list(zip(a, b))
-    assert sum(measured) <= 64 * neighbors._FIRST and 0 < sum(single) < 0.1 * 64 * len(t)
+    assert sum(measured) <= 64 * neighbors._TILE_32 and 0 < sum(single) < 0.1 * 64 * len(t)
 
 
 @pytest.mark.parametrize("kind", ["units", "outliers", "ties", "gaps", "same"])
